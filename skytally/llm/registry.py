@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skytally.llm import packing, url_rules, warc
+from skytally.llm import near_dedup, packing, url_rules, warc
 from skytally.llm.common import table
 
 
@@ -24,8 +24,12 @@ def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(table(spark, sf_dir, "pages"))
 
 
+def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_warc_transactions, op6_vector_packing, op8_url_rules)}
+    return {f.__name__: f for f in (op5_warc_transactions, op6_vector_packing, op8_url_rules, op9_minhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
