@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skytally.llm import near_dedup, packing, url_rules, warc
+from skytally.llm import near_dedup, packing, pii, url_rules, warc
 from skytally.llm.common import table
 
 
+def op3_semi_markov_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 def op5_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = warc.write_archives(table(spark, sf_dir, "pages"))
     captures = warc.assemble(warc.read_archives(spark, path))
@@ -29,7 +33,7 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_warc_transactions, op6_vector_packing, op8_url_rules, op9_minhash_near_dedup)}
+    return {f.__name__: f for f in (op3_semi_markov_pii, op5_warc_transactions, op6_vector_packing, op8_url_rules, op9_minhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
