@@ -50,3 +50,25 @@ def fold_of(doc_id: Column, folds: int) -> Column:
 
 def blank_null(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
+
+
+def labelled_sample(
+    docs: DataFrame, labels: DataFrame, label_col: str, *, folds: int, held: int, rows: dict[int, int], max_chars: int, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """At most ``rows[v]`` documents (text, label) of each label ``v``, chosen by a hash of the id, for fitting on the driver.
+
+    Ids in fold ``held``, null ids and labels, and texts over ``max_chars`` characters are left out; of several labels of one id
+    the largest counts. The chosen ids are as few as ``rows`` says, so they are broadcast, and no text is shuffled.
+    """
+    known = labels.select(F.col("doc_id").cast("long").alias("i"), F.col(label_col).alias("label")).where("i IS NOT NULL AND label IS NOT NULL")
+    known = known.where(fold_of(F.col("i"), folds) != held).groupBy("i").agg(F.max("label").alias("label"))
+    texts = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("text")).where(F.length("text") <= max_chars)
+    parts = []
+    for value, n in rows.items():
+        ids = known.where(F.col("label") == value).orderBy(F.xxhash64("i")).limit(n)
+        found = texts.join(F.broadcast(ids), "i")
+        parts.append(found.orderBy(F.xxhash64("i"), "text").limit(n).select("text", F.col("label").cast("int").alias("label")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionAll(p)
+    return out

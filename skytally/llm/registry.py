@@ -5,15 +5,37 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from skytally.llm import near_dedup, packing, pii, url_rules, warc
-from skytally.llm.common import table
+from skytally.llm import decontaminate, near_dedup, packing, pii, quality_pu, toxicity, url_rules, warc
+from skytally.llm.common import fold_of, table
+
+
+def _scored(df: DataFrame, folds: int, held: int, cutoff: float) -> DataFrame:
+    own = fold_of(F.col("doc_id"), folds) == held
+    return df.select("doc_id", own.alias("held_out"), "score", (F.col("score") >= cutoff).cast("int").alias("predicted"))
+
+
+def op1_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    made = quality_pu.fitted(docs, table(spark, sf_dir, "labels"))
+    return _scored(quality_pu.score(docs.select("doc_id", "text"), made and made[0]).drop("text"), 4, 2, 0.7)
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    net = toxicity.fitted(docs, table(spark, sf_dir, "labels"))
+    return _scored(toxicity.score(docs.select("doc_id", "text"), net).drop("text"), 5, 0, 0.5)
 
 
 def op3_semi_markov_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = warc.write_archives(table(spark, sf_dir, "pages"))
     captures = warc.assemble(warc.read_archives(spark, path))
@@ -33,7 +55,7 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_semi_markov_pii, op5_warc_transactions, op6_vector_packing, op8_url_rules, op9_minhash_near_dedup)}
+    return {f.__name__: f for f in (op1_quality_pu, op2_toxicity, op3_semi_markov_pii, op4_decontaminate, op5_warc_transactions, op6_vector_packing, op8_url_rules, op9_minhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
