@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skytally.llm import decontaminate, near_dedup, packing, pii, quality_pu, toxicity, url_rules, warc
+from skytally.llm import decontaminate, licenses, near_dedup, packing, pii, quality_pu, quality_rules, toxicity, url_rules, warc
 from skytally.llm.common import fold_of, table
 
 
@@ -46,6 +46,10 @@ def op6_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(table(spark, sf_dir, "pages"))
 
@@ -54,9 +58,22 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
 
 
+def op10_license_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_pu, op2_toxicity, op3_semi_markov_pii, op4_decontaminate, op5_warc_transactions, op6_vector_packing, op8_url_rules, op9_minhash_near_dedup)}
+    ops = (
+        op1_quality_pu, op2_toxicity, op3_semi_markov_pii, op4_decontaminate, op5_warc_transactions,
+        op6_vector_packing, op7_quality_rules, op8_url_rules, op9_minhash_near_dedup, op10_license_sentences,
+    )
+    return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_warc_transactions": warc.ORACLE_SQL, "op8_url_rules": url_rules.ORACLE_SQL}
+    return {
+        "op5_warc_transactions": warc.ORACLE_SQL,
+        "op7_quality_rules": quality_rules.ORACLE_SQL,
+        "op8_url_rules": url_rules.ORACLE_SQL,
+        "op10_license_sentences": licenses.ORACLE_SQL,
+    }
