@@ -5,13 +5,174 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from skytally.functions.dialect import DUCKDB, fill
+from skytally.operators import analyst, decisions, detectors, economics, evaluation, governance, graph
+from skytally.sources.telemetry import ORACLE_VIEW, load
+from skytally.streaming import windows
 
 FLAGSHIP = "fused_scores"
+Query = Callable[[SparkSession, str], DataFrame]
+_VIEW = f"({ORACLE_VIEW}) AS telemetry"
+
+#: Scores as without history (economic and silent risk 0): what the store holds when records come one by one.
+_PLAIN = "SELECT *, 0.0 AS economic, 0.0 AS silent FROM {rows}"
+
+
+def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detections of all events as the analyst store holds them."""
+    plain = load(spark, sf_dir).withColumns({"economic": F.lit(0.0), "silent": F.lit(0.0)})
+    return decisions.decided(decisions.matrix(plain))
+
+
+def _layers(*texts: str, inner: str = _VIEW) -> str:
+    for text in texts:
+        inner = f"({fill(text, DUCKDB).format(rows=inner)}) AS layer"
+    return inner
+
+
+_STORED = _layers(_PLAIN, decisions.MATRIX, decisions.DECIDED)
+_SCORED = f"(SELECT event_id, fused_score AS score, anomaly_type = 'execution_failure' AS truth FROM {_STORED}) AS scored"
+
+
+def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(spark, sf_dir).select("event_id", F.col("fused_score").alias("score"), (F.col("anomaly_type") == "execution_failure").alias("truth"))
+
+
+def _on_view(operator: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda spark, sf_dir: operator(load(spark, sf_dir))
+
+
+def _on_store(operator: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda spark, sf_dir: operator(stored(spark, sf_dir))
+
+
+def _panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decisions.fused(detectors.votes(load(spark, sf_dir)))
+
+
+def _grid(spark: SparkSession) -> DataFrame:
+    rows = [(t, k) for _, t, k in decisions.TECHNIQUES] + [decisions.DEFAULT_TECHNIQUE]
+    return spark.createDataFrame(rows, "tactic string, technique string")
+
+
+def _threat_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analyst.threat_map(stored(spark, sf_dir), _grid(spark))
+
+
+def _feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = stored(spark, sf_dir).where("decision <> 'observe'")
+    return decisions.feedback_trust(rows.select("function_id", "t_us", "event_id", (F.col("event_id") % 3 != 0).alias("confirmed"), (F.col("tactic") == "impact").alias("impact"), "alignment"))
+
+
+def _redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return governance.redaction_report(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def _audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = load(spark, sf_dir).select(F.col("function_id").alias("actor"), F.col("t_us").alias("ts"), F.col("event_id").alias("id"), F.concat_ws(",", "event_id", "phase", "anomaly_type").alias("payload"))
+    return analyst.audit_chain(rows)
+
+
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return pages.select("page_id", F.md5(governance.sanitise(F.col("html"))).alias("digest"), governance.looks_like_sql(F.col("html")).alias("sql_like"), governance.clean_url(F.col("url")).alias("url"))
+
+
+def _stream(made: Callable[[DataFrame], DataFrame], mode: str = "complete") -> Query:
+    return lambda spark, sf_dir: windows.drained(made(windows.source(spark, sf_dir)), mode)
+
+
+_WINDOW = "count(*) AS n, round(avg(duration), 4) AS mean_duration, max(duration) AS max_duration, count(*) FILTER (WHERE truth) AS errors"
+_DEGREE_VIEW = f"(SELECT function_id, decision, t_us, unnest(string_split(techniques, ',')) AS technique FROM {_STORED}) AS used"
+_RANKED = "CASE max(CASE decision WHEN 'observe' THEN 0 WHEN 'review' THEN 1 ELSE 2 END) WHEN 0 THEN 'observe' WHEN 1 THEN 'review' WHEN 2 THEN 'escalate' END"
+
+#: name: (query, SQL or None)
+QUERIES: dict[str, tuple[Query, str | None]] = {
+    "telemetry_view": (load, ORACLE_VIEW),
+    "detector_votes": (_on_view(detectors.votes), detectors.ORACLE_SQL),
+    "fused_scores": (_panel, decisions.FUSED_SQL),
+    "detection_matrix": (lambda s, d: decisions.matrix(_panel(s, d)), decisions.MATRIX_SQL),
+    "decisions": (lambda s, d: decisions.decided(decisions.matrix(_panel(s, d))), decisions.DECIDED_SQL),
+    "stored_detections": (stored, f"SELECT * FROM {_STORED}"),
+    "top_decisions": (
+        _on_store(decisions.top_decisions),
+        f"SELECT * FROM (SELECT function_id, event_id, fused_score, decision, row_number() OVER (PARTITION BY function_id ORDER BY fused_score DESC, event_id) AS rank FROM {_STORED}) WHERE rank <= 3",
+    ),
+    "feedback_trust": (_feedback, None),
+    "list_detections": (
+        _on_store(lambda x: analyst.list_detections(x, decision="review", text="failure", technique="T1059.009", limit=40, offset=10)),
+        f"SELECT * FROM {_STORED} WHERE decision = 'review' AND (contains(lower(function_id), 'failure') OR contains(lower(anomaly_type), 'failure') OR contains(lower(decision), 'failure')) AND list_contains(string_split(techniques, ','), 'T1059.009') ORDER BY t_us DESC, event_id DESC LIMIT 40 OFFSET 10",
+    ),
+    "severity_mix": (_on_store(analyst.severity_mix), f"SELECT d AS decision, count(s.event_id) AS n FROM (SELECT unnest(['observe', 'review', 'escalate']) AS d) LEFT JOIN {_STORED.removesuffix(' AS layer')} AS s ON s.decision = d GROUP BY d"),
+    "hourly_histogram": (
+        _on_store(analyst.histogram),
+        f"WITH c AS (SELECT t_us // 3600000000 * 3600000000 AS bin, count(*) FILTER (WHERE decision = 'observe') AS observe, count(*) FILTER (WHERE decision = 'review') AS review, count(*) FILTER (WHERE decision = 'escalate') AS escalate FROM {_STORED} GROUP BY 1), b AS (SELECT unnest(generate_series((SELECT min(bin) FROM c), (SELECT max(bin) FROM c), 3600000000)) AS bin) SELECT b.bin, coalesce(observe, 0) AS observe, coalesce(review, 0) AS review, coalesce(escalate, 0) AS escalate FROM b LEFT JOIN c USING (bin)",
+    ),
+    "function_rollup": (
+        _on_store(analyst.function_rollup),
+        f"SELECT function_id, count(*) AS n, count(*) FILTER (WHERE t_us > now - 86400000000) AS n_day, count(*) FILTER (WHERE t_us > now - 604800000000) AS n_week, max(t_us) AS last_us, round(avg(fused_score), 4) AS mean_score, {_RANKED} AS worst, max(t.techniques) AS techniques FROM (SELECT *, max(t_us) OVER () AS now FROM {_STORED}) AS r JOIN (SELECT function_id, string_agg(DISTINCT technique, ',' ORDER BY technique) AS techniques FROM {_DEGREE_VIEW} GROUP BY 1) AS t USING (function_id) GROUP BY function_id",
+    ),
+    "threat_map": (
+        _threat_map,
+        "SELECT tactic, technique, coalesce(n, 0) AS n, worst FROM (VALUES " + ", ".join(f"('{t}', '{k}')" for t, k in [(t, k) for _, t, k in decisions.TECHNIQUES] + [decisions.DEFAULT_TECHNIQUE]) + f") AS g(tactic, technique) LEFT JOIN (SELECT technique, count(*) AS n, {_RANKED} AS worst FROM {_DEGREE_VIEW} GROUP BY 1) AS c USING (technique)",
+    ),
+    "technique_top": (
+        _on_store(analyst.technique_top),
+        f"SELECT * FROM (SELECT function_id, technique, count(*) AS n, row_number() OVER (PARTITION BY function_id ORDER BY count(*) DESC, technique) AS rank FROM {_DEGREE_VIEW} GROUP BY 1, 2) WHERE rank <= 5",
+    ),
+    "audit_chain": (
+        _audit,
+        f"WITH r AS (SELECT function_id AS actor, t_us AS ts, event_id AS id, concat_ws(',', event_id, phase, anomaly_type) AS payload FROM {_VIEW}), p AS (SELECT *, coalesce(lag(sha256(payload)) OVER (PARTITION BY actor ORDER BY ts, id), '') AS prev_hash FROM r) SELECT *, sha256(concat(prev_hash, '|', payload)) AS row_hash FROM p",
+    ),
+    "audit_broken_links": (lambda s, d: analyst.broken_links(_audit(s, d)), "SELECT NULL::VARCHAR AS actor, NULL::BIGINT AS first_broken, NULL::BIGINT AS n_broken WHERE false"),
+    "keep_newest": (
+        _on_store(lambda x: analyst.keep_newest(x.select("function_id", "event_id", "t_us"), 5, by="function_id", order="t_us")),
+        f"SELECT function_id, event_id, t_us FROM (SELECT *, row_number() OVER (PARTITION BY function_id ORDER BY t_us DESC) AS k FROM {_STORED}) WHERE k <= 5",
+    ),
+    "threshold_sweep": (lambda s, d: evaluation.threshold_sweep(scored(s, d)), fill(evaluation.SWEEP, DUCKDB).format(rows=_SCORED, steps="range(5, 96) AS r(i)")),
+    "roc_auc": (lambda s, d: evaluation.auc(scored(s, d)), fill(evaluation.AUC, DUCKDB).format(rows=_SCORED)),
+    "effect_sizes": (lambda s, d: evaluation.effects(scored(s, d)), fill(evaluation.EFFECTS, DUCKDB).format(rows=_SCORED)),
+    "outlier_baselines": (_on_view(evaluation.baselines), fill(evaluation.BASELINES, DUCKDB).format(rows=_VIEW)),
+    "cost_spikes": (_on_view(economics.spikes), fill(economics.SPIKES, DUCKDB).format(rows=_VIEW)),
+    "cost_profile": (_on_view(economics.profile), fill(economics.PROFILE, DUCKDB).format(rows=_VIEW)),
+    "economic_risk": (_on_view(economics.risk), fill(economics.RISK, DUCKDB).format(rows=_VIEW)),
+    "record_validation": (_on_view(governance.validate), fill(governance.VALIDATE, DUCKDB).format(rows=_VIEW)),
+    "batch_quality": (_on_view(governance.batch_quality), fill(governance.QUALITY, DUCKDB).format(rows=_VIEW)),
+    "incidents": (_on_view(governance.incidents), fill(governance.INCIDENTS, DUCKDB).format(rows=_VIEW)),
+    "repeated_records": (_on_view(governance.repeats), fill(governance.REPEATS, DUCKDB).format(rows=_VIEW)),
+    "document_redaction": (
+        _redaction,
+        "WITH a AS (SELECT doc_id, regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+', '[REDACTED_EMAIL]', 'g') AS t FROM documents), b AS (SELECT doc_id, regexp_replace(t, '\\b[0-9]{1,3}\\.[0-9]{1,3}\\.[0-9]{1,3}\\.[0-9]{1,3}\\b', '[REDACTED_IP]', 'g') AS t FROM a), c AS (SELECT doc_id, regexp_replace(t, '\\b[0-9]{16}\\b', '[REDACTED_CARD]', 'g') AS t FROM b), e AS (SELECT doc_id, regexp_replace(t, '\\+[0-9]{1,3} \\([0-9]{3}\\) [0-9]{3}-[0-9]{4}', '[REDACTED_PHONE]', 'g') AS t FROM c) SELECT doc_id, "
+        + ", ".join(f"CAST((length(t) - length(replace(t, '[REDACTED_{k}]', ''))) / {len(f'[REDACTED_{k}]')} AS BIGINT) AS n_{k.lower()}" for k, _ in governance.PATTERNS)
+        + ", md5(t) AS digest FROM e",
+    ),
+    "page_sanitising": (
+        _pages,
+        "SELECT page_id, md5(replace(replace(replace(replace(replace(translate(regexp_replace(regexp_replace(html, '[​‌‍⁠﻿]', '', 'g'), '<script[^>]*>.*?</script>', '', 'gis'), ';|$`', ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;')) AS digest, regexp_matches(html, '(?i)\\b(union\\s+select|drop\\s+table|insert\\s+into|delete\\s+from)\\b') AS sql_like, CASE WHEN regexp_matches(lower(url), '^https?://') THEN regexp_replace(url, '^(https?://)[^/?#@]*@', '\\1') END AS url FROM pages",
+    ),
+    "graph_edges": (_on_view(graph.edges), graph.oracle(graph.EDGES, ORACLE_VIEW)),
+    "anomaly_centrality": (_on_view(lambda x: graph.run(graph.CENTRALITY, x)), graph.oracle(graph.CENTRALITY, ORACLE_VIEW)),
+    "previous_record": (_on_view(lambda x: graph.run(graph.AS_OF, x)), graph.oracle(graph.AS_OF, ORACLE_VIEW)),
+    "function_transitions": (_on_view(lambda x: graph.run(graph.TRANSITIONS, x)), graph.oracle(graph.TRANSITIONS, ORACLE_VIEW)),
+    "function_pagerank": (_on_view(lambda x: graph.pagerank(graph.run(graph.TRANSITIONS, x))), graph.pagerank_sql(graph.oracle(graph.TRANSITIONS, ORACLE_VIEW))),
+    "stream_tumbling": (_stream(windows.tumbling), f"SELECT t_us // 30000000 * 30000000 AS start_us, t_us // 30000000 * 30000000 + 30000000 AS end_us, function_id, {_WINDOW} FROM {_VIEW} GROUP BY 1, 2, 3"),
+    "stream_sliding": (
+        _stream(windows.sliding),
+        f"SELECT start_us, start_us + 30000000 AS end_us, function_id, {_WINDOW} FROM (SELECT *, t_us // 10000000 * 10000000 - o * 10000000 AS start_us FROM {_VIEW}, (SELECT unnest([0, 1, 2]) AS o)) GROUP BY 1, 2, 3",
+    ),
+    "stream_sessions": (
+        _stream(windows.sessions),
+        f"SELECT min(t_us) AS start_us, max(t_us) + 30000000 AS end_us, function_id, {_WINDOW} FROM (SELECT *, sum(fresh) OVER (PARTITION BY function_id ORDER BY t_us ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS k FROM (SELECT *, CASE WHEN t_us - lag(t_us) OVER (PARTITION BY function_id ORDER BY t_us) < 30000000 THEN 0 ELSE 1 END AS fresh FROM {_VIEW})) GROUP BY function_id, k",
+    ),
+    "stream_deduplicated": (_stream(lambda x: windows.deduplicated(x).drop("at"), "append"), ORACLE_VIEW),
+}
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return {name: query for name, (query, _) in QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in QUERIES.items() if sql}
