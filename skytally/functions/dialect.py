@@ -7,10 +7,12 @@ import re
 SPARK = {
     "micros": "unix_micros(CAST(ts AS TIMESTAMP))", "div": "DIV", "json_k": "CAST(get_json_object(props, '$.k') AS BIGINT)", "percentile": "percentile", "first_known": "first_value({0}) IGNORE NULLS",
     "hour": "pmod(t_us DIV 3600000000, 24)", "string": "STRING",
+    "hash": "CAST(conv(substr(md5(CAST({0} AS STRING)), 1, 8), 16, 10) AS BIGINT)", "chars": "split({0}, '')", "explode": "explode({0})",
 }
 DUCKDB = {
     "micros": "epoch_us(ts)", "div": "//", "json_k": "CAST(json_extract_string(props, '$.k') AS BIGINT)", "percentile": "quantile_cont", "first_known": "first_value({0} IGNORE NULLS)",
     "hour": "(t_us // 3600000000) % 24", "string": "VARCHAR",
+    "hash": "CAST('0x' || substr(md5(CAST({0} AS VARCHAR)), 1, 8) AS BIGINT)", "chars": "string_split({0}, '')", "explode": "unnest({0})",
 }
 
 
@@ -21,7 +23,12 @@ def fill(text: str, dialect: dict[str, str]) -> str:
     """Replaces ``<name>`` and ``<name:argument>``; decimal numbers become doubles, as both engines else compute with few places."""
 
     def one(m: re.Match) -> str:
-        found = dialect[m[1]]
+        found = dialect.get(m[1])
+        if found is None:
+            return m[0]
         return found.format(m[2]) if m[2] is not None else found
 
-    return _DECIMAL.sub(r"\1e0", re.sub(r"<(\w+)(?::([^<>]*))?>", one, text))
+    before = None
+    while before != text:  # innermost first: an argument may hold placeholders
+        before, text = text, re.sub(r"<(\w+)(?::([^<>]*))?>", one, text)
+    return _DECIMAL.sub(r"\1e0", text)

@@ -8,10 +8,11 @@ so each document need only be listed under its rarest ones; values that very man
 document consists of them.
 
 1. Equal sets are one class, represented by its smallest document.
-2. In each list every class meets the smallest class of the list; each class keeps the one it meets most often. Pairs that pass
-   the estimate from the union's sketch are verified on full sets, and joined into components.
-3. Lists that still hold several components give the pairs across them: those that share enough lists and pass the estimate are
-   verified on full sets too, and the components joined again.
+2. The hub of a list is its class whose keys are the most common ones, in a group of near copies the one the others derive from.
+   Each class takes the hub it meets most often as its home, and is compared with it on full sets.
+3. Classes of one home that are not yet in its main component are compared, on full sets, with blocks of the home's classes.
+4. Lists that still hold several components and homes give the pairs across both: those that share enough lists and pass the
+   estimate from the union's sketch are verified on full sets.
 
 So no list is expanded into all its pairs, while any two similar classes end in one component. Hashes have 64 bits.
 """
@@ -86,12 +87,13 @@ def needed(n: Column, k: int, percent: int) -> Column:
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, size: int, k: int) -> DataFrame:
-    """doc_id, n_shingles, a fingerprint of the whole set (fp, fp2) and its sketch."""
+    """doc_id, n_shingles, a fingerprint of the whole set (fp, fp2) and its sketch, of which the upper halves of the hashes are kept."""
     words = docs.select(F.col(id_col).cast("long").alias("doc_id"), words_of(blank_null(F.col(text_col))).alias("w"))
     sets = words.select("doc_id", shingle_set(F.col("w"), size).alias("s"))
     return sets.select(
-        "doc_id", F.size("s").cast("long").alias("n_shingles"), F.xxhash64("s").alias("fp"), F.hash("s").alias("fp2"), F.slice("s", 1, k).alias("sketch")
-    )
+        "doc_id", F.size("s").cast("long").alias("n_shingles"), F.xxhash64("s").alias("fp"), F.hash("s").alias("fp2"),
+        F.transform(F.slice("s", 1, k), lambda x: F.shiftright(x, 32).cast("int")).alias("sketch"),
+    )
 
 
 def listed(classes: DataFrame, k: int, percent: int, least: int = 2) -> DataFrame:
@@ -107,8 +109,8 @@ def listed(classes: DataFrame, k: int, percent: int, least: int = 2) -> DataFram
     need = needed(F.col("n"), k, percent)
     some = F.least(F.lit(least), need)
     slots = (total - need + some) - (total - F.size("keys"))
-    kept = met.withColumns({"least": some, "slots": slots.cast("int")}).where("slots > 0")
-    return kept.select("node", "n", "least", F.explode(F.slice("keys.key", F.lit(1), F.col("slots"))).alias("key"))
+    kept = met.withColumns({"least": some, "slots": slots.cast("int"), "weight": F.aggregate("keys", F.lit(0).cast("long"), lambda a, x: a + x["df"])}).where("slots > 0")
+    return kept.select("node", "n", "least", "weight", F.explode(F.slice("keys.key", F.lit(1), F.col("slots"))).alias("key"))
 
 
 def compatible(n: str, m: str, percent: int) -> Column:
@@ -116,29 +118,55 @@ def compatible(n: str, m: str, percent: int) -> Column:
 
 
 def estimated(pairs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
-    """Pairs (a, b) whose overlap within the union's sketch doesn't rule them out; it is exact for sets within a sketch."""
+    """Pairs (a, b) whose overlap within the union's sketch doesn't rule them out; for sets within a sketch it is exact, but for a value's room for halves that collide."""
     side = lambda x: classes.select(F.col("node").alias(x), F.col("sketch").alias(f"s{x}"), F.col("n_shingles").alias(f"n{x}"))
     both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
     union = F.slice(F.sort_array(F.array_union("sa", "sb")), 1, k)
     sized = both.where(compatible("na", "nb", percent)).select("a", "b", F.size(F.array_intersect(F.array_intersect("sa", "sb"), union)).alias("shared"), F.size(union).alias("of"), F.greatest("na", "nb").alias("n"))
-    enough = F.when(F.col("n") <= k, F.col("shared") * 100 >= F.col("of") * percent).otherwise(F.col("shared") >= shared_at_least(k, percent / 100))
+    enough = F.when(F.col("n") <= k, (F.col("shared") + 1) * 100 >= F.col("of") * percent).otherwise(F.col("shared") >= shared_at_least(k, percent / 100))
     return sized.where(enough).select("a", "b")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
-    """Pairs (a, b) with the similarity asked for on full sets, which are made from the texts of these documents alone."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = docs.select(F.col(id_col).cast("long").alias("node"), blank_null(F.col(text_col)).alias("t"))
-    words = texts.join(wanted.hint("shuffle_hash"), "node", "left_semi").select("node", words_of(F.col("t")).alias("w"))
-    sets = materialise(words.select("node", shingle_set(F.col("w"), size).alias("s")), "sets")
+def similar(shared: Column, n: Column, m: Column, percent: int) -> Column:
+    """Whether sets of n and m with so many shared reach the similarity."""
+    return shared * (100 + percent) >= (n + m) * percent
+
+
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) with the similarity asked for on full sets."""
     side = lambda x: sets.select(F.col("node").alias(x), F.col("s").alias(f"s{x}"))
     both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
-    shared = both.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("i"), (F.size("sa") + F.size("sb")).alias("n"))
-    return shared.where(F.col("i") * 100 >= (F.col("n") - F.col("i")) * percent).select("a", "b").distinct()
+    shared = both.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("i"), F.size("sa").alias("na"), F.size("sb").alias("nb"))
+    return shared.where(similar(F.col("i"), F.col("na"), F.col("nb"), percent)).select("a", "b").distinct()
+
+
+def within_homes(homes: DataFrame, sets: DataFrame, percent: int, block: int = 262_144) -> DataFrame:
+    """Links (a, b) between classes of one home in different components; ``homes`` has node, home and component.
+
+    A home's classes are dealt into blocks of about ``block`` shingles. Each class outside the home's main component goes to every
+    block and is compared with the block's classes there, so no pair is a row unless it is a link, and blocks spread over tasks.
+    """
+    sized = homes.join(sets.select("node", F.size("s").alias("n")), "node")
+    parts = sized.groupBy("home", "component").agg(F.count("*").alias("c"), F.sum("n").alias("n"))
+    split = (
+        parts.groupBy("home").agg(F.count("*").alias("parts"), F.max_by("component", F.struct("c", "component")).alias("main"), F.sum("n").alias("n"))
+        .where("parts > 1").select("home", "main", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    )
+    rows = homes.join(split, "home").join(sets.select("node", "s"), "node")
+    own = F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int")
+    blocks = rows.groupBy("home", own.alias("block")).agg(F.collect_list(F.struct("node", "component", "s")).alias("members"))
+    asking = rows.where("component <> main").select("home", "main", F.col("node").alias("a"), F.col("component").alias("of"), F.col("s").alias("sa"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+
+    def links(y: Column) -> Column:
+        n, m = F.size("sa"), F.size(y["s"])
+        once = (y["component"] != F.col("of")) & ((y["component"] == F.col("main")) | (y["node"] < F.col("a")))
+        return once & (n * 100 >= m * percent) & (m * 100 >= n * percent) & similar(F.size(F.array_intersect("sa", y["s"])), n, m, percent)
+
+    return asking.join(blocks, ["home", "block"]).select("a", F.explode(F.transform(F.filter("members", links), lambda y: y["node"])).alias("b"))
 
 
 def near_duplicates(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, k: int = 48
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, k: int = 96
 ) -> DataFrame:
     """doc_id, n_shingles, component_id and kept (doc_id = component_id) for every row of ``docs``.
 
@@ -152,25 +180,37 @@ def near_duplicates(
     classes = materialise(full.groupBy("fp", "fp2", "n_shingles").agg(F.min("doc_id").alias("node"), F.first("sketch").alias("sketch")), "classes")
     lists = materialise(listed(classes, k, percent), "lists")
 
-    first = lists.groupBy("key").agg(F.min("node").alias("hub"))
-    meets = lists.join(first, "key").where("hub < node").groupBy("node", "hub").agg(F.count("*").alias("times"))
-    stars = meets.groupBy("node").agg(F.max_by("hub", F.struct("times", -F.col("hub"))).alias("b")).select(F.col("node").alias("a"), "b")
-    close = materialise(estimated(stars, classes, k, percent), "pairs")
-    linked = verified(close, docs, id_col, text_col, words, percent)
-    found = components(linked)
-
-    labelled = lists.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    rest = materialise(labelled.join(mixed, "key", "left_semi"), "rest")
-    side = lambda x: rest.select("key", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "least", "component")))
+    hubs = lists.groupBy("key").agg(F.max_by("node", F.struct("weight", -F.col("node"))).alias("hub"))
+    meets = lists.join(hubs, "key").groupBy("node", "hub").agg(F.count("*").alias("times"))
+    other = F.struct((F.col("hub") != F.col("node")).cast("int"), "times", -F.col("hub"))
+    nearest = meets.groupBy("node").agg(F.max_by("hub", other).alias("near"), F.max_by("hub", F.struct("times", -F.col("hub"))).alias("home"))
+    nearest = materialise(nearest, "homes")
+
+    texts = docs.select(F.col(id_col).cast("long").alias("node"), blank_null(F.col(text_col)).alias("t"))
+    listed_words = texts.join(nearest.select("node").hint("shuffle_hash"), "node", "left_semi").select("node", words_of(F.col("t")).alias("w"))
+    sets = materialise(listed_words.select("node", shingle_set(F.col("w"), words).alias("s")), "sets")
+
+    stars = materialise(verified(nearest.where("near <> node").select(F.col("node").alias("a"), F.col("near").alias("b")), sets, percent), "links")
+    found = components(stars)
+    label = lambda df: df.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    # Homes whose hubs are linked are one.
+    hub_of = found.select(F.col("node").alias("home"), F.col("component").alias("hub"))
+    homes = materialise(nearest.select("node", "home").join(hub_of, "home", "left").select("node", F.coalesce("hub", "home").alias("home")), "homes")
+    inner = materialise(within_homes(label(homes), sets, percent), "links")
+    found = components(stars.union(inner))
+
+    labelled = label(lists.drop("weight").join(homes, "node"))
+    mixed = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("home").alias("lh"), F.max("home").alias("hh"))
+    rest = materialise(labelled.join(mixed.where("lo < hi AND lh < hh").select("key"), "key", "left_semi"), "rest")
+    side = lambda x: rest.select("key", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "least", "component", "home")))
     across = (
         side("a").join(side("b"), "key")
-        .where(F.col("node_a") < F.col("node_b")).where("component_a <> component_b").where(compatible("n_a", "n_b", percent))
+        .where("node_a < node_b AND component_a <> component_b AND home_a <> home_b").where(compatible("n_a", "n_b", percent))
         .groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b")).agg(F.count("*").alias("times"), F.min(F.least("least_a", "least_b")).alias("least"))
         .where("times >= least")
     )
     more = materialise(estimated(across, classes, k, percent), "pairs")
-    late = verified(more, docs, id_col, text_col, words, percent)
+    late = verified(more, sets, percent)
     stars_found = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
     final = components(stars_found.union(late))
 

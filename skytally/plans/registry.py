@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skytally.functions.dialect import DUCKDB, fill
-from skytally.operators import analyst, decisions, detectors, economics, evaluation, governance, graph
+from skytally.operators import analyst, decisions, detectors, economics, evaluation, governance, graph, sampling, silent, transforms
 from skytally.sources.telemetry import ORACLE_VIEW, load
 from skytally.streaming import windows
 
@@ -157,6 +157,17 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "previous_record": (_on_view(lambda x: graph.run(graph.AS_OF, x)), graph.oracle(graph.AS_OF, ORACLE_VIEW)),
     "function_transitions": (_on_view(lambda x: graph.run(graph.TRANSITIONS, x)), graph.oracle(graph.TRANSITIONS, ORACLE_VIEW)),
     "function_pagerank": (_on_view(lambda x: graph.pagerank(graph.run(graph.TRANSITIONS, x))), graph.pagerank_sql(graph.oracle(graph.TRANSITIONS, ORACLE_VIEW))),
+    "sampling_profile": (_on_view(lambda x: sampling.run(sampling.PROFILE, x)), graph.oracle(sampling.PROFILE, ORACLE_VIEW)),
+    "sampling_summary": (_on_view(lambda x: sampling.run(sampling.SUMMARY, x)), graph.oracle(sampling.SUMMARY, ORACLE_VIEW)),
+    "silent_failures": (_on_view(lambda x: silent.run(silent.PROBABILITY, x)), fill(silent.PROBABILITY, DUCKDB).format(rows=f"({ORACLE_VIEW})")),
+    "dialogue_traces": (lambda s, d: silent.run(silent.TRACES, s.read.parquet(f"{d}/conversations.parquet")), fill(silent.TRACES, DUCKDB).format(rows="conversations")),
+    "temporal_properties": (_on_view(lambda x: silent.run(silent.PROPERTIES, x)), graph.oracle(silent.PROPERTIES, ORACLE_VIEW)),
+    "causal_pairs": (_on_view(lambda x: silent.run(silent.CAUSES, x)), fill(silent.CAUSES, DUCKDB).format(rows=_VIEW, offsets="[1, 2, 3, 4, 5]")),
+    "text_entropy": (lambda s, d: silent.run(silent.ENTROPY, s.read.parquet(f"{d}/documents.parquet")), fill(silent.ENTROPY, DUCKDB).format(rows="documents")),
+    "perturbed_records": (_on_view(lambda x: transforms.run(transforms.PERTURBED, x)), graph.oracle(transforms.PERTURBED, ORACLE_VIEW)),
+    "transform_utility": (_on_view(lambda x: transforms.run(transforms.UTILITY, x)), graph.oracle(transforms.UTILITY, ORACLE_VIEW)),
+    "privacy_budget": (_on_view(lambda x: transforms.run(transforms.BUDGET, x)), graph.oracle(transforms.BUDGET, ORACLE_VIEW)),
+    "anonymity_groups": (_on_view(lambda x: transforms.run(transforms.ANONYMITY, x)), graph.oracle(transforms.ANONYMITY, ORACLE_VIEW)),
     "stream_tumbling": (_stream(windows.tumbling), f"SELECT t_us // 30000000 * 30000000 AS start_us, t_us // 30000000 * 30000000 + 30000000 AS end_us, function_id, {_WINDOW} FROM {_VIEW} GROUP BY 1, 2, 3"),
     "stream_sliding": (
         _stream(windows.sliding),
