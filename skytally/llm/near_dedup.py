@@ -11,8 +11,8 @@ document consists of them.
 2. The hub of a list is its class whose keys are the most common ones, in a group of near copies the one the others derive from.
    Each class takes the hub it meets most often as its home, and is compared with it on full sets.
 3. Classes of one home that are not yet in its main component are compared, on full sets, with blocks of the home's classes.
-4. Lists that still hold several components and homes give the pairs across both: those that share enough lists and pass the
-   estimate from the union's sketch are verified on full sets.
+4. In lists that still hold several components and homes, classes are compared in blocks across both: those that share enough
+   lists and pass the estimate from the union's sketch are verified on full sets.
 
 So no list is expanded into all its pairs, while any two similar classes end in one component. Hashes have 64 bits.
 """
@@ -113,18 +113,13 @@ def listed(classes: DataFrame, k: int, percent: int, least: int = 2) -> DataFram
     return kept.select("node", "n", "least", "weight", F.explode(F.slice("keys.key", F.lit(1), F.col("slots"))).alias("key"))
 
 
-def compatible(n: str, m: str, percent: int) -> Column:
-    return (F.col(n) * 100 >= F.col(m) * percent) & (F.col(m) * 100 >= F.col(n) * percent)
+def compatible(n: Column, m: Column, percent: int) -> Column:
+    return (n * 100 >= m * percent) & (m * 100 >= n * percent)
 
 
-def estimated(pairs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
-    """Pairs (a, b) whose overlap within the union's sketch doesn't rule them out; for sets within a sketch it is exact, but for a value's room for halves that collide."""
-    side = lambda x: classes.select(F.col("node").alias(x), F.col("sketch").alias(f"s{x}"), F.col("n_shingles").alias(f"n{x}"))
-    both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
-    union = F.slice(F.sort_array(F.array_union("sa", "sb")), 1, k)
-    sized = both.where(compatible("na", "nb", percent)).select("a", "b", F.size(F.array_intersect(F.array_intersect("sa", "sb"), union)).alias("shared"), F.size(union).alias("of"), F.greatest("na", "nb").alias("n"))
-    enough = F.when(F.col("n") <= k, (F.col("shared") + 1) * 100 >= F.col("of") * percent).otherwise(F.col("shared") >= shared_at_least(k, percent / 100))
-    return sized.where(enough).select("a", "b")
+def passes(shared: Column, of: Column, most: Column, k: int, percent: int) -> Column:
+    """Whether an overlap within the union's sketch leaves a pair, the larger set of which has ``most``, a chance; exact for sets within a sketch, but for a value's room for halves that collide."""
+    return F.when(most <= k, (shared + 1) * 100 >= of * percent).otherwise(shared >= shared_at_least(k, percent / 100))
 
 
 def similar(shared: Column, n: Column, m: Column, percent: int) -> Column:
@@ -160,11 +155,37 @@ def within_homes(homes: DataFrame, sets: DataFrame, percent: int, block: int = 2
     def links(y: Column) -> Column:
         n, m = F.size("sa"), F.size(y["s"])
         once = (y["component"] != F.col("of")) & ((y["component"] == F.col("main")) | (y["node"] < F.col("a")))
-        return once & (n * 100 >= m * percent) & (m * 100 >= n * percent) & similar(F.size(F.array_intersect("sa", y["s"])), n, m, percent)
+        return once & compatible(n, m, percent) & similar(F.size(F.array_intersect("sa", y["s"])), n, m, percent)
 
     return asking.join(blocks, ["home", "block"]).select("a", F.explode(F.transform(F.filter("members", links), lambda y: y["node"])).alias("b"))
 
 
+def across_lists(rest: DataFrame, classes: DataFrame, k: int, percent: int, block: int = 256) -> DataFrame:
+    """Pairs (a, b) of different components and homes that meet often enough in the lists ``rest`` and pass the estimate.
+
+    A list's classes are dealt into blocks of about ``block``. Each class goes to its own block and those after it and is compared
+    with the classes there, so a pair is a row only when it has passed, in the first list that both are in.
+    """
+    keys = rest.groupBy("node").agg(F.collect_list("key").alias("keys"))
+    lengths = rest.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int")
+    rows = rest.join(lengths, "key").join(keys, "node").join(classes.select("node", "sketch"), "node").withColumn("own", own)
+    # The bucket is a column of its own, so that the blocks of one list are dealt apart.
+    member = F.struct("node", "n", "least", "component", "home", "keys", "sketch")
+    blocks = rows.groupBy(F.xxhash64("key", "own").alias("bucket")).agg(F.collect_list(member).alias("members"))
+    asking = rows.withColumn("block", F.explode(F.sequence("own", F.col("blocks") - 1))).withColumn("bucket", F.xxhash64("key", "block"))
+
+    def met(y: Column) -> Column:
+        both = F.array_intersect("keys", y["keys"])
+        once = (y["component"] != F.col("component")) & (y["home"] != F.col("home")) & ((F.col("block") > F.col("own")) | (F.col("node") < y["node"]))
+        often = (F.size(both) >= F.least("least", y["least"])) & (F.array_min(both) == F.col("key"))
+        union = F.slice(F.sort_array(F.array_union("sketch", y["sketch"])), 1, k)
+        shared = F.size(F.array_intersect(F.array_intersect("sketch", y["sketch"]), union))
+        return once & compatible(F.col("n"), y["n"], percent) & often & passes(shared, F.size(union), F.greatest("n", y["n"]), k, percent)
+
+    return asking.join(blocks, "bucket").select(F.col("node").alias("a"), F.explode(F.transform(F.filter("members", met), lambda y: y["node"])).alias("b"))
+
+
 def near_duplicates(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, k: int = 96
 ) -> DataFrame:
@@ -202,14 +223,7 @@ def near_duplicates(
     labelled = label(lists.drop("weight").join(homes, "node"))
     mixed = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("home").alias("lh"), F.max("home").alias("hh"))
     rest = materialise(labelled.join(mixed.where("lo < hi AND lh < hh").select("key"), "key", "left_semi"), "rest")
-    side = lambda x: rest.select("key", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "least", "component", "home")))
-    across = (
-        side("a").join(side("b"), "key")
-        .where("node_a < node_b AND component_a <> component_b AND home_a <> home_b").where(compatible("n_a", "n_b", percent))
-        .groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b")).agg(F.count("*").alias("times"), F.min(F.least("least_a", "least_b")).alias("least"))
-        .where("times >= least")
-    )
-    more = materialise(estimated(across, classes, k, percent), "pairs")
+    more = materialise(across_lists(rest, classes, k, percent), "pairs")
     late = verified(more, sets, percent)
     stars_found = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
     final = components(stars_found.union(late))
