@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skytally.functions.dialect import DUCKDB, fill
-from skytally.operators import analyst, decisions, detectors, economics, evaluation, governance, graph, sampling, silent, transforms
+from skytally.operators import analyst, curves, decisions, detectors, economics, evaluation, governance, graph, records, sampling, silent, timelines, transforms
 from skytally.sources.telemetry import ORACLE_VIEW, load
 from skytally.streaming import windows
 
@@ -181,6 +181,26 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
 }
 
 
+_HOURS = f"SELECT function_id, t_us // 3600000000 * 3600000000 AS bin, count(*) FILTER (WHERE decision = 'observe') AS observe, count(*) FILTER (WHERE decision = 'review') AS review, count(*) FILTER (WHERE decision = 'escalate') AS escalate FROM {_STORED} GROUP BY 1, 2"
+QUERIES["function_histogram"] = (
+    _on_store(lambda x: analyst.histogram(x, by=["function_id"])),
+    f"WITH c AS ({_HOURS}), b AS (SELECT function_id, unnest(generate_series(min(bin), max(bin), 3600000000)) AS bin FROM c GROUP BY function_id) SELECT function_id, bin, coalesce(observe, 0) AS observe, coalesce(review, 0) AS review, coalesce(escalate, 0) AS escalate FROM b LEFT JOIN c USING (function_id, bin)",
+)
+#: Texts that both engines run, over scores and over the telemetry view.
+_ON_SCORES = {"curve_points": curves.POINTS, "curve_areas": curves.AREAS, "alarm_control": curves.ALARMS, "score_gaps": curves.GAPS, "fold_accuracy": curves.FOLDS}
+_ON_RECORDS = {
+    "latency_profile": curves.LATENCY, "loss_comparison": curves.LOSS, "link_accuracy": curves.LINKS, "covariance_envelope": curves.ENVELOPE,
+    "buffer_shedding": timelines.BUFFER, "quality_trend": timelines.TREND, "channel_states": timelines.CHANNELS, "service_ranking": timelines.SERVICE, "incident_overlaps": timelines.OVERLAPS,
+    "majority_phase": timelines.MAJORITY, "metric_summary": timelines.METRICS,
+    "emission_priority": records.EMISSION, "redacted_forms": records.REDACTED, "field_transforms": records.MAPPED, "latest_consent": records.CONSENT,
+}
+for _name, _text in _ON_SCORES.items():
+    QUERIES[_name] = (lambda s, d, text=_text: curves.run(text, scored(s, d)), fill(_text, DUCKDB).format(rows=_SCORED))
+for _name, _text in _ON_RECORDS.items():
+    QUERIES[_name] = (lambda s, d, text=_text: curves.run(text, load(s, d)), fill(_text, DUCKDB).format(rows=_VIEW))
+QUERIES["page_addresses"] = (lambda s, d: records.run(records.ADDRESSES, s.read.parquet(f"{d}/pages.parquet")), fill(records.ADDRESSES, DUCKDB).format(rows="pages"))
+
+
 def queries() -> dict[str, Query]:
     return {name: query for name, (query, _) in QUERIES.items()}
 
