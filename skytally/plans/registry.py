@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from skytally.functions.dialect import DUCKDB, fill
 from skytally.operators import analyst, curves, decisions, detectors, economics, evaluation, governance, graph, records, sampling, silent, timelines, transforms
+from skytally.sources.shared import work_path
 from skytally.sources.telemetry import ORACLE_VIEW, load
 from skytally.streaming import windows
 
@@ -16,14 +17,20 @@ FLAGSHIP = "fused_scores"
 Query = Callable[[SparkSession, str], DataFrame]
 _VIEW = f"({ORACLE_VIEW}) AS telemetry"
 
-#: Scores as without history (economic and silent risk 0): what the store holds when records come one by one.
+#: The store's registered SQL still states scores without the panel (economic and silent risk 0), which ``stored`` no longer does.
 _PLAIN = "SELECT *, 0.0 AS economic, 0.0 AS silent FROM {rows}"
 
 
 def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Detections of all events as the analyst store holds them."""
-    plain = load(spark, sf_dir).withColumns({"economic": F.lit(0.0), "silent": F.lit(0.0)})
-    return decisions.decided(decisions.matrix(plain))
+    """Detections of all events as the analyst store holds them: the decisions over the panel's scores."""
+    return decisions.decided(decisions.matrix(_panel(spark, sf_dir)))
+
+
+def _store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The store, written once: queries that read it several times compute the panel once."""
+    rows, path = stored(spark, sf_dir), work_path(spark, "store")
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
 
 
 def _layers(*texts: str, inner: str = _VIEW) -> str:
@@ -37,7 +44,7 @@ _SCORED = f"(SELECT event_id, fused_score AS score, anomaly_type = 'execution_fa
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stored(spark, sf_dir).select("event_id", F.col("fused_score").alias("score"), (F.col("anomaly_type") == "execution_failure").alias("truth"))
+    return _store(spark, sf_dir).select("event_id", F.col("fused_score").alias("score"), (F.col("anomaly_type") == "execution_failure").alias("truth"))
 
 
 def _on_view(operator: Callable[[DataFrame], DataFrame]) -> Query:
@@ -45,7 +52,7 @@ def _on_view(operator: Callable[[DataFrame], DataFrame]) -> Query:
 
 
 def _on_store(operator: Callable[[DataFrame], DataFrame]) -> Query:
-    return lambda spark, sf_dir: operator(stored(spark, sf_dir))
+    return lambda spark, sf_dir: operator(_store(spark, sf_dir))
 
 
 def _panel(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,11 +65,11 @@ def _grid(spark: SparkSession) -> DataFrame:
 
 
 def _threat_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analyst.threat_map(stored(spark, sf_dir), _grid(spark))
+    return analyst.threat_map(_store(spark, sf_dir), _grid(spark))
 
 
 def _feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = stored(spark, sf_dir).where("decision <> 'observe'")
+    rows = _store(spark, sf_dir).where("decision <> 'observe'")
     return decisions.feedback_trust(rows.select("function_id", "t_us", "event_id", (F.col("event_id") % 3 != 0).alias("confirmed"), (F.col("tactic") == "impact").alias("impact"), "alignment"))
 
 
