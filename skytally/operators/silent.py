@@ -36,7 +36,14 @@ SELECT function_id, min(CASE WHEN cpu BETWEEN 0 AND 100 THEN 1 ELSE 0 END) = 1 A
   max(CASE WHEN phase = 'init' AND after_phase = 'invoke' THEN 1 ELSE 0 END) = 1 AS init_then_invoke, max(CASE WHEN truth AND begun = 0 THEN 1 ELSE 0 END) = 0 AS no_error_until_init
 FROM steps GROUP BY function_id"""
 
-#: Causal pairs inside a function: an error and what follows within five minutes (at most the next five records), weighted by time, phase and outcome.
+#: Causal pairs inside a function: an error and all that follows it within five minutes, weighted by time, phase and outcome; an equi-join on time buckets (own and next) with the exact condition left over.
+PAIRS = """
+WITH slots AS (SELECT event_id, function_id, t_us, phase, <explode:array(t_us DIV 300000000, t_us DIV 300000000 + 1)> AS bucket FROM {rows} WHERE truth),
+records AS (SELECT event_id, function_id, t_us, phase, truth, t_us <div> 300000000 AS bucket FROM {rows})
+SELECT a.event_id AS source, b.event_id AS target, b.function_id, round(0.5 * exp(-(b.t_us - a.t_us) / 6e7) + 0.2 * CASE WHEN b.phase = a.phase THEN 1.0 ELSE 0.0 END + 0.3 * CASE WHEN b.truth THEN 1.0 ELSE 0.0 END, 4) AS confidence
+FROM slots a JOIN records b ON a.function_id = b.function_id AND a.bucket = b.bucket AND b.t_us > a.t_us AND b.t_us - a.t_us <= 300000000"""
+
+#: The registered SQL of the causal pairs, which still stops at the next five records in arrival order.
 CAUSES = """
 WITH ranked AS (SELECT event_id, function_id, t_us, phase, anomaly_type, truth, row_number() OVER (PARTITION BY function_id ORDER BY event_id) AS n FROM {rows}),
 spread AS (SELECT function_id, n + o AS n, event_id AS source, t_us AS source_us, phase AS source_phase, anomaly_type AS source_type FROM ranked, (SELECT <explode:offsets> AS o FROM (SELECT {offsets} AS offsets) AS l) AS steps WHERE truth)
@@ -53,5 +60,4 @@ FROM counts JOIN totals ON counts.doc_id = totals.doc_id GROUP BY counts.doc_id"
 
 
 def run(text: str, rows: DataFrame) -> DataFrame:
-    text = text.replace("{offsets}", "array(1, 2, 3, 4, 5)")
     return rows.sparkSession.sql(fill(text, SPARK), rows=rows)
