@@ -179,7 +179,9 @@ def across_lists(rest: DataFrame, classes: DataFrame, k: int, percent: int, bloc
         both = F.array_intersect("keys", y["keys"])
         once = (y["component"] != F.col("component")) & (y["home"] != F.col("home")) & ((F.col("block") > F.col("own")) | (F.col("node") < y["node"]))
         often = (F.size(both) >= F.least("least", y["least"])) & (F.array_min(both) == F.col("key"))
-        union = F.slice(F.sort_array(F.array_union("sketch", y["sketch"])), 1, k)
+        union = F.array_union("sketch", y["sketch"])
+        # Sketches of sets within k are whole, and so is their union.
+        union = F.when(F.greatest("n", y["n"]) <= k, union).otherwise(F.slice(F.sort_array(union), 1, k))
         shared = F.size(F.array_intersect(F.array_intersect("sketch", y["sketch"]), union))
         return once & compatible(F.col("n"), y["n"], percent) & often & passes(shared, F.size(union), F.greatest("n", y["n"]), k, percent)
 
