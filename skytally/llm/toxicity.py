@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skytally.llm.common import labelled_sample
+from skytally.llm.common import give_back, labelled_sample, sliced
 
 WINDOW, STRIDE = 48, 32
 HIDDEN, WORD_SIZE, CHAR_SIZE, CHAR_ROWS = 8, 8, 8, 4096
@@ -33,12 +33,12 @@ def words_of(text: str | None) -> list[str]:
 
 
 def trigrams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed byte trigrams of all words with their ends marked, and where each word's begin."""
-    data = np.frombuffer(b"".join(b"\x01" + w.encode() + b"\x02" for w in words) + b"\x00\x00", np.uint8).astype(np.uint32)
+    """Hashed byte trigrams of all words with their ends marked, and where each word's begin; words may hold any character."""
+    marked = [b"\x01" + w.encode() + b"\x02" for w in words]
+    data = np.frombuffer(b"".join(marked) + b"\x00\x00", np.uint8).astype(np.uint32)
     code = (data[:-2] * np.uint32(2654435761) ^ data[1:-1] * np.uint32(2246822519) ^ data[2:] * np.uint32(3266489917)) >> np.uint32(7)
-    ends = np.flatnonzero(data == 2)
-    starts = np.concatenate([[0], ends[:-1] + 1]) if len(words) else np.zeros(0, int)
-    return (code[: int(ends[-1]) + 1 if len(ends) else 0] % CHAR_ROWS).astype(np.int64), starts.astype(np.int64)
+    ends = np.cumsum([len(m) for m in marked], dtype=np.int64)
+    return (code % CHAR_ROWS).astype(np.int64), np.concatenate([[0], ends[:-1]]).astype(np.int64) if words else ends
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -217,9 +217,9 @@ def train(rows: list[tuple[str, int]], rounds: int = 12, seed: int = 3, rate: fl
 
 
 class Scorer:
-    """Scores texts by batches, with a bounded table of the inputs of words met so far."""
+    """Scores texts by blocks of ``CHARS`` characters, with a table of the inputs of at most ``WORDS`` words met before a block."""
 
-    WORDS, WINDOWS = 150_000, 2048
+    WORDS, WINDOWS, CHARS = 60_000, 1024, 300_000
 
     def __init__(self, net: Network):
         self.net = net
@@ -243,13 +243,13 @@ class Scorer:
         return np.array(got, np.int64)
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
-        """Largest window score of each text; 0 for those without words. Texts go through by blocks of about a million characters."""
+        """Largest window score of each text; 0 for those without words."""
         out, k = np.zeros(len(texts)), 0
         while k < len(texts):
             if len(self.rows) > self.WORDS:
                 self.clear()
             j, chars = k, 0
-            while j < len(texts) and (j == k or chars + len(texts[j] or "") <= 1_000_000):
+            while j < len(texts) and (j == k or chars + len(texts[j] or "") <= self.CHARS):
                 chars += len(texts[j] or "")
                 j += 1
             words = [words_of(t) for t in texts[k:j]]
@@ -263,9 +263,6 @@ class Scorer:
         return out
 
 
-_scorers: dict[int, Scorer] = {}
-
-
 def fitted(docs: DataFrame, labels: DataFrame, *, folds: int = 5, held: int = 0) -> Network | None:
     """A network trained on the driver from a bounded sample (``TRAIN_ROWS``, ``TRAIN_CHARS``) of labelled documents outside the held-out fold."""
     rows = labelled_sample(docs, labels, "toxic", folds=folds, held=held, rows=TRAIN_ROWS, max_chars=TRAIN_CHARS).collect()
@@ -275,21 +272,21 @@ def fitted(docs: DataFrame, labels: DataFrame, *, folds: int = 5, held: int = 0)
 def score(docs: DataFrame, net: Network | None, *, text_col: str = "text", into: str = "score") -> DataFrame:
     """``docs`` with each whole text's score from 0 to 1; null, empty and blank texts have 0, as has everything without a network.
 
-    Rows, nulls and other columns stay as they are; ``into`` must be a new name. Long texts are scored whole, by all windows.
+    Rows (repeated ones too), nulls and other columns stay as they are; an empty table stays empty; ``into`` must be a new name.
+    Long texts are scored whole, by all windows. Words may hold any character. A task's tables go with it.
     """
     if into in docs.columns:
         raise ValueError(f"there is a column {into} already")
     if net is None:
         return docs.withColumn(into, F.lit(0.0))
-    token = int(np.random.default_rng().integers(1 << 62))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if token not in _scorers:
-            _scorers.clear()
-            _scorers[token] = Scorer(net)
-        for batch in batches:
+        scorer = Scorer(net)
+        for batch in sliced(batches):
             texts = batch.column(batch.schema.names.index(text_col)).to_pylist()
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_scorers[token].scores(texts), pa.float64())], [*batch.schema.names, into])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scorer.scores(texts), pa.float64())], [*batch.schema.names, into])
+        del scorer
+        give_back()
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     return docs.mapInArrow(work, f"{fields}, `{into}` double")
