@@ -62,7 +62,7 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
         at = text.find("@", max(at + 1, done))
     if _DIGITS.search(text):
         if "." in text:
-            found += [(*m.span(), "ip") for m in _IP.finditer(text) if all(len(p.lstrip("0")) < 4 and int(p) <= 255 for p in m[0].split("."))]
+            found += [(*m.span(), "ip") for m in _IP.finditer(text) if all(len(q := p.lstrip("0")) < 4 and int(q or "0") <= 255 for p in m[0].split("."))]
         for m in _CARD.finditer(text):
             digits = m[0].replace(" ", "").replace("-", "")
             if 14 <= len(digits) <= 19 and luhn(digits):
