@@ -2,8 +2,9 @@
 
 Texts are compared in lower case with runs of white space as one space. An item of m characters may occur with up to
 ``rate * m`` edits. Cut into one piece more than that, it has a piece without an edit in every such occurrence. All pieces of
-all items are searched for at once (Aho-Corasick), and around each hit Myers' bit-parallel algorithm computes the least edit
-distance between the item and any stretch of the text.
+all items are searched for at once by the hashes of their first characters, and around each exact hit Myers' bit-parallel
+algorithm computes the least edit distance between the item and any stretch of the text. An item under ``LEAST_CHARS``
+characters must occur exactly and as whole words, for with edits it would be found nearly everywhere.
 """
 
 from __future__ import annotations
@@ -12,24 +13,46 @@ from collections import defaultdict
 from collections.abc import Iterator, Sequence
 from hashlib import sha1
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Errors allowed by character of the item, and the length under which an item is too common to tell anything.
+from skytally.llm.common import give_back, sliced
+
+#: Errors allowed by character of the item, and the length under which an item must occur without any.
 RATE, LEAST_CHARS = 0.08, 40
 #: Bytes of items that are sent to the tasks at once; larger sets go in blocks, each against all documents.
-BLOCK_BYTES = 8_000_000
+BLOCK_BYTES = 32_000_000
+#: Characters of a piece that are hashed at most, and of text that are hashed at once.
+HEAD, CHUNK = 12, 500_000
+BASE, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
 def normal(text: str | None) -> str:
     return " ".join((text or "").lower().split())
 
 
-def cut(text: str, pieces: int) -> list[tuple[int, str]]:
-    """(start, piece) of nearly equal pieces."""
-    at = [k * len(text) // pieces for k in range(pieces + 1)]
-    return [(a, text[a:b]) for a, b in zip(at, at[1:], strict=False)]
+def cut(length: int, pieces: int) -> list[tuple[int, int]]:
+    """(start, end) of nearly equal pieces of so many characters."""
+    at = [k * length // pieces for k in range(pieces + 1)]
+    return list(zip(at, at[1:], strict=False))
+
+
+def codes_of(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def window_hashes(codes: np.ndarray, lengths: set[int]) -> Iterator[tuple[int, np.ndarray]]:
+    """(q, hash of the q characters from each place on) for the lengths asked for; each comes from the one before it."""
+    h = codes.astype(np.uint64) + np.uint64(1)
+    for q in range(1, max(lengths, default=0) + 1):
+        if q > 1:
+            if len(h) < 2:
+                return
+            h = h[:-1] * BASE + codes[q - 1 :]
+        if q in lengths:
+            yield q, h
 
 
 def best_match(item: str, text: str, start: int, end: int, budget: int) -> tuple[int, int] | None:
@@ -59,40 +82,91 @@ def best_match(item: str, text: str, start: int, end: int, budget: int) -> tuple
 
 
 class Index:
-    """The pieces of a block of items."""
+    """The pieces of a block of items by the hash of their first characters.
 
-    def __init__(self, items: Sequence[tuple[int, str]], rate: float):
-        import ahocorasick
-
-        self.items, found = [], defaultdict(list)
-        for item_id, text in items:
-            budget = int(rate * len(text))
-            for at, piece in cut(text, budget + 1):
-                found[piece].append((len(self.items), at))
-            self.items.append((item_id, text, budget))
-        self.search = ahocorasick.Automaton()
-        for piece, where in found.items():
-            self.search.add_word(piece, (len(piece), where))
-        if found:
-            self.search.make_automaton()
+    Hashes of all windows of a text are computed at once; a bit table passes over nearly all of them, and what is left is looked up
+    among the sorted hashes and compared character by character. A piece takes some twenty bytes, whatever its length.
+    """
 
-    def matches(self, text: str) -> Iterator[tuple[int, int, int, int]]:
-        """(item_id, edits, start at the latest, end) of each item that occurs in a normalised text, by its best occurrence."""
-        if not self.items:
-            return
-        spots: dict[int, list[int]] = defaultdict(list)
-        for end, (size, where) in self.search.iter(text):
-            for k, at in where:
-                spots[k].append(end + 1 - size - at)
-        for k, begins in spots.items():
+    def __init__(self, items: Sequence[tuple[int, str]], rate: float):
+        self.items = [(i, t, 0 if len(t) < LEAST_CHARS else int(rate * len(t))) for i, t in items]
+        owner, at, size, where, begin = [], [], [], [], 0
+        for k, (_, text, budget) in enumerate(self.items):
+            for a, z in cut(len(text), budget + 1):
+                owner.append(k)
+                at.append(a)
+                size.append(z - a)
+                where.append(begin + a)
+            begin += len(text)
+        self.owner, self.at, self.size = np.array(owner, np.int64), np.array(at, np.int64), np.array(size, np.int64)
+        first, place = np.minimum(self.size, HEAD), np.array(where, np.int64)
+        codes, self.heads = codes_of("".join(t for _, t, _ in self.items)), {}
+        for q in sorted(set(first.tolist())):
+            own = np.flatnonzero(first == q)
+            h = codes[place[own]].astype(np.uint64) + np.uint64(1)
+            for k in range(1, q):
+                h = h * BASE + codes[place[own] + k]
+            rank = np.argsort(h, kind="stable")
+            order, hashes = own[rank], h[rank]
+            bits = max(16, int(16 * len(hashes)).bit_length())
+            table = np.zeros(1 << bits, bool)
+            table[(hashes * MIX) >> np.uint64(64 - bits)] = True
+            self.heads[q] = (hashes, order, table, np.uint64(64 - bits))
+
+    def hits(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(where, piece) of all windows that hash like a piece's first characters."""
+        found, most = [], max(self.heads, default=0)
+        for a in range(0, len(codes), CHUNK):
+            part = codes[a : a + CHUNK + most - 1]
+            for q, h in window_hashes(part, set(self.heads)):
+                hashes, order, table, shift = self.heads[q]
+                h = h[: min(len(h), CHUNK)]
+                maybe = np.flatnonzero(table[(h * MIX) >> shift])
+                lo, hi = np.searchsorted(hashes, h[maybe], "left"), np.searchsorted(hashes, h[maybe], "right")
+                n = hi - lo
+                inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                found.append((np.repeat(maybe + a, n), order[np.repeat(lo, n) + inner]))
+        if not found:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+
+    def search(self, texts: Sequence[str]) -> Iterator[Iterator[tuple[int, int, int, int]]]:
+        """For each normalised text (item_id, edits, start at the latest, end) of the items that occur in it, by their best occurrence."""
+        spots: list[dict[int, set[int]]] = [defaultdict(set) for _ in texts]
+        begins = np.cumsum([0, *(len(t) for t in texts)])
+        if self.heads:
+            where, piece = self.hits(codes_of("".join(texts)))
+            doc = np.searchsorted(begins, where, "right") - 1
+            for d, p, k, a, n in zip(doc.tolist(), (where - begins[doc]).tolist(), self.owner[piece].tolist(), self.at[piece].tolist(), self.size[piece].tolist(), strict=True):
+                if texts[d][p : p + n] == self.items[k][1][a : a + n]:
+                    spots[d][k].add(p - a)
+        for text, own in zip(texts, spots, strict=True):
+            yield self.verified(text, own)
+
+    def verified(self, text: str, spots: dict[int, set[int]]) -> Iterator[tuple[int, int, int, int]]:
+        for k in sorted(spots):
             item_id, item, budget = self.items[k]
+            if len(item) < LEAST_CHARS:
+                start = min((b for b in spots[k] if apart(text, b, b + len(item))), default=None)
+                if start is not None:
+                    yield item_id, 0, start, start + len(item)
+                continue
             best, reach = None, None
-            for lo, hi in joined(sorted(set(begins)), len(item), budget, len(text)):
+            for lo, hi in joined(sorted(spots[k]), len(item), budget, len(text)):
                 if (got := best_match(item, text, lo, hi, budget)) and (best is None or got < best):
                     best, reach = got, lo
             if best:
                 yield item_id, best[0], max(reach, best[1] - len(item) - best[0]), best[1]
 
+    def matches(self, text: str) -> Iterator[tuple[int, int, int, int]]:
+        return next(self.search([text]))
+
+
+def apart(text: str, start: int, end: int) -> bool:
+    """Whether no letter or digit goes on across either end of text[start:end]."""
+    left = start > 0 and text[start - 1].isalnum() and text[start].isalnum()
+    return not left and not (end < len(text) and text[end].isalnum() and text[end - 1].isalnum())
+
 
 def joined(begins: list[int], size: int, budget: int, length: int) -> Iterator[tuple[int, int]]:
     """Stretches of text around the places where an item may begin; those that overlap are one."""
@@ -121,14 +195,28 @@ def index_of(items: tuple[tuple[int, str], ...], rate: float) -> Index:
     return _built[key]
 
 
+def searched(index: Index, texts: Sequence[str | None]) -> Iterator[tuple[int, Iterator[tuple[int, int, int, int]]]]:
+    """(place, matches) of the texts that aren't empty, normalised and searched by blocks of about ``CHUNK`` characters."""
+    at = 0
+    while at < len(texts):
+        places, block, chars = [], [], 0
+        while at < len(texts) and chars < CHUNK:
+            if texts[at]:
+                places.append(at)
+                block.append(normal(texts[at]))
+                chars += len(block[-1])
+            at += 1
+        yield from zip(places, index.search(block), strict=True)
+
+
 def blocks_of(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Iterator[tuple[tuple[int, str], ...]]:
-    """The items by bounded blocks, normalised, without null ids and texts that are too short."""
+    """The items by bounded blocks, normalised, without null ids and empty texts."""
     rows = benchmark.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).where("i IS NOT NULL AND t IS NOT NULL").distinct()
     size = rows.agg(F.sum(F.octet_length("t")).alias("n")).first()["n"] or 0
     n = -(-size // block_bytes)
     for b in range(n):
         part = rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == b).collect()
-        yield tuple(sorted((r["i"], x) for r in part if len(x := normal(r["t"])) >= LEAST_CHARS))
+        yield tuple(sorted((r["i"], x) for r in part if (x := normal(r["t"]))))
 
 
 def contaminated(
@@ -137,9 +225,10 @@ def contaminated(
 ) -> DataFrame:
     """One row for each document and item that occurs in it: doc_id, item_id, edits, start, end (in the normalised text).
 
-    The nearest occurrence is given, the first of several. Null and empty texts hold nothing; items with a null id or text, or
-    under ``LEAST_CHARS`` characters, match nothing; items that share an id but not their text may give a row each. Repeated
-    documents give their rows again, null ids too. Nothing is shuffled, and a document of any length is searched as a whole.
+    The nearest occurrence is given, the first of several. Null and empty texts hold nothing; items with a null id or a null or
+    blank text match nothing; items that share an id but not their text may give a row each, repeated items count once. Repeated
+    documents give their rows again, null ids too; an empty table of either gives no rows; other columns are ignored. Nothing is
+    shuffled, and a document of any length is searched as a whole.
     """
     out = "doc_id long, item_id long, edits long, start long, end long"
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -147,10 +236,12 @@ def contaminated(
     def found(items: tuple[tuple[int, str], ...]) -> DataFrame:
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index = index_of(items, rate)
-            for batch in batches:
-                rows = [(i, *m) for i, t in zip(*(c.to_pylist() for c in batch.columns), strict=True) if t for m in index.matches(normal(t))]
+            for batch in sliced(batches):
+                ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+                rows = [(ids[k], *m) for k, found in searched(index, texts) for m in found]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["doc_id", "item_id", "edits", "start", "end"])
+            give_back()
 
         return slim.mapInArrow(work, out)
 
@@ -161,15 +252,20 @@ def contaminated(
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", rate: float = RATE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``docs`` without the documents that hold an item."""
+    """``docs`` without the documents that hold an item (see ``contaminated``).
+
+    Null and empty texts and null ids stay, repeated rows stay or go together, an empty table stays empty, and all columns, whatever
+    their names, stay as they are.
+    """
     at = docs.columns.index(text_col)
 
     def kept(df: DataFrame, items: tuple[tuple[int, str], ...]) -> DataFrame:
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index = index_of(items, rate)
-            for batch in batches:
-                keep = [not t or next(index.matches(normal(t)), None) is None for t in batch.column(at).to_pylist()]
-                yield batch.filter(pa.array(keep, pa.bool_()))
+            for batch in sliced(batches):
+                held = {k for k, found in searched(index, batch.column(at).to_pylist()) if next(found, None)}
+                yield batch.filter(pa.array([k not in held for k in range(batch.num_rows)], pa.bool_()))
+            give_back()
 
         return df.mapInArrow(work, docs.schema)
 

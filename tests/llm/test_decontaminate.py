@@ -64,3 +64,24 @@ def test_clean(docs_of, spark):
     assert [r.doc_id for r in decontaminate.clean(docs, bench).orderBy("doc_id").collect()] == [1, 2, 3]
     assert decontaminate.clean(docs, bench.limit(0)).count() == 5 and decontaminate.contaminated(docs, bench.limit(0)).count() == 0
     assert decontaminate.clean(docs.limit(0), bench).columns == docs.columns
+
+
+def test_short_items_match_exactly_as_words(spark, docs_of):
+    docs = docs_of(["say Yes, Please!", "eyes, please", "no", None, "yes,  please and yes, pleasex", "x1"])
+    bench = spark.createDataFrame([(1, "yes, please"), (2, "x1"), (3, "1"), (4, "  ")], ITEMS)
+    got = sorted((r.doc_id, r.item_id, r.edits, r.start, r.end) for r in decontaminate.contaminated(docs, bench).collect())
+    assert got == [(0, 1, 0, 4, 15), (4, 1, 0, 0, 11), (5, 2, 0, 0, 2)]
+
+
+def test_long_texts_and_pieces_across_chunks():
+    """Windows are found wherever a text is cut for hashing, and never across two texts."""
+    rng = random.Random(5)
+    items = [(k, "".join(rng.choices("abcdefghijkl ", k=70)).strip() + "z") for k in range(40)]
+    items = [(k, normal(t)) for k, t in items]
+    index = decontaminate.Index(items, RATE)
+    long = " ".join("".join(rng.choices("mnopq", k=9)) for _ in range(60_000))
+    for at in (decontaminate.CHUNK - 30, 1, 2 * 10**5):
+        text = long[:at] + " " + items[7][1] + " " + long[at:]
+        assert [(m[0], m[1]) for m in index.matches(text)] == [(7, 0)]
+    halves = [items[3][1][:35], items[3][1][35:]]
+    assert [list(m) for m in index.search(halves)] == [[], []]
