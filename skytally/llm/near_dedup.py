@@ -25,7 +25,7 @@ from math import ceil, comb
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skytally.llm.common import blank_null, materialise
+from skytally.llm.common import blank_null, discard, free_name, materialise
 from skytally.llm.components import components
 
 #: Chance at most that a pair at the threshold is missed by the lists, or by the estimate.
@@ -237,7 +237,12 @@ def near_duplicates(
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` without the documents that another one of their group stands for."""
+    """``docs`` without the documents that another one of their group stands for.
+
+    Documents without words and rows with a null id stay; rows that share an id go together, once any of them is a copy of a
+    document with a smaller id; an empty table stays empty; all columns, whatever their names, stay as they are.
+    """
     found = near_duplicates(docs, id_col=id_col, text_col=text_col, words=words, percent=percent)
-    gone = found.where("NOT kept").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone.hint("shuffle_hash"), F.col(id_col).cast("long") == F.col("gone_id"), "left_anti")
+    key = free_name("gone_id", docs)
+    gone = found.where("NOT kept").select(F.col("doc_id").alias(key)).distinct()
+    return docs.join(gone.hint("shuffle_hash"), docs[id_col].cast("long") == gone[key], "left_anti")

@@ -11,9 +11,11 @@ grow with the input. A task's last, unfilled sequences are split at powers of tw
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +23,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skytally.llm.common import give_back, sliced
+
 OUT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long"
 
 
@@ -36,29 +40,42 @@ class Limits:
 class Encoder:
     """Text to little-endian 32-bit token ids, as the tokenizer file gives them without special tokens.
 
-    Words of a byte-level BPE are encoded apart, so a bounded cache by space-separated chunk saves most of the work. That holds
+    Words of a byte-level BPE are encoded apart, so a cache by space-separated chunk, bounded in bytes, saves most of the work. That holds
     unless two spaces meet; such texts, and those that spell a special token, go to the tokenizer whole.
     """
 
-    CACHE = 250_000
+    #: Bytes of chunks and ids that are kept, by a generous estimate, and characters of a chunk that is.
+    CACHE, CHUNK = 24_000_000, 32
 
     def __init__(self, json_path: str, ranks_path: str, pattern: str):
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.whole = Tokenizer.from_file(json_path)
-        self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        self.json_path = json_path
+        with open(json_path, encoding="utf-8") as spec:
+            self.special = [t["content"] for t in json.load(spec)["added_tokens"]]
         with open(ranks_path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.words = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.forget()
+
+    def forget(self) -> None:
         self.cache: dict[str, bytes] = {}
+        self.kept = 0
+
+    @cached_property
+    def whole(self):
+        """The tokenizer itself, loaded when a text spells a special token."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.json_path)
 
     def chunk(self, text: str) -> bytes:
         got = self.cache.get(text)
         if got is None:
             got = np.array(self.words.encode_ordinary(text), "<u4").tobytes()
-            if len(self.cache) < self.CACHE:
+            if len(text) <= self.CHUNK and self.kept < self.CACHE:
                 self.cache[text] = got
+                self.kept += 250 + 4 * len(text) + len(got)
         return got
 
     def __call__(self, text: str) -> bytes:
@@ -195,13 +212,15 @@ def pack(
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer)
         packer = Packer(limits, pool_size, TaskContext.get().partitionId() << 40)
-        for batch in batches:
+        for batch in sliced(batches):
             for doc_id, text, loss in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 packer.add(doc_id, encode(text or "") + end, bool(loss))
                 if len(packer.rows) >= 20_000:
                     yield from packer.drain()
         packer.fill(0)
         yield from packer.drain()
+        encode.forget()
+        give_back()
 
     loss = F.lit(True) if bears_loss is None else F.coalesce(bears_loss, F.lit(False))
     return rows.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), loss.alias("loss")).mapInArrow(work, OUT)

@@ -18,8 +18,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructField, StructType
 
-from skytally.llm.common import blank_null
+from skytally.llm.common import blank_null, give_back, sliced
 
 BASE = ("email", "ip", "card", "phone")
 #: All kinds, in the order in which spans with one start are listed.
@@ -376,8 +377,8 @@ SPANS = "array<struct<kind:string,start:bigint,end:bigint,base:boolean>>"
 def find_spans(docs: DataFrame, *, text_col: str = "text", into: str = "pii_spans", field: Field | None = None) -> DataFrame:
     """``docs`` with a column of all spans (kind, start, end in code points, base), in order of start and kind.
 
-    A null or empty text has none. Long texts take time in proportion; rows, nulls and other columns stay as they are. ``into``
-    must be a new name.
+    A null or empty text has none. Long texts take time in proportion; rows (repeated ones too), nulls and other columns stay as
+    they are; an empty table stays empty. ``into`` must be a new name.
     """
     if into in docs.columns:
         raise ValueError(f"there is a column {into} already")
@@ -385,13 +386,13 @@ def find_spans(docs: DataFrame, *, text_col: str = "text", into: str = "pii_span
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_())]))
-        for batch in batches:
+        for batch in sliced(batches):
             at = batch.schema.names.index(text_col)
             rows = [[{"kind": k, "start": a, "end": b, "base": own} for a, b, k, own in all_spans(t or "", field)] for t in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, kind)], [*batch.schema.names, into])
+        give_back()
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(work, f"{fields}, `{into}` {SPANS}")
+    return docs.mapInArrow(work, StructType([*docs.schema.fields, StructField(into, DataType.fromDDL(SPANS))]))
 
 
 def joined(spans: Column) -> Column:
@@ -399,38 +400,44 @@ def joined(spans: Column) -> Column:
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """doc_id, counts of the fixed patterns by kind, base_sha256 and all spans as text."""
+    """doc_id, counts of the fixed patterns by kind, base_sha256, all spans as text and their number, for every row.
+
+    Null and empty texts have no spans; null ids and repeated rows keep their rows; other columns are ignored.
+    """
     found = find_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), blank_null(F.col("text")).alias("text"))).drop("text")
     base = F.filter("pii_spans", lambda s: s["base"])
     count = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long")
-    return found.select("doc_id", *(count(k).alias(f"n_{k}") for k in BASE), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("pii_spans")).alias("spans"))
+    return found.select("doc_id", *(count(k).alias(f"n_{k}") for k in BASE), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("pii_spans")).alias("spans"), F.size("pii_spans").cast("long").alias("n_spans"))
 
 
-def redact_text(text: str, spans: list[dict]) -> str:
+def redact_text(text: str, spans: list[tuple[int, int, str, bool]]) -> str:
     """Overlapping spans become one mark of the first one's kind."""
     out, at, end = [], 0, -1
-    for s in spans:
-        if s["start"] >= end:
-            out += [text[at : s["start"]], f"[{s['kind'].upper()}]"]
-        end = max(end, s["end"])
+    for start, stop, kind, _ in spans:
+        if start >= end:
+            out += [text[at:start], f"[{kind.upper()}]"]
+        end = max(end, stop)
         at = end
     return "".join(out) + text[at:]
 
 
-def redact(docs: DataFrame, *, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
-    """``docs`` with each span replaced by its kind in brackets, and the length column, if there is one, brought up to date."""
-    columns, fields = docs.columns, docs.schema
-    found = find_spans(docs)
+def redact(docs: DataFrame, *, text_col: str = "text", length_col: str | None = "n_chars", field: Field | None = None) -> DataFrame:
+    """``docs`` with each span replaced by its kind in brackets, and the length column, if there is one, brought up to date.
+
+    Null and empty texts, rows without personal data, repeated rows, null ids and all other columns, whatever their names, stay as
+    they are; an empty table stays empty. Texts of any length are read whole.
+    """
+    field = field or trained()
+    columns, at = docs.columns, docs.columns.index(text_col)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.schema.names.index(text_col)
-            pairs = zip(batch.column(at).to_pylist(), batch.column(len(columns)).to_pylist(), strict=True)
-            texts = [t if not t or not s else redact_text(t, s) for t, s in pairs]
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if k == at else batch.column(k) for k in range(len(columns))], columns)
+        for batch in sliced(batches):
+            texts = [t if not t or not (s := all_spans(t, field)) else redact_text(t, s) for t in batch.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if k == at else c for k, c in enumerate(batch.columns)], batch.schema.names)
+        give_back()
 
-    out = found.mapInArrow(work, fields)
+    out = docs.mapInArrow(work, docs.schema)
     if length_col in columns:
-        kind = fields[length_col].dataType
+        kind = docs.schema[length_col].dataType
         out = out.withColumn(length_col, F.when(F.col(text_col).isNull(), F.col(length_col)).otherwise(F.length(text_col).cast(kind)))
     return out

@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from skytally.llm.common import give_back, labelled_sample, sliced
 
@@ -288,5 +289,4 @@ def score(docs: DataFrame, net: Network | None, *, text_col: str = "text", into:
         del scorer
         give_back()
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(work, f"{fields}, `{into}` double")
+    return docs.mapInArrow(work, StructType([*docs.schema.fields, StructField(into, DoubleType())]))
