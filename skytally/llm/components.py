@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skytally.llm.common import materialise
+from skytally.llm.common import discard, materialise
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -13,7 +13,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Each round points every node's larger neighbours, then its smaller ones, at the smallest of its neighbours. The smallest
     neighbour is aggregated before the shuffle, and joined back; a node with very many edges is thus spread by Spark's skew
-    join. Every round is written to the shared folder. Edges with null ends and loops are ignored; repeated edges are one.
+    join. Every round is written to the shared folder, and the one before it deleted. Edges with null ends and loops are ignored; repeated edges are one.
     """
     ends = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(F.col(a).isNotNull() & F.col(b).isNotNull())
     now = materialise(ends.where("u <> v").distinct(), "edges")
@@ -26,8 +26,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         pairs = F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))
         small = large.join(low, "u").select(F.inline(pairs)).where("u <> v").distinct()
-        now = materialise(small, "edges")
+        last, now = now, materialise(small, "edges")
+        discard(last)
         before, seen = seen, mark(now)
         if before == seen:
             break
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    out = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    out.written_at = now.written_at
+    return out

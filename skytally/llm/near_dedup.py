@@ -14,7 +14,10 @@ document consists of them.
 4. In lists that still hold several components and homes, classes are compared in blocks across both: those that share enough
    lists and pass the estimate from the union's sketch are verified on full sets.
 
-So no list is expanded into all its pairs, while any two similar classes end in one component. Hashes have 64 bits.
+So no list is expanded into all its pairs, while any two similar classes end in one component. Hashes have 64 bits. Lists over
+single values would hold every document that has a common word pair among its retained values; over neighbouring values they hold
+nearly none but copies, which is why the retained values are listed by pairs. Large sets are compared in full only where the
+estimate from the union of their sketches passes. Tables written on the way are deleted once the components are known.
 """
 
 from __future__ import annotations
@@ -127,19 +130,32 @@ def similar(shared: Column, n: Column, m: Column, percent: int) -> Column:
     return shared * (100 + percent) >= (n + m) * percent
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) with the similarity asked for on full sets."""
+def worth_comparing(a: Column, b: Column, k: int, percent: int) -> Column:
+    """Whether the estimate from the union of two sets' sketches leaves them a chance; asked of large sets only, small ones are compared at once.
+
+    Sets are sorted by hash, so a set's first k hashes are its sketch.
+    """
+    x, y = F.slice(a, 1, k), F.slice(b, 1, k)
+    union = F.slice(F.sort_array(F.array_union(x, y)), 1, k)
+    shared = F.size(F.array_intersect(F.array_intersect(x, y), union))
+    return F.when(F.least(F.size(a), F.size(b)) <= 4 * k, F.lit(True)).otherwise(shared >= shared_at_least(k, percent / 100))
+
+
+def verified(pairs: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
+    """Pairs (a, b) with the similarity asked for on full sets, after the estimate from their sketches."""
     side = lambda x: sets.select(F.col("node").alias(x), F.col("s").alias(f"s{x}"))
-    both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
+    both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").where(worth_comparing(F.col("sa"), F.col("sb"), k, percent))
     shared = both.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("i"), F.size("sa").alias("na"), F.size("sb").alias("nb"))
     return shared.where(similar(F.col("i"), F.col("na"), F.col("nb"), percent)).select("a", "b").distinct()
 
 
-def within_homes(homes: DataFrame, sets: DataFrame, percent: int, block: int = 262_144) -> DataFrame:
+def within_homes(homes: DataFrame, sets: DataFrame, k: int, percent: int, block: int = 262_144, salts: int = 16) -> DataFrame:
     """Links (a, b) between classes of one home in different components; ``homes`` has node, home and component.
 
     A home's classes are dealt into blocks of about ``block`` shingles. Each class outside the home's main component goes to every
     block and is compared with the block's classes there, so no pair is a row unless it is a link, and blocks spread over tasks.
+    What is known of a home is as small as its components are few, and is joined ``salts`` times over, so that the classes of one
+    large home are dealt over as many tasks.
     """
     sized = homes.join(sets.select("node", F.size("s").alias("n")), "node")
     parts = sized.groupBy("home", "component").agg(F.count("*").alias("c"), F.sum("n").alias("n"))
@@ -147,7 +163,9 @@ def within_homes(homes: DataFrame, sets: DataFrame, percent: int, block: int = 2
         parts.groupBy("home").agg(F.count("*").alias("parts"), F.max_by("component", F.struct("c", "component")).alias("main"), F.sum("n").alias("n"))
         .where("parts > 1").select("home", "main", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
     )
-    rows = homes.join(split, "home").join(sets.select("node", "s"), "node")
+    salted = split.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    dealt = homes.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(salts)).cast("int"))
+    rows = dealt.join(salted, ["home", "salt"]).drop("salt").join(sets.select("node", "s"), "node")
     own = F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int")
     blocks = rows.groupBy("home", own.alias("block")).agg(F.collect_list(F.struct("node", "component", "s")).alias("members"))
     asking = rows.where("component <> main").select("home", "main", F.col("node").alias("a"), F.col("component").alias("of"), F.col("s").alias("sa"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
@@ -155,7 +173,7 @@ def within_homes(homes: DataFrame, sets: DataFrame, percent: int, block: int = 2
     def links(y: Column) -> Column:
         n, m = F.size("sa"), F.size(y["s"])
         once = (y["component"] != F.col("of")) & ((y["component"] == F.col("main")) | (y["node"] < F.col("a")))
-        return once & compatible(n, m, percent) & similar(F.size(F.array_intersect("sa", y["s"])), n, m, percent)
+        return once & compatible(n, m, percent) & worth_comparing(F.col("sa"), y["s"], k, percent) & similar(F.size(F.array_intersect("sa", y["s"])), n, m, percent)
 
     return asking.join(blocks, ["home", "block"]).select("a", F.explode(F.transform(F.filter("members", links), lambda y: y["node"])).alias("b"))
 
@@ -213,22 +231,23 @@ def near_duplicates(
     listed_words = texts.join(nearest.select("node").hint("shuffle_hash"), "node", "left_semi").select("node", words_of(F.col("t")).alias("w"))
     sets = materialise(listed_words.select("node", shingle_set(F.col("w"), words).alias("s")), "sets")
 
-    stars = materialise(verified(nearest.where("near <> node").select(F.col("node").alias("a"), F.col("near").alias("b")), sets, percent), "links")
+    stars = materialise(verified(nearest.where("near <> node").select(F.col("node").alias("a"), F.col("near").alias("b")), sets, k, percent), "links")
     found = components(stars)
     label = lambda df: df.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     # Homes whose hubs are linked are one.
     hub_of = found.select(F.col("node").alias("home"), F.col("component").alias("hub"))
     homes = materialise(nearest.select("node", "home").join(hub_of, "home", "left").select("node", F.coalesce("hub", "home").alias("home")), "homes")
-    inner = materialise(within_homes(label(homes), sets, percent), "links")
-    found = components(stars.union(inner))
+    inner = materialise(within_homes(label(homes), sets, k, percent), "links")
+    first, found = found, components(stars.union(inner))
 
     labelled = label(lists.drop("weight").join(homes, "node"))
     mixed = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("home").alias("lh"), F.max("home").alias("hh"))
     rest = materialise(labelled.join(mixed.where("lo < hi AND lh < hh").select("key"), "key", "left_semi"), "rest")
     more = materialise(across_lists(rest, classes, k, percent), "pairs")
-    late = verified(more, sets, percent)
+    late = verified(more, sets, k, percent)
     stars_found = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
     final = components(stars_found.union(late))
+    discard(lists, nearest, sets, stars, homes, inner, rest, more, first, found)
 
     of_class = classes.join(final, "node", "left").select("fp", "fp2", "n_shingles", F.coalesce("component", "node").alias("component_id"))
     out = slim.drop("sketch").join(of_class, ["fp", "fp2", "n_shingles"], "left")
