@@ -1,10 +1,13 @@
 """Quality rules whose cutoffs control the risk of rejecting good documents; DataFrame functions throughout.
 
-Each rule is a measure in steps, higher is worse. On labelled good documents, by stratum (language), a cutoff may reject at most
-a share ``limit / rules`` of the good: it is taken only if the exact binomial (Clopper-Pearson) upper bound of its false
-rejections lies under that share. Each stratum and rule has an equal part of ``risk`` (Bonferroni), and within one the cutoffs
-are tested from the mildest on and the last one that passes is kept, which needs no further correction. Thus with probability
-1 - ``risk`` no stratum loses more than ``limit`` of its good documents. Strata with too few labels get no cutoffs.
+Each rule is a measure in whole steps, higher is worse. A fixed ladder of ``LEVELS`` joint settings gives every rule a cutoff, from
+mild to strict; a row's level is the first at which any rule rejects it. On labelled good documents, by stratum (language), the
+settings are tested in this order: one is taken if the exact binomial (Clopper-Pearson) upper bound of the good rows that any of
+its rules rejects lies under ``LIMIT``, and testing stops at the first that fails. Testing in a fixed order needs no correction
+within a stratum, and one test counts the rejections of all rules together, so nothing is divided by the number of rules; each
+stratum has an equal part of ``RISK`` (Bonferroni). Thus with probability 1 - ``RISK`` no stratum loses more than ``LIMIT`` of its
+good documents. A stratum needs log(RISK / strata) / log(1 - LIMIT) labelled good rows before any cutoff can pass, 217 for four
+strata; the others have none and keep whatever passes the base rules.
 """
 
 from __future__ import annotations
@@ -13,7 +16,6 @@ from math import log
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from skytally.llm.common import SPACES, blank_null, materialise
 
@@ -21,11 +23,24 @@ SYMBOLS = "#*$%&|<>"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Good documents that a stratum may lose, and the chance that any stratum loses more.
 LIMIT, RISK = 0.02, 0.05
-#: Rules in order: a column of whole steps, from 0 (never rejects).
-RULES = ("symbols", "dup_lines", "repeats", "upper", "marks", "long_words", "short_words")
+#: Rules in order: a column of whole steps, and the steps that the mildest and the strictest setting reject. Set beforehand, as the
+#: guarantee asks: what is at the mild end can hardly be prose in any language, what is at the strict end is at its edge.
+RULES = {"symbols": (20, 1), "dup_lines": (48, 18), "repeats": (50, 5), "upper": (45, 15), "marks": (60, 10), "long_words": (72, 34), "short_words": (96, 89)}
+LEVELS = 20
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
+def cut_at(rule: str, level: int) -> int:
+    """The least step that a rule rejects at a level, 1 (mild) to ``LEVELS`` (strict)."""
+    mild, strict = RULES[rule]
+    return mild - (mild - strict) * (level - 1) // (LEVELS - 1)
+
+
+def level_of(step: Column, rule: str) -> Column:
+    """The first level at which a rule rejects a row; one over the last if none does."""
+    cuts = [cut_at(rule, level) for level in range(1, LEVELS + 1)]
+    return F.lit(LEVELS + 1) - sum(((step >= c).cast("int") for c in cuts), F.lit(0))
+
 
 def _count_of(text: Column, chars: str) -> Column:
     return (F.length(text) - F.length(F.translate(text, chars, ""))).cast("long")
@@ -51,7 +66,7 @@ def repeated_words(df: DataFrame, words: str, into: str, window: int = 5) -> Dat
 
 
 def measured(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", stratum: Column | None = None) -> DataFrame:
-    """doc_id, stratum, the measures of the whole text, the rules' steps and base_failed."""
+    """doc_id, stratum, the measures of the whole text, the rules' steps, the row's level and base_failed."""
     stratum = F.col("lang") if stratum is None else stratum
     text = blank_null(F.col(text_col))
     df = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(stratum.cast("string"), F.lit("")).alias("stratum"), text.alias("t"))
@@ -67,7 +82,8 @@ def measured(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         "symbols": part(50, "n_symbols", "word_chars", 50), "dup_lines": part(50, "n_dup_lines", "n_lines", 50), "repeats": part(50, "n_repeat_words", "n_words", 50),
         "upper": part(50, "n_upper", "word_chars", 50), "marks": part(50, "n_marks", "n_words", 100), "long_words": part(4, "word_chars", "n_words", 100), "short_words": f"100 - {part(4, 'word_chars', 'n_words', 100)}",
     }
-    return df.withColumns({k: F.expr(v) for k, v in steps.items()})
+    df = df.withColumns({k: F.expr(v) for k, v in steps.items()})
+    return df.withColumn("level", F.least(*(level_of(F.col(r), r) for r in RULES)))
 
 
 def binomial_tail(k: Column, n: Column, p: float) -> Column:
@@ -81,41 +97,40 @@ def binomial_tail(k: Column, n: Column, p: float) -> Column:
     return F.when(k == 0, F.exp(n * log(1 - p))).otherwise(F.aggregate(F.sequence(F.lit(1).cast("long"), F.greatest(k, F.lit(1))), first, add, lambda a: a["s"]))
 
 
-def cutoffs(rows: DataFrame, labels: DataFrame, *, limit: float = LIMIT, risk: float = RISK, label_col: str = "quality") -> DataFrame:
-    """stratum and, by rule, the least step that is rejected (null: none), from labelled good rows that pass the base rules.
+def settings(rows: DataFrame, labels: DataFrame, *, limit: float = LIMIT, risk: float = RISK, label_col: str = "quality") -> DataFrame:
+    """stratum, n_good, the last level that passed (0: none) and how many of the good rows it rejects, for strata with labelled good rows.
 
-    Counts by stratum, rule and step are aggregated before the shuffle; what follows is as small as the strata are many.
+    Good rows that fail the base rules aren't counted. Counts by stratum and level are aggregated before the shuffle; what follows
+    has at most ``LEVELS`` + 1 rows a stratum.
     """
     good = labels.where(F.col(label_col) == 1).select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id IS NOT NULL").distinct()
     held = rows.where("NOT base_failed").join(good, "doc_id", "left_semi")
-    long = held.select("stratum", F.inline(F.array(*(F.struct(F.lit(r).alias("rule"), F.col(r).cast("long").alias("step")) for r in RULES))))
-    counts = long.groupBy("stratum", "rule", "step").agg(F.count("*").alias("c"))
-    above = Window.partitionBy("stratum", "rule").orderBy(F.desc("step")).rowsBetween(Window.unboundedPreceding, 0)
-    tested = counts.select("stratum", "rule", "step", F.sum("c").over(above).alias("k"), F.sum("c").over(Window.partitionBy("stratum", "rule")).alias("n"))
-    share = limit / len(RULES)
-    strata = counts.agg(F.count_distinct("stratum").alias("strata"))
+    counts = held.groupBy("stratum", "level").agg(F.count("*").alias("c"))
+    by = counts.groupBy("stratum").agg(F.sum("c").alias("n"), F.map_from_entries(F.collect_list(F.struct("level", "c"))).alias("at"))
+    steps = F.sequence(F.lit(1), F.lit(LEVELS))
+    below = F.transform(steps, lambda t: F.aggregate(F.sequence(F.lit(1), t), F.lit(0).cast("long"), lambda a, i: a + F.coalesce(F.try_element_at("at", i), F.lit(0).cast("long"))))
     # One row is joined to all; it has one number.
-    tested = tested.join(F.broadcast(strata)).where(F.col("step") >= 1).where(F.col("k") <= F.col("n") * share)
-    passed = tested.where(binomial_tail(F.col("k"), F.col("n"), share) <= risk / (F.col("strata") * len(RULES)))
-    # A step that no good row has is as safe as the next one that some row has: the least safe step is one over the largest that fails.
-    best = passed.groupBy("stratum", "rule").agg(F.min("step").alias("step"))
-    worst = counts.groupBy("stratum", "rule").agg(F.max("step").alias("top"), F.sum("c").alias("n")).join(F.broadcast(strata))
-    none = worst.where(binomial_tail(F.lit(0).cast("long"), F.col("n"), share) <= risk / (F.col("strata") * len(RULES))).select("stratum", "rule", (F.col("top") + 1).alias("over"))
-    both = none.join(best, ["stratum", "rule"], "left")
-    return both.groupBy("stratum").pivot("rule", list(RULES)).agg(F.min(F.coalesce("step", "over"))).select("stratum", *(F.col(r).alias(f"cut_{r}") for r in RULES))
+    made = by.withColumn("k", below).join(F.broadcast(by.agg(F.count("*").alias("strata"))))
+    failed = F.transform("k", lambda k: (k > F.col("n") * limit) | (binomial_tail(k, F.col("n"), limit) > F.lit(risk) / F.col("strata")))
+    first = F.array_position(failed, F.lit(True))
+    made = made.withColumn("passed", F.when(first == 0, LEVELS).otherwise(first - 1).cast("int"))
+    rejected = F.when(F.col("passed") > 0, F.try_element_at("k", F.greatest("passed", F.lit(1)))).otherwise(0)
+    return made.select("stratum", F.col("n").alias("n_good"), "passed", rejected.cast("long").alias("n_good_rejected"))
 
 
 def judge(docs: DataFrame, labels: DataFrame, *, limit: float = LIMIT, risk: float = RISK, stratum: Column | None = None) -> DataFrame:
     """doc_id, the five measures, base_failed, kept and the number of rules that rejected, for every row.
 
-    A row is kept if it passes the base rules and no rule's step reaches its stratum's cutoff. Null texts have no words and fail;
-    a null stratum is a stratum; without usable labels only the base rules count; repeated rows are judged alike and repeated
-    labels count once; an empty table gives no rows. The measures are written once and read for both passes.
+    A row is kept if it passes the base rules and its level lies beyond the last setting that passed in its stratum. Null texts have
+    no words and fail; a null stratum is a stratum; without usable labels only the base rules count; repeated rows are judged alike
+    and repeated labels count once; an empty table gives no rows. The measures are written once and read for both passes. The
+    settings, one row a stratum, are joined by Spark's own choice; a stratum that holds most rows is split by its skew join.
     """
     rows = materialise(measured(docs, stratum=stratum), "measures")
-    joined = rows.join(cutoffs(rows, labels, limit=limit, risk=risk), "stratum", "left")
-    hits = sum((F.coalesce(F.col(r) >= F.col(f"cut_{r}"), F.lit(False)).cast("int") for r in RULES), F.lit(0))
-    return joined.select("doc_id", *MEASURES, "base_failed", (~F.col("base_failed") & (hits == 0)).alias("kept"), hits.cast("long").alias("n_rules_hit"))
+    joined = rows.join(settings(rows, labels, limit=limit, risk=risk), "stratum", "left")
+    passed = F.coalesce("passed", F.lit(0))
+    hits = sum(((level_of(F.col(r), r) <= passed).cast("int") for r in RULES), F.lit(0))
+    return joined.select("doc_id", *MEASURES, "base_failed", (~F.col("base_failed") & (F.col("level") > passed)).alias("kept"), hits.cast("long").alias("n_rules_hit"))
 
 
 def oracle(limit: float = LIMIT, risk: float = RISK) -> str:
@@ -125,10 +140,9 @@ def oracle(limit: float = LIMIT, risk: float = RISK) -> str:
         "symbols": part(50, "n_symbols", "word_chars", 50), "dup_lines": part(50, "n_dup_lines", "n_lines", 50), "repeats": part(50, "n_repeat_words", "n_words", 50),
         "upper": part(50, "n_upper", "word_chars", 50), "marks": part(50, "n_marks", "n_words", 100), "long_words": part(4, "word_chars", "n_words", 100), "short_words": f"100 - {part(4, 'word_chars', 'n_words', 100)}",
     }
-    share, each = limit / len(RULES), f"{risk} / (strata * {len(RULES)})"
-    tail = lambda k: f"(SELECT sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({share!r}) + (n - i) * ln(1 - {share!r}))) FROM unnest(range(0, CAST({k} + 1 AS BIGINT))) AS u(i))"
-    long = " UNION ALL ".join(f"SELECT stratum, '{r}' AS rule, {r} AS step FROM held" for r in RULES)
-    hits = " + ".join(f"(m.{r} >= coalesce((SELECT cut FROM cuts WHERE cuts.stratum = m.stratum AND cuts.rule = '{r}'), 1000000))::INT" for r in RULES)
+    levels = {r: f"{LEVELS + 1} - (" + " + ".join(f"({r} >= {cut_at(r, k)})::INT" for k in range(1, LEVELS + 1)) + ")" for r in RULES}
+    tail = f"(SELECT sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({limit!r}) + (n - i) * ln(1 - {limit!r}))) FROM unnest(range(0, k + 1)) AS u(i))"
+    hits = " + ".join(f"(({v}) <= coalesce(passed, 0))::INT" for v in levels.values())
     return f"""
 WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS t FROM documents
@@ -147,24 +161,23 @@ WITH d AS (
   FROM cut LEFT JOIN covered USING (rid)
 ), m AS (
   SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, {", ".join(f"{v} AS {k}" for k, v in steps.items())} FROM f
+), ranked AS (
+  SELECT *, least({", ".join(levels.values())}) AS level FROM m
 ), held AS (
-  SELECT * FROM m WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1 AND doc_id IS NOT NULL)
-), counts AS (
-  SELECT stratum, rule, step, count(*) AS c FROM ({long}) GROUP BY ALL
+  SELECT stratum, level FROM ranked WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1 AND doc_id IS NOT NULL)
+), strata AS (
+  SELECT stratum, count(*) AS n FROM held GROUP BY stratum
 ), tested AS (
-  SELECT stratum, rule, step, CAST(sum(c) OVER (PARTITION BY stratum, rule ORDER BY step DESC) AS BIGINT) AS k, CAST(sum(c) OVER (PARTITION BY stratum, rule) AS BIGINT) AS n,
-    (SELECT count(DISTINCT stratum) FROM counts) AS strata FROM counts
-), best AS (
-  SELECT stratum, rule, min(step) AS step FROM tested WHERE step >= 1 AND k <= n * {share!r} AND {tail("k")} <= {each} GROUP BY ALL
-), topmost AS (
-  SELECT stratum, rule, max(step) + 1 AS over_top FROM tested WHERE {tail("0")} <= {each} GROUP BY ALL
-), cuts AS (
-  SELECT stratum, rule, coalesce(best.step, over_top) AS cut FROM topmost LEFT JOIN best USING (stratum, rule)
+  SELECT stratum, n, t, CAST((SELECT count(*) FROM held WHERE held.stratum = strata.stratum AND level <= t) AS BIGINT) AS k FROM strata, (SELECT unnest(range(1, {LEVELS + 1})) AS t)
+), failing AS (
+  SELECT stratum, min(t) AS t FROM tested WHERE k > n * {limit!r} OR {tail} > {risk} / (SELECT count(*) FROM strata) GROUP BY stratum
+), settled AS (
+  SELECT strata.stratum, coalesce(failing.t - 1, {LEVELS}) AS passed FROM strata LEFT JOIN failing USING (stratum)
 ), hit AS (
-  SELECT m.*, {hits} AS n_rules_hit FROM m
+  SELECT ranked.*, coalesce(passed, 0) AS passed, {hits} AS n_rules_hit FROM ranked LEFT JOIN settled USING (stratum)
 )
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
-  CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed, NOT base_failed AND n_rules_hit = 0 AS kept, CAST(n_rules_hit AS BIGINT) AS n_rules_hit
+  CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed, NOT base_failed AND level > passed AS kept, CAST(n_rules_hit AS BIGINT) AS n_rules_hit
 FROM hit"""
 
 

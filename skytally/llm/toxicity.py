@@ -220,7 +220,7 @@ def train(rows: list[tuple[str, int]], rounds: int = 12, seed: int = 3, rate: fl
 class Scorer:
     """Scores texts by blocks of ``CHARS`` characters, with a table of the inputs of at most ``WORDS`` words met before a block."""
 
-    WORDS, WINDOWS, CHARS = 60_000, 1024, 300_000
+    WORDS, WINDOWS, CHARS = 120_000, 2048, 300_000
 
     def __init__(self, net: Network):
         self.net = net

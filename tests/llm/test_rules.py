@@ -1,8 +1,8 @@
+import random
+import re
 from collections import Counter
 from math import comb
 
-import re
-
 from pyspark.sql import functions as F
 
 from skytally.llm import licenses, quality_rules
@@ -53,6 +53,45 @@ def test_cutoffs_hold_their_risk(spark, docs_of):
     assert all(r.kept for r in few)
 
 
+def tail(k, n, p):
+    return sum(comb(n, j) * p**j * (1 - p) ** (n - j) for j in range(k + 1))
+
+
+def test_settings_by_brute_force(spark):
+    """The last level before the first that fails, by stratum, with the bound written out."""
+    rng = random.Random(8)
+    rows = [(k, s, rng.choices(range(1, 22), [w] * 20 + [1])[0], rng.random() < 0.1) for k, (s, w) in enumerate(x for x in (("a", 0.0005), ("b", 0.002), ("c", 0.02), ("d", 0.0)) for _ in range(700))]
+    rows += [(k + 10_000, "few", 21, False) for k in range(200)]
+    labels = spark.createDataFrame([(r[0], 1) for r in rows] + [(1, 1), (2, 0)], LABELS)
+    got = {r.stratum: (r.n_good, r.passed, r.n_good_rejected) for r in quality_rules.settings(spark.createDataFrame(rows, "doc_id long, stratum string, level int, base_failed boolean"), labels).collect()}
+    want = {}
+    for s in {r[1] for r in rows}:
+        levels = [r[2] for r in rows if r[1] == s and not r[3]]
+        n, passed = len(levels), 0
+        while passed < quality_rules.LEVELS and tail(sum(x <= passed + 1 for x in levels), n, quality_rules.LIMIT) <= quality_rules.RISK / 5:
+            passed += 1
+        want[s] = (n, passed, sum(x <= passed for x in levels))
+    assert got == want and want["few"][1] == 0 and 0 < want["b"][1] < 20 and want["d"][1] == 20
+
+
+def test_risk_holds_over_many_draws(spark):
+    """Strata drawn with a true share of false rejections of 0.4 % a level: few may go beyond level 5, where the limit of 2 % lies."""
+    rng, draws, n = random.Random(9), 300, 600
+    rows = [(d * n + k, f"s{d}", min(21, 1 + int(rng.random() / 0.004)), False) for d in range(draws) for k in range(n)]
+    labels = spark.createDataFrame([(r[0], 1) for r in rows], LABELS)
+    got = quality_rules.settings(spark.createDataFrame(rows, "doc_id long, stratum string, level int, base_failed boolean"), labels, risk=0.05 * draws).collect()
+    assert sum(r.passed > 5 for r in got) <= 0.05 * draws + 3 * (0.05 * 0.95 * draws) ** 0.5
+    assert sum(r.passed > 0 for r in got) > 0.9 * draws
+
+
+def test_verdict_differs_from_the_base(spark):
+    """At sf0.1's labels a setting passes in every language, and rows go that the base rules keep."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    rows = quality_rules.judge(docs, labels).join(labels, "doc_id").where("NOT base_failed").groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("kept")).collect()
+    kept = {r.quality: r.kept for r in rows}
+    assert kept[0] < 0.2 and kept[1] >= 1 - quality_rules.LIMIT
+
+
 def test_quality_without_labels_or_rows(spark, docs_of):
     none = spark.createDataFrame([], LABELS)
     docs = docs_of([*TEXTS, TEXTS[8]])
