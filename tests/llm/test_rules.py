@@ -1,5 +1,7 @@
 import random
 import re
+import textwrap
+import unicodedata
 from collections import Counter
 from math import comb
 
@@ -104,21 +106,101 @@ def test_license_sql(spark, tables, duck, same, documents):
     same(licenses.scan(documents), duck, licenses.ORACLE_SQL)
 
 
-MIT = [s.text for s in licenses.SENTENCES if s.id in ("mit-grant", "mit-notice", "as-is")]
-BSD = [s.text for s in licenses.SENTENCES if s.id.startswith("bsd-")]
+def of(*ids):
+    return [next(s.text for s in licenses.SENTENCES if s.id == i) for i in ids]
+
+
+MIT, BSD = of("mit-grant", "mit-notice", "as-is"), of("bsd-grant", "bsd-source", "bsd-binary", "bsd-names")
 
 
 def test_license_sequences(docs_of):
-    found = lambda t: licenses.scan(docs_of([t])).first()
+    found = lambda t, **more: licenses.scan(docs_of([t]), **more).first()
     whole = found("Copyright (c) 2020 A. All\n" + f"{MIT[0]}, to deal.\n{MIT[1]}\n{MIT[2]}, express.\nplain end")
     assert whole.licences == "MIT" and whole.sentences == "copyright mit-grant mit-notice as-is"
-    assert found("\n".join(reversed(MIT))).licences == ""
+    assert found("\n".join(f"{m}." for m in reversed(MIT))).licences == ""
     assert found("\n".join(f"{s} x." for s in BSD)).licences == "BSD-3-Clause"
     assert found("\n".join(f"{s} x." for s in BSD[:3])).licences == "BSD-2-Clause"
     assert found("Words. Released under the MIT License. Licensed under CC BY-NC 4.0.").licences == "MIT,CC-BY-NC-4.0"
     assert found("we talk of a licence and copyright as is common").licences == ""
     long = found("word " * 50_000 + "\nlicensed   under the APACHE license, version 2.0\n" + "word " * 50_000)
     assert long.licences == "Apache-2.0" and long.n_licences == 1
+    own = found("Take it as it comes.", sentences=[licenses.Sentence("own", "take it as it comes")], rules=[licenses.Rule("OWN", ("own",))])
+    assert own.licences == "OWN"
+
+
+WRAPPED = {
+    "MIT": f"MIT License\n\nCopyright (c) 2020 A\n\n{MIT[0]}, to deal in the Software.\n\n{MIT[1]}\n\n{MIT[2].replace('AS IS', 'AS-IS')}, EXPRESS OR IMPLIED.",
+    "Apache-2.0": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at\n\nhttp://www.apache.org/licenses/LICENSE-2.0\n\n'
+    + of("apache2-as-is")[0] + ", WITHOUT WARRANTIES.",
+    "GPL-3.0": of("gpl3-free")[0] + " of the License. " + of("gpl-hope")[0] + ".",
+    "Apache-2.0 ": "Apache License\nVersion 2.0, January 2004\nhttp://x",
+    "GPL-2.0 ": "GNU GENERAL PUBLIC LICENSE\nVersion 2, June 1991\n\nCopyright (C) 1989",
+    "GPL-2.0": of("gpl2-free")[0] + " of the License, or any later version. " + of("gpl-hope")[0] + ".",
+    "LGPL-2.1": of("lgpl-free")[0] + ". " + of("lgpl-hope")[0] + ".",
+    "AGPL-3.0": of("agpl-free")[0] + ". " + of("gpl-hope")[0] + ".",
+    "BSD-3-Clause": f"{BSD[0]}:\n\n1. {BSD[1]}, this list.\n\n2. {BSD[2]} too.\n\n3. {BSD[3]} the holder.",
+    "ISC": f"{of('isc-grant')[0]}\n\n{of('isc-as-is')[0]}.",
+    "MPL-2.0": of("mpl2-name")[0] + " If a copy was not distributed.",
+    "Unlicense": of("unlicense-free")[0],
+}
+
+
+def test_wrapped_notices_behind_comment_marks(docs_of):
+    """Real notices are broken at some width and stand in comments."""
+
+    def wrapped(text, width, mark):
+        return "\n".join(mark + x for part in text.split("\n") for x in (textwrap.wrap(part, width) or [""]))
+
+    cases = [(name, wrapped(t, width, mark)) for name, t in WRAPPED.items() for width in (30, 72) for mark in ("", "# ", " * ", "// ", ";; ")]
+    cases += [(name, f"#!/usr/bin/env x\n# SPDX-License-Identifier: {name}\nimport y") for name in licenses.TAGGED]
+    rows = {r.doc_id: r.licences for r in licenses.scan(docs_of([t for _, t in cases])).collect()}
+    assert {k: rows[k] for k in rows if cases[k][0].strip() != rows[k]} == {}
+
+
+def sentences_by_force(text):
+    """The rule stated plainly: at each fragment, the sentences of the table one by one."""
+    text = "\n" + (text or "").replace("\x01", " ")
+    text = re.sub(r"\n[ \t\f\r\v]*(?://+|#+|\*+|;+|--+|/\*+|<!--|%+|>+)?[ \t\f\r\v]*", "\n", text)
+    text = re.sub(r"([^vV\n])[.!?]+[ \t\f\r\v\n]", "\\1\n\x01\n", re.sub(r"\n\n+", "\n\x01\n", text))
+    parts = [x for x in (" ".join("".join(c if c.isalpha() or unicodedata.category(c)[0] in "LN" or c == "\x01" else " " for c in p).split()) for p in text.lower().split("\n")) if x]
+    ids, reach = [], 0
+    for k in range(len(parts)):
+        end = parts.index("\x01", k) if "\x01" in parts[k:] else len(parts)
+        joined = " ".join(parts[k:end])
+        best = next(((s.id, p) for x in (joined, parts[k]) for s in reversed(licenses.SENTENCES) if not s.prefix and (p := licenses._plain(s.text)) == x), None)
+        best = best or max(((s.id, p) for s in licenses.SENTENCES if s.prefix and joined.startswith(p := licenses._plain(s.text))), key=lambda x: len(x[1]), default=None)
+        if best:
+            if k >= reach:
+                ids.append(best[0])
+            reach = max(reach, next(j for j in range(k + 1, len(parts) + 1) if len(" ".join(parts[k:j])) >= len(best[1])))
+    return " ".join(ids)
+
+
+def test_sentences_by_brute_force(docs_of):
+    rng, texts = random.Random(12), []
+    for _ in range(150):
+        parts = [rng.choice([s.text for s in licenses.SENTENCES] + ["plain words here", "and v. 3 of it", "x"]) + rng.choice(["", ".", ". ", ", and more", "!\n"]) for _ in range(rng.randint(1, 6))]
+        words = rng.choice([" ", "\n", "\n\n", "\n# "]).join(parts).split(" ")
+        texts.append("".join(w + rng.choice([" ", " ", " ", "\n", "\n// ", "  "]) for w in words))
+    texts += ["", None, "MIT License", "\x01MIT License\x01", "MIT\nLicense", "\n\n\n", "all rights reserved!  all rights\nreserved."]
+    rows = {r.doc_id: r.sentences for r in licenses.scan(docs_of(texts)).collect()}
+    assert rows == {k: sentences_by_force(t) for k, t in enumerate(texts)} and any(" " in x for x in rows.values())
+
+
+def test_license_sql_of_sequences(spark, docs_of, same):
+    import duckdb
+
+    con = duckdb.connect()
+    texts = [*WRAPPED.values(), *(t.replace(" ", "\n", 9) for t in WRAPPED.values()), None, "", "Released under the MIT License.\nAll rights reserved."]
+    con.register("documents", docs_of(texts).toPandas())
+    same(licenses.scan(docs_of(texts)), con, licenses.ORACLE_SQL)
+
+
+def test_tables_from_files(spark, tmp_path, docs_of):
+    (tmp_path / "t.json").write_text('{"id": "a", "text": "one two"}\n{"id": "b", "text": "three", "prefix": true}\n{"licence": "L", "ids": ["a", "b"], "gap": 1, "rank": 1}\n{"licence": "M", "ids": ["b"], "rank": 2}\n')
+    sentences, rules = licenses.read_tables(spark, f"file://{tmp_path}/t.json")
+    rows = licenses.scan(docs_of(["One two.\nthree four", "three", "two"]), sentences=sentences, rules=rules).orderBy("doc_id").collect()
+    assert [r.licences for r in rows] == ["L", "M", ""]
 
 
 def test_license_edges(docs_of):
