@@ -2,7 +2,8 @@
 
 A pattern rule is a regular expression with the literal tokens that any URL it fits must contain. How many URLs hold each of
 these tokens is counted over the whole table; each rule is filed under its rarest one. A URL is cut into tokens, its tokens
-fetch the candidate rules, and only their expressions run.
+fetch the candidate rules, and only their expressions run. Up to ``MOST_RULES`` rules are sent to the tasks; a larger table of rules
+is joined to the URLs by host and by rarest token, with the same result.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -56,8 +57,9 @@ PATTERN_RULES = (
     PatternRule("block", r"[?&]aff_id=[0-9]+", ("aff", "id")),
     PatternRule("block", r"[?&]utm_source=spam(&|#|$)", ("utm", "source", "spam")),
 )
-#: More rules than this are refused: they are sent to every task.
+#: More rules than this aren't sent to the tasks but joined.
 MOST_RULES = 200_000
+HOSTS, PATTERNS = "verdict string, host string, path string", "rank long, verdict string, pattern string, tokens array<string>"
 
 
 def tokens_of(url: str) -> list[str]:
@@ -81,7 +83,7 @@ class Index:
         best, name = None, host
         while name:
             for r in self.hosts.get(name, ()):
-                if path.startswith(r.path) and (best is None or (len(r.name), r.verdict) > (len(best.name), best.verdict)):
+                if path.startswith(r.path) and (best is None or (len(r.name), r.verdict, r.name) > (len(best.name), best.verdict, best.name)):
                     best = r
             name = name.partition(".")[2]
         return best
@@ -124,10 +126,12 @@ def judge(
     malformed URLs have an empty host and path and no rule; patterns still search malformed ones. Repeated rows and null ids
     keep their rows; other columns are ignored; the work is one pass without a shuffle, besides counting the rules' tokens.
     """
-    if len(hosts) + len(patterns) > MOST_RULES:
-        raise ValueError(f"more than {MOST_RULES} rules; judge the pages by parts of the rules")
     if bad := [p for p in patterns if not p.tokens or any(tokens_of(t) != [t] for t in p.tokens)]:
         raise ValueError(f"pattern rules need tokens of a-z and 0-9: {bad[0]}")
+    if len(hosts) + len(patterns) > MOST_RULES:
+        spark = pages.sparkSession
+        made = spark.createDataFrame([(r.verdict, r.host, r.path) for r in hosts], HOSTS), spark.createDataFrame([(k, p.verdict, p.pattern, list(p.tokens)) for k, p in enumerate(patterns)], PATTERNS)
+        return judge_by_joins(pages, *made, id_col=id_col, url_col=url_col)
     counts = token_counts(pages, patterns, url_col)
     hosts, patterns = tuple(hosts), tuple(patterns)
 
@@ -148,6 +152,50 @@ def judge(
     return slim.mapInArrow(work, "page_id long, host string, path string, rule string, verdict string, pattern string")
 
 
+def read_rules(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Host rules and pattern rules from JSON lines: {"verdict", "host", "path"} or {"rank", "verdict", "pattern", "tokens"}."""
+    rows = spark.read.schema(f"{HOSTS}, rank long, pattern string, tokens array<string>").json(path)
+    return rows.where("host IS NOT NULL").select("verdict", "host", F.coalesce("path", F.lit("/")).alias("path")), rows.where("pattern IS NOT NULL").select("rank", "verdict", "pattern", "tokens")
+
+
+def judge_table(pages: DataFrame, hosts: DataFrame, patterns: DataFrame, **more: str) -> DataFrame:
+    """``judge`` with rules from tables (see ``read_rules``): sent to the tasks if they are few, else joined."""
+    n = hosts.limit(MOST_RULES + 1).count() + patterns.limit(MOST_RULES + 1).count()
+    if n > MOST_RULES:
+        return judge_by_joins(pages, hosts, patterns, **more)
+    some = [PatternRule(r.verdict, r.pattern, tuple(r.tokens)) for r in sorted(patterns.collect(), key=lambda r: (r.rank is None, r.rank, r.pattern))]
+    return judge(pages, [HostRule(r.verdict, r.host, r.path) for r in hosts.collect()], some, **more)
+
+
+def judge_by_joins(pages: DataFrame, hosts: DataFrame, patterns: DataFrame, *, id_col: str = "page_id", url_col: str = "url", salts: int = 16) -> DataFrame:
+    """``judge`` for any number of rules (tables of ``HOSTS`` and ``PATTERNS``; expressions that Java and Python read alike).
+
+    Distinct URLs are judged and joined back. A URL's host suffixes meet the host rules, the longest that fits wins; its tokens meet
+    the pattern rules filed under their rarest token, and of those whose expression fits the first by rank wins. A common suffix or
+    token is dealt over ``salts`` parts, to each of which its few rules are copied.
+    """
+    slim = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"))
+    urls = slim.where("url IS NOT NULL").select("url").distinct().withColumns({"salt": F.pmod(F.xxhash64("url"), F.lit(salts)).cast("int"), "low": F.lower("url")})
+    named = urls.withColumns(dict(zip(("host", "path"), split_url(F.col("url")), strict=True)))
+    copies = lambda rules: rules.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    labels = F.split("host", "\\.")
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
+    by_host = named.where("host <> ''").select("url", "salt", "path", F.explode(suffixes).alias("suffix"))
+    own = copies(hosts.select("verdict", F.col("host").alias("suffix"), F.col("path").alias("start")))
+    fits = by_host.join(own, ["suffix", "salt"]).where(F.startswith("path", "start"))
+    rule = fits.groupBy("url").agg(F.max(F.struct(F.length(F.concat("suffix", "start")).alias("size"), F.col("verdict"), F.concat("suffix", "start").alias("rule"))).alias("best"))
+    tokens = urls.select("url", "salt", "low", F.explode(F.array_distinct(F.array_remove(F.split("low", "[^a-z0-9]+"), ""))).alias("token"))
+    filed = patterns.select("rank", "verdict", "pattern", F.explode("tokens").alias("token"))
+    held = tokens.join(filed.select("token").distinct().hint("shuffle_hash"), "token", "left_semi").groupBy("token").agg(F.count("*").alias("n"))
+    rarest = filed.join(held, "token", "left").groupBy("rank", "verdict", "pattern").agg(F.min_by("token", F.struct(F.coalesce("n", F.lit(0)), "token")).alias("token"))
+    hits = tokens.join(copies(rarest), ["token", "salt"]).where(F.regexp_like("low", F.col("pattern")))
+    first = hits.groupBy("url").agg(F.min(F.struct("rank", "pattern", "verdict")).alias("hit"))
+    judged = named.select("url").join(rule, "url", "left").join(first, "url", "left")
+    out = slim.join(judged, "url", "left").withColumns(dict(zip(("host", "path"), split_url(F.col("url")), strict=True)))
+    pattern = F.when(F.col("best").isNull(), F.col("hit.pattern"))
+    return out.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.when(pattern.isNotNull(), F.col("hit.verdict")), F.lit("allow")).alias("verdict"), pattern.alias("pattern"))
+
+
 def _quoted(x: str) -> str:
     return "'" + x.replace("'", "''") + "'"
 

@@ -93,29 +93,63 @@ def write_archives(pages: DataFrame, path: str | None = None, *, date: str = "20
     return path
 
 
-def records_of(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Header and block of each record of a plain or gzipped (whole or by record) WARC file; what follows a broken record is an error."""
-    if data[:2] == b"\x1f\x8b":
-        parts = []
-        while data[:2] == b"\x1f\x8b":
+def unzipped(data: memoryview, step: int = 1 << 20) -> Iterator[bytes]:
+    """The bytes of a plain or gzipped (whole or by record) file, a megabyte at a time."""
+    if bytes(data[:2]) != b"\x1f\x8b":
+        yield from (bytes(data[k : k + step]) for k in range(0, len(data), step))
+        return
+    at, one = 0, zlib.decompressobj(wbits=31)
+    while at < len(data) or one.unconsumed_tail:
+        if one.eof:
+            # Past a member's end: the next one begins, or padding that is no member.
+            if bytes(data[at : at + 2]) != b"\x1f\x8b":
+                return
             one = zlib.decompressobj(wbits=31)
-            parts.append(one.decompress(data))
-            data = one.unused_data
-        data = b"".join(parts)
-    at, view = 0, memoryview(data)
-    while at < len(data):
-        if not data.startswith(b"WARC/", at):
-            raise ValueError(f"no WARC record at byte {at}")
-        end = data.index(b"\r\n\r\n", at)
-        lines = data[at:end].decode("utf-8", "replace").split("\r\n")[1:]
+        part = one.unconsumed_tail or bytes(data[at : at + step])
+        if not one.unconsumed_tail:
+            at += len(part)
+        yield one.decompress(part, step)
+        at -= len(one.unused_data)
+    yield one.flush()
+
+
+def records_of(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Header and block of each record of a WARC file, read in a stream; what follows a broken record is an error."""
+    source, held, place = unzipped(memoryview(data)), bytearray(), 0
+
+    def more() -> bool:
+        for part in source:
+            if part:
+                held.extend(part)
+                return True
+        return False
+
+    while True:
+        skip = 0
+        while held.startswith(b"\r\n", skip) or (len(held) - skip < 2 and more()):
+            skip += 2 if held.startswith(b"\r\n", skip) else 0
+        del held[:skip]
+        place += skip
+        if not held and not more():
+            return
+        while len(held) < 5 and more():
+            pass
+        if not held.startswith(b"WARC/"):
+            raise ValueError(f"no WARC record at byte {place}")
+        seen = 0
+        while (end := held.find(b"\r\n\r\n", max(0, seen - 3))) < 0:
+            seen = len(held)
+            if not more():
+                raise ValueError(f"a record at byte {place} is cut short")
+        lines = held[:end].decode("utf-8", "replace").split("\r\n")[1:]
         header = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
-        size = int(header["content-length"])
-        if (start := end + 4) + size > len(data):
-            raise ValueError(f"a record at byte {at} is cut short")
-        yield header, bytes(view[start : start + size])
-        at = start + size
-        while data.startswith(b"\r\n", at):
-            at += 2
+        stop = end + 4 + int(header["content-length"])
+        while len(held) < stop:
+            if not more():
+                raise ValueError(f"a record at byte {place} is cut short")
+        yield header, bytes(held[end + 4 : stop])
+        del held[:stop]
+        place += stop
 
 
 def _row(header: dict[str, str], block: bytes) -> tuple:

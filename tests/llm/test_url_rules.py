@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -50,3 +51,44 @@ def test_rarest_token_and_bad_rules(spark):
     with pytest.raises(ValueError):
         judge(pages, (), [PatternRule("block", "x", ())])
     assert judge(pages.limit(0)).count() == 0
+
+
+def many_rules(seed):
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choices("abcdef", k=rng.randint(2, 4)))
+    hosts = list({(h, p): url_rules.HostRule(rng.choice(["block", "allow"]), h, p) for _ in range(800) if (h := ".".join(word() for _ in range(rng.randint(1, 2)))) and (p := "/" + word()[: rng.randint(0, 3)])}.values())
+    patterns = []
+    for _ in range(10_000):
+        a, b = word(), word()
+        patterns.append(PatternRule(rng.choice(["block", "allow"]), rf"(^|[^a-z0-9]){a}[^a-z0-9](.*[^a-z0-9])?{b}($|[^a-z0-9])", (a, b)))
+    urls = [f"http://{word()}.{word()}/{word()}/{word()}-{word()}?{word()}={word()}" for _ in range(150)] + ["http://ab.cd/ef"] * 40 + URLS
+    return hosts, patterns, urls
+
+
+def test_ten_thousand_pattern_rules(spark, monkeypatch):
+    """Sent to the tasks and joined: the same as trying every rule on every URL."""
+    hosts, patterns, urls = many_rules(4)
+    tried = [(p, re.compile(p.pattern)) for p in patterns]
+
+    def force(url):
+        host, path, *_ = brute(url)
+        fits = [r for r in hosts if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
+        if fits:
+            best = max(fits, key=lambda r: (len(r.name), r.verdict, r.name))
+            return best.name, best.verdict, None
+        hit = next((p for p, e in tried if e.search((url or "").lower())), None)
+        return None, hit.verdict if hit else "allow", hit.pattern if hit else None
+
+    want = {k: force(u) for k, u in enumerate(urls)}
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = lambda: {r.page_id: (r.rule, r.verdict, r.pattern) for r in judge(pages, hosts, patterns).collect()}
+    assert got() == want
+    monkeypatch.setattr(url_rules, "MOST_RULES", 100)
+    assert got() == want and {v for _, v, _ in want.values()} == {"block", "allow"}
+
+
+def test_rules_from_files(spark, tmp_path):
+    (tmp_path / "r.json").write_text('{"verdict": "block", "host": "b.c"}\n{"verdict": "allow", "host": "b.c", "path": "/ok"}\n{"rank": 1, "verdict": "block", "pattern": "/x1/", "tokens": ["x1"]}\n')
+    pages = spark.createDataFrame([(1, "http://a.b.c/n"), (2, "http://b.c/ok"), (3, "http://d/x1/"), (4, "http://d/x12/")], "page_id long, url string")
+    rows = url_rules.judge_table(pages, *url_rules.read_rules(spark, f"file://{tmp_path}/r.json")).orderBy("page_id").collect()
+    assert [r.verdict for r in rows] == ["block", "allow", "block", "allow"]

@@ -66,3 +66,16 @@ def test_assembly_of_odd_records(spark, tmp_path):
     alone = warc.assemble(records.where("type = 'response'")).first()
     assert alone.request is None and alone.metadata is None and alone.n_request == 0
     assert warc.assemble(records.where("type = 'metadata'")).count() == 0
+
+
+def test_members_are_read_in_a_stream():
+    """Records larger than a step, gzipped each by itself, in halves and whole; what is cut short is an error."""
+    blocks = [b"x" * 3_000_000, b"", b"WARC/1.1\r\n\r\n" * 9, bytes(range(256)) * 9000]
+    made = [b"WARC/1.1\r\nWARC-Type: t%d\r\nContent-Length: %d\r\n\r\n" % (k, len(b)) + b + b"\r\n\r\n" for k, b in enumerate(blocks)]
+    whole = b"".join(made)
+    for data in (whole, gzip.compress(whole), b"".join(map(gzip.compress, made)), gzip.compress(whole[:100]) + gzip.compress(whole[100:]), gzip.compress(whole) + b"\0" * 9):
+        assert [(h["warc-type"], b) for h, b in warc.records_of(data)] == [(f"t{k}", b) for k, b in enumerate(blocks)]
+    assert list(warc.records_of(b"")) == [] and list(warc.records_of(gzip.compress(b""))) == []
+    for bad in (whole[:-20], gzip.compress(whole)[:-2000], b"no" + whole):
+        with pytest.raises(ValueError):
+            list(warc.records_of(bad))
