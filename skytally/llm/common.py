@@ -5,11 +5,12 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 #: Space, tab, line feed, vertical tab, form feed, carriage return: what separates words everywhere in this subpackage.
 SPACES = " \t\n\x0b\x0c\r"
@@ -67,6 +68,18 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.R
             yield batch.slice(at, rows)
 
 
+def mapped(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], fields: list[StructField]) -> DataFrame:
+    """``df.mapInArrow`` for any column names: ``work`` goes by position."""
+    plain = df.toDF(*(f"c{k}" for k in range(len(df.columns))))
+    made = StructType([StructField(f"c{k}", f.dataType) for k, f in enumerate(fields)])
+
+    def renamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in work(batches):
+            yield pa.RecordBatch.from_arrays(batch.columns, made.names)
+
+    return plain.mapInArrow(renamed, made).toDF(*(f.name for f in fields))
+
+
 def give_back() -> None:
     """At a task's end: return freed memory to the system, since Python workers live on after their tasks."""
     pa.default_memory_pool().release_unused()

@@ -4,7 +4,8 @@ Texts are compared in lower case with runs of white space as one space. An item
 ``rate * m`` edits. Cut into one piece more than that, it has a piece without an edit in every such occurrence. All pieces of
 all items are searched for at once by the hashes of their first characters, and around each exact hit Myers' bit-parallel
 algorithm computes the least edit distance between the item and any stretch of the text. An item under ``LEAST_CHARS``
-characters must occur exactly and as whole words, for with edits it would be found nearly everywhere.
+characters must occur exactly and as whole words, for with edits it would be found nearly everywhere. One over ``LONG`` is cut into
+parts of that length, and occurs where any of them does.
 """
 
 from __future__ import annotations
@@ -18,14 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skytally.llm.common import give_back, sliced
+from skytally.llm.common import give_back, mapped, sliced
 
 #: Errors allowed by character of the item, and the length under which an item must occur without any.
 RATE, LEAST_CHARS = 0.08, 40
 #: Bytes of items that are sent to the tasks at once; larger sets go in blocks, each against all documents.
 BLOCK_BYTES = 32_000_000
-#: Characters of a piece that are hashed at most, and of text that are hashed at once.
-HEAD, CHUNK = 12, 500_000
+#: Characters of a piece that are hashed at most, of text that are hashed at once, and of an item that are compared as one.
+HEAD, CHUNK, LONG = 12, 500_000, 4000
 BASE, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -85,11 +86,13 @@ class Index:
     """The pieces of a block of items by the hash of their first characters.
 
     Hashes of all windows of a text are computed at once; a bit table passes over nearly all of them, and what is left is looked up
-    among the sorted hashes and compared character by character. A piece takes some twenty bytes, whatever its length.
+    among the sorted hashes and compared character by character. Pieces of one item that begin alike are one entry, which stands
+    for the stretch of places where they may lie, so an item that repeats itself costs no more than another.
     """
 
     def __init__(self, items: Sequence[tuple[int, str]], rate: float):
-        self.items = [(i, t, 0 if len(t) < LEAST_CHARS else int(rate * len(t))) for i, t in items]
+        parts = list(dict.fromkeys((i, p) for i, t in items for p in ([t] if len(t) <= LONG else [t[k : k + LONG] for k in range(0, len(t), LONG)])))
+        self.items = [(i, t, 0 if len(t) < LEAST_CHARS else int(rate * len(t))) for i, t in parts]
         owner, at, size, where, begin = [], [], [], [], 0
         for k, (_, text, budget) in enumerate(self.items):
             for a, z in cut(len(text), budget + 1):
@@ -98,81 +101,96 @@ class Index:
                 size.append(z - a)
                 where.append(begin + a)
             begin += len(text)
-        self.owner, self.at, self.size = np.array(owner, np.int64), np.array(at, np.int64), np.array(size, np.int64)
-        first, place = np.minimum(self.size, HEAD), np.array(where, np.int64)
-        codes, self.heads = codes_of("".join(t for _, t, _ in self.items)), {}
+        owner, at, size, place = (np.array(x, np.int64) for x in (owner, at, size, where))
+        first, codes, self.heads = np.minimum(size, HEAD), codes_of("".join(t for _, t, _ in self.items)), {}
         for q in sorted(set(first.tolist())):
             own = np.flatnonzero(first == q)
             h = codes[place[own]].astype(np.uint64) + np.uint64(1)
             for k in range(1, q):
                 h = h * BASE + codes[place[own] + k]
-            rank = np.argsort(h, kind="stable")
-            order, hashes = own[rank], h[rank]
+            order = np.lexsort((at[own], owner[own], h))
+            h, own = h[order], own[order]
+            fresh = np.concatenate([[True], (h[1:] != h[:-1]) | (owner[own[1:]] != owner[own[:-1]])])
+            starts = np.flatnonzero(fresh)
+            ends = np.append(starts[1:], len(h)) - 1
+            # Of pieces that are alone in their entry the length is kept, so that the whole piece is compared.
+            entry = np.stack([owner[own[starts]], at[own[starts]], at[own[ends]], np.where(starts == ends, size[own[starts]], q)])
+            hashes = h[starts]
             bits = max(16, int(16 * len(hashes)).bit_length())
             table = np.zeros(1 << bits, bool)
             table[(hashes * MIX) >> np.uint64(64 - bits)] = True
-            self.heads[q] = (hashes, order, table, np.uint64(64 - bits))
+            self.heads[q] = (hashes, entry, table, np.uint64(64 - bits))
 
-    def hits(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(where, piece) of all windows that hash like a piece's first characters."""
-        found, most = [], max(self.heads, default=0)
+    def hits(self, codes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(where, entry) of all windows that hash like a piece's first characters, ``CHUNK`` at a time."""
+        most = max(self.heads, default=0)
         for a in range(0, len(codes), CHUNK):
             part = codes[a : a + CHUNK + most - 1]
             for q, h in window_hashes(part, set(self.heads)):
-                hashes, order, table, shift = self.heads[q]
+                hashes, entry, table, shift = self.heads[q]
                 h = h[: min(len(h), CHUNK)]
                 maybe = np.flatnonzero(table[(h * MIX) >> shift])
-                lo, hi = np.searchsorted(hashes, h[maybe], "left"), np.searchsorted(hashes, h[maybe], "right")
-                n = hi - lo
-                inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                found.append((np.repeat(maybe + a, n), order[np.repeat(lo, n) + inner]))
-        if not found:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+                lo, n = np.searchsorted(hashes, h[maybe], "left"), np.searchsorted(hashes, h[maybe], "right")
+                n -= lo
+                cuts = np.unique(np.searchsorted(np.cumsum(n), np.arange(CHUNK, n.sum() + CHUNK, CHUNK), "left") + 1)
+                for own in np.split(np.arange(len(n)), cuts[cuts < len(n)]):
+                    inner = np.arange(n[own].sum()) - np.repeat(np.cumsum(n[own]) - n[own], n[own])
+                    yield np.repeat(maybe[own] + a, n[own]), entry[:, np.repeat(lo[own], n[own]) + inner]
 
     def search(self, texts: Sequence[str]) -> Iterator[Iterator[tuple[int, int, int, int]]]:
         """For each normalised text (item_id, edits, start at the latest, end) of the items that occur in it, by their best occurrence."""
-        spots: list[dict[int, set[int]]] = [defaultdict(set) for _ in texts]
+        spots: list[dict[int, list[tuple[int, int]]]] = [defaultdict(list) for _ in texts]
         begins = np.cumsum([0, *(len(t) for t in texts)])
-        if self.heads:
-            where, piece = self.hits(codes_of("".join(texts)))
+        for where, (owner, low, high, size) in self.hits(codes_of("".join(texts))) if self.heads else ():
             doc = np.searchsorted(begins, where, "right") - 1
-            for d, p, k, a, n in zip(doc.tolist(), (where - begins[doc]).tolist(), self.owner[piece].tolist(), self.at[piece].tolist(), self.size[piece].tolist(), strict=True):
+            for d, p, k, a, z, n in zip(doc.tolist(), (where - begins[doc]).tolist(), owner.tolist(), low.tolist(), high.tolist(), size.tolist(), strict=True):
                 if texts[d][p : p + n] == self.items[k][1][a : a + n]:
-                    spots[d][k].add(p - a)
+                    own, lo, hi = spots[d][k], p - z, p - a
+                    if own and own[-1][0] <= lo <= own[-1][1] + 1:
+                        own[-1] = (own[-1][0], max(hi, own[-1][1]))
+                    else:
+                        own.append((lo, hi))
         for text, own in zip(texts, spots, strict=True):
             yield self.verified(text, own)
 
-    def verified(self, text: str, spots: dict[int, set[int]]) -> Iterator[tuple[int, int, int, int]]:
+    def verified(self, text: str, spots: dict[int, list[tuple[int, int]]]) -> Iterator[tuple[int, int, int, int]]:
+        """``spots``: by item the first and last places where it may begin. Of an item's parts the best one is given."""
+        found: dict[int, tuple[int, int, int]] = {}
         for k in sorted(spots):
             item_id, item, budget = self.items[k]
             if len(item) < LEAST_CHARS:
-                start = min((b for b in spots[k] if apart(text, b, b + len(item))), default=None)
-                if start is not None:
-                    yield item_id, 0, start, start + len(item)
+                if got := whole_words(item, text):
+                    found[item_id] = min(got, found.get(item_id, got))
                 continue
-            best, reach = None, None
             for lo, hi in joined(sorted(spots[k]), len(item), budget, len(text)):
-                if (got := best_match(item, text, lo, hi, budget)) and (best is None or got < best):
-                    best, reach = got, lo
-            if best:
-                yield item_id, best[0], max(reach, best[1] - len(item) - best[0]), best[1]
+                at = text.find(item, lo, hi)
+                got = (0, at + len(item)) if at >= 0 else best_match(item, text, lo, hi, budget)
+                if got:
+                    new = (got[0], got[1], max(lo, got[1] - len(item) - got[0]))
+                    found[item_id] = min(new, found.get(item_id, new))
+        yield from ((i, e, start, end) for i, (e, end, start) in found.items())
 
     def matches(self, text: str) -> Iterator[tuple[int, int, int, int]]:
         return next(self.search([text]))
 
 
-def apart(text: str, start: int, end: int) -> bool:
-    """Whether no letter or digit goes on across either end of text[start:end]."""
-    left = start > 0 and text[start - 1].isalnum() and text[start].isalnum()
-    return not left and not (end < len(text) and text[end].isalnum() and text[end - 1].isalnum())
+def whole_words(item: str, text: str) -> tuple[int, int, int] | None:
+    """(0, end, start) of the first place where the item stands in the text and no letter or digit goes on across either end."""
+    start = text.find(item)
+    while start >= 0:
+        end = start + len(item)
+        left = start > 0 and text[start - 1].isalnum() and text[start].isalnum()
+        if not left and not (end < len(text) and text[end].isalnum() and text[end - 1].isalnum()):
+            return 0, end, start
+        start = text.find(item, start + 1)
+    return None
 
 
-def joined(begins: list[int], size: int, budget: int, length: int) -> Iterator[tuple[int, int]]:
-    """Stretches of text around the places where an item may begin; those that overlap are one."""
+def joined(begins: list[tuple[int, int]], size: int, budget: int, length: int) -> Iterator[tuple[int, int]]:
+    """Stretches of text around the places (first, last) where an item may begin; those that overlap are one."""
     lo = hi = None
-    for b in begins:
-        a, z = max(0, b - budget), min(length, b + size + budget)
+    for first, last in begins:
+        a, z = max(0, first - budget), min(length, last + size + budget)
         if hi is not None and a <= hi:
             hi = max(hi, z)
         else:
@@ -267,7 +285,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item
                 yield batch.filter(pa.array([k not in held for k in range(batch.num_rows)], pa.bool_()))
             give_back()
 
-        return df.mapInArrow(work, docs.schema)
+        return mapped(df, work, docs.schema.fields)
 
     for items in blocks_of(benchmark, item_col, item_text_col, block_bytes):
         docs = kept(docs, items)

@@ -18,9 +18,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType, StructField, StructType
+from pyspark.sql.types import DataType, StructField
 
-from skytally.llm.common import blank_null, give_back, sliced
+from skytally.llm.common import blank_null, give_back, mapped, sliced
 
 BASE = ("email", "ip", "card", "phone")
 #: All kinds, in the order in which spans with one start are listed.
@@ -383,16 +383,16 @@ def find_spans(docs: DataFrame, *, text_col: str = "text", into: str = "pii_span
     if into in docs.columns:
         raise ValueError(f"there is a column {into} already")
     field = field or trained()
+    at = docs.columns.index(text_col)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_())]))
         for batch in sliced(batches):
-            at = batch.schema.names.index(text_col)
             rows = [[{"kind": k, "start": a, "end": b, "base": own} for a, b, k, own in all_spans(t or "", field)] for t in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, kind)], [*batch.schema.names, into])
         give_back()
 
-    return docs.mapInArrow(work, StructType([*docs.schema.fields, StructField(into, DataType.fromDDL(SPANS))]))
+    return mapped(docs, work, [*docs.schema.fields, StructField(into, DataType.fromDDL(SPANS))])
 
 
 def joined(spans: Column) -> Column:
@@ -436,7 +436,7 @@ def redact(docs: DataFrame, *, text_col: str = "text", length_col: str | None =
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if k == at else c for k, c in enumerate(batch.columns)], batch.schema.names)
         give_back()
 
-    out = docs.mapInArrow(work, docs.schema)
+    out = mapped(docs, work, docs.schema.fields)
     if length_col in columns:
         kind = docs.schema[length_col].dataType
         out = out.withColumn(length_col, F.when(F.col(text_col).isNull(), F.col(length_col)).otherwise(F.length(text_col).cast(kind)))

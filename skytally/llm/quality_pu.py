@@ -17,8 +17,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField
 
-from skytally.llm.common import fold_of
+from skytally.llm.common import fold_of, give_back, mapped, sliced
 
 #: Rows that training reads at most.
 TRUSTED_ROWS, UNLABELLED_ROWS = 4000, 8000
@@ -146,7 +147,7 @@ def train(trusted: np.ndarray, unlabelled: np.ndarray, rounds: int = 60, seed: i
 
 def feature_rows(docs: DataFrame, text_col: str) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             yield pa.RecordBatch.from_arrays([pa.array([features(t).tolist() for t in batch.column(0).to_pylist()], pa.list_(pa.float32()))], ["x"])
 
     return docs.select(F.col(text_col).alias("text")).mapInArrow(work, "x array<float>")
@@ -174,18 +175,19 @@ def fitted(docs: DataFrame, labels: DataFrame, *, label_col: str = "quality", fo
 def score(docs: DataFrame, net: Network | None, *, text_col: str = "text", into: str = "score") -> DataFrame:
     """``docs`` with each whole text's score from 0 to 1; null and empty texts are scored alike. Without a network all have 0.5.
 
-    Rows, nulls and other columns stay as they are; ``into`` must be a new name.
+    Rows (repeated ones too), nulls and other columns stay as they are; an empty table stays empty; ``into`` must be a new name.
     """
     if into in docs.columns:
         raise ValueError(f"there is a column {into} already")
     if net is None:
         return docs.withColumn(into, F.lit(0.5))
+    at = docs.columns.index(text_col)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(batch.schema.names.index(text_col)).to_pylist()
+        for batch in sliced(batches):
+            texts = batch.column(at).to_pylist()
             x = np.array([features(t) for t in texts], np.float64).reshape(-1, N_FEATURES)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sigmoid(net.logit(x)), pa.float64())], [*batch.schema.names, into])
+        give_back()
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(work, f"{fields}, `{into}` double")
+    return mapped(docs, work, [*docs.schema.fields, StructField(into, DoubleType())])

@@ -16,9 +16,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import DoubleType, StructField
 
-from skytally.llm.common import give_back, labelled_sample, sliced
+from skytally.llm.common import give_back, labelled_sample, mapped, sliced
 
 WINDOW, STRIDE = 48, 32
 HIDDEN, WORD_SIZE, CHAR_SIZE, CHAR_ROWS = 8, 8, 8, 4096
@@ -34,12 +34,14 @@ def words_of(text: str | None) -> list[str]:
 
 
 def trigrams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed byte trigrams of all words with their ends marked, and where each word's begin; words may hold any character."""
+    """Hashed byte trigrams within each word, its ends marked, and where each word's begin; words may hold any character."""
     marked = [b"\x01" + w.encode() + b"\x02" for w in words]
     data = np.frombuffer(b"".join(marked) + b"\x00\x00", np.uint8).astype(np.uint32)
     code = (data[:-2] * np.uint32(2654435761) ^ data[1:-1] * np.uint32(2246822519) ^ data[2:] * np.uint32(3266489917)) >> np.uint32(7)
     ends = np.cumsum([len(m) for m in marked], dtype=np.int64)
-    return (code % CHAR_ROWS).astype(np.int64), np.concatenate([[0], ends[:-1]]).astype(np.int64) if words else ends
+    inside = np.ones(len(code), bool)
+    inside[np.concatenate([ends - 1, ends - 2])] = False
+    return (code[inside] % CHAR_ROWS).astype(np.int64), np.concatenate([[0], ends - 2 * np.arange(1, len(ends) + 1)]).astype(np.int64)[: len(words)]
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -281,12 +283,14 @@ def score(docs: DataFrame, net: Network | None, *, text_col: str = "text", into:
     if net is None:
         return docs.withColumn(into, F.lit(0.0))
 
+    at = docs.columns.index(text_col)
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(net)
         for batch in sliced(batches):
-            texts = batch.column(batch.schema.names.index(text_col)).to_pylist()
+            texts = batch.column(at).to_pylist()
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scorer.scores(texts), pa.float64())], [*batch.schema.names, into])
         del scorer
         give_back()
 
-    return docs.mapInArrow(work, StructType([*docs.schema.fields, StructField(into, DoubleType())]))
+    return mapped(docs, work, [*docs.schema.fields, StructField(into, DoubleType())])

@@ -85,3 +85,12 @@ def test_long_texts_and_pieces_across_chunks():
         assert [(m[0], m[1]) for m in index.matches(text)] == [(7, 0)]
     halves = [items[3][1][:35], items[3][1][35:]]
     assert [list(m) for m in index.search(halves)] == [[], []]
+
+
+def test_items_that_repeat_themselves_and_long_ones(spark, docs_of):
+    rng = random.Random(6)
+    long = " ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(2000))
+    items = [(1, "word " * 3000), (2, "x" * 9000), (3, long), (4, "ab" * 40)]
+    texts = ["word " * 50_000, "x" * 100_000, long[3500:9000], "ba" * 39 + "c" + "ab" * 5, long[3000:6000]]
+    got = sorted((r.doc_id, r.item_id, r.edits) for r in decontaminate.contaminated(docs_of(texts), spark.createDataFrame(items, ITEMS)).collect())
+    assert got == [(0, 1, 0), (1, 2, 0), (2, 3, 0), (3, 4, distance("ab" * 40, texts[3]))]

@@ -66,3 +66,47 @@ def test_limits_on_segments_and_loss(spark):
 def test_bad_limits():
     with pytest.raises(ValueError):
         packing.Packer(packing.Limits(tokens=0), 4, 0)
+
+
+def placements(pieces, limits):
+    """The rule stated plainly, for pieces that need no cutting: of those that fit, the largest dot product of demand and room, both as shares of the limits; then the next sequence."""
+    waiting, out = list(enumerate(pieces)), []
+    while waiting:
+        room, own = [limits.tokens, limits.segments, limits.loss_tokens], []
+        while True:
+            fit = [(k, (n, 1, n if loss else 0)) for k, (n, loss) in waiting if n <= room[0] and 1 <= room[1] and (not loss or n <= room[2])]
+            if not fit:
+                break
+            caps = (limits.tokens, limits.segments, limits.loss_tokens)
+            k, d = max(fit, key=lambda f: (round(sum(x * r / c / c for x, r, c in zip(f[1], room, caps, strict=True)), 12), -f[0]))
+            own.append(k)
+            room = [r - x for r, x in zip(room, d, strict=True)]
+            waiting = [w for w in waiting if w[0] != k]
+        out.append(own)
+    return out
+
+
+def test_placements_are_the_dot_product_choices():
+    """Segments bind in the first case, loss in the second: room may be left on tokens, and nothing fits that waits."""
+    import random
+
+    for limits, seed in ((packing.Limits(64, 3, 64), 1), (packing.Limits(64, 64, 16), 2), (packing.Limits(64, 4, 24), 3)):
+        rng = random.Random(seed)
+        pieces = [(rng.randint(9, 15), rng.random() < 0.6) for _ in range(20)]
+        packer = packing.Packer(limits, 1000, 0)
+        for k, (n, loss) in enumerate(pieces):
+            packer.add(k, np.arange(n, dtype="<u4").tobytes(), loss)
+        first = placements(pieces, limits)[0]
+        packer.fill(len(pieces) - len(first))
+        got = list(dict.fromkeys(r[0] for r in packer.rows))
+        assert got[: len(first)] == first
+
+
+def test_dialogue_turns_under_binding_limits(spark):
+    """Conversations: only what the assistant says bears loss, and both other limits bind."""
+    turns = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").withColumn("key", F.xxhash64("conv_id", "turn"))
+    limits = packing.Limits(tokens=2048, segments=24, loss_tokens=512)
+    rows = packing.pack(turns, id_col="key", bears_loss=F.col("role") == "assistant", limits=limits).collect()
+    by = check(rows, {r.key: r.text for r in turns.select("key", "text").collect()}, limits)
+    sums = [(len(p), sum(r.loss_tokens for r in p)) for p in by.values()]
+    assert max(s for s, _ in sums) == 24 or max(x for _, x in sums) == 512

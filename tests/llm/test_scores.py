@@ -113,3 +113,51 @@ def test_quality_edges(spark, docs_of):
     assert all(0 <= r.score <= 1 for r in rows) and rows[0].score == rows[1].score and rows[2].score == rows[3].score
     assert quality_pu.score(docs.limit(0), net).count() == 0 and quality_pu.score(docs, None).first().score == 0.5
     assert quality_pu.fitted(docs.limit(0), spark.createDataFrame([], "doc_id long, quality int")) is None
+
+
+def slow_toxicity(net, text):
+    """The definition, word by word: windows of 48 words every 32, both directions, attention, the largest sigmoid."""
+    words, best, n = (text or "").lower().split(), 0.0, toxicity.HIDDEN
+    sig = lambda x: 1 / (1 + np.exp(-x))
+    for first in range(0, max(1, len(words) - toxicity.WINDOW + toxicity.STRIDE), toxicity.STRIDE) if words else ():
+        vectors = []
+        for w in words[first : first + toxicity.WINDOW]:
+            w = w.strip(toxicity._MARKS) or w
+            data = [1, *w.encode(), 2]
+            codes = [((a * 2654435761 ^ b * 2246822519 ^ c * 3266489917) % 2**32 >> 7) % toxicity.CHAR_ROWS for a, b, c in zip(data, data[1:], data[2:], strict=False)]
+            vectors.append(np.concatenate([net.p["word"][net.vocabulary.get(w, 0)], np.mean([net.p["char"][k] for k in codes], 0)]))
+        states = []
+        for u, part, order in (("uf", slice(0, 3 * n), 1), ("ub", slice(3 * n, 6 * n), -1)):
+            h, out = np.zeros(n), []
+            for x in vectors[::order]:
+                a, g = (x @ net.p["wx"] + net.p["bx"])[part], h @ net.p[u]
+                z, r = sig(a[:n] + g[:n]), sig(a[n : 2 * n] + g[n : 2 * n])
+                h = z * h + (1 - z) * np.tanh(a[2 * n :] + r * g[2 * n :])
+                out.append(h)
+            states.append(out[::order])
+        both = np.concatenate([np.array(states[0]), np.array(states[1])], 1)
+        weight = np.exp(both @ net.p["attend"])
+        best = max(best, float(sig(weight / weight.sum() @ both @ net.p["out"] + net.p["b"])[0]))
+    return best
+
+
+def test_toxicity_query_by_brute_force(spark):
+    """The registered query's scores against the definition, one word at a time."""
+    docs = table(spark, SF, "documents")
+    net = toxicity.fitted(docs, table(spark, SF, "labels"))
+    some = {r.doc_id: r.text for r in docs.where("length(text) < 3000").orderBy(F.xxhash64("doc_id")).limit(25).collect()}
+    got = {r.doc_id: r.score for r in toxicity.score(docs.where(F.col("doc_id").isin(list(some))), net).collect()}
+    assert all(abs(got[i] - slow_toxicity(net, t)) < 1e-4 for i, t in some.items())
+
+
+def test_quality_query_by_brute_force(spark):
+    """The registered query's scores against features written out by hand for the shares, and the network's sums one by one."""
+    docs = table(spark, SF, "documents")
+    net, _ = quality_pu.fitted(docs, table(spark, SF, "labels"))
+    for r in quality_pu.score(docs.orderBy(F.xxhash64("doc_id")).limit(40), net).collect():
+        x, data = quality_pu.features(r.text), (r.text or "").encode()
+        for k, group in enumerate(quality_pu._GROUPS):
+            assert abs(x[k] - (sum(chr(b) in group for b in data if b < 128) / max(1, len(data))) ** 0.5) < 1e-5
+        z = [min(8.0, max(-8.0, (v - m) / s)) for v, m, s in zip(x.astype(float), net.mean, net.spread, strict=True)]
+        hidden = [np.tanh(sum(z[i] * net.p[0][i, j] for i in range(len(z))) + net.p[1][j]) for j in range(len(net.p[1]))]
+        assert abs(r.score - 1 / (1 + np.exp(-(sum(h * w for h, w in zip(hidden, net.p[2], strict=True)) + net.p[3][0])))) < 1e-6
