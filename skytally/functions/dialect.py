@@ -8,11 +8,16 @@ SPARK = {
     "micros": "unix_micros(CAST(ts AS TIMESTAMP))", "div": "DIV", "json_k": "CAST(get_json_object(props, '$.k') AS BIGINT)", "percentile": "percentile", "first_known": "first_value({0}) IGNORE NULLS",
     "hour": "pmod(t_us DIV 3600000000, 24)", "string": "STRING",
     "hash": "CAST(conv(substr(md5(CAST({0} AS STRING)), 1, 8), 16, 10) AS BIGINT)", "chars": "split({0}, '')", "explode": "explode({0})", "sequence": "sequence({0})", "sha256": "sha2({0}, 256)", "matches": "regexp_like({0})",
+    # How often each character of a text occurs; entropy in bits of such counts, of so many in all.
+    "counted": "transform(array_distinct(array_remove(split({0}, ''), '')), c -> length({0}) - length(replace({0}, c, '')))", "size": "size({0})",
+    "entropy": "aggregate({0}, 0e0, (a, n) -> a - n * 1e0 / n_chars * ln(n * 1e0 / n_chars)) / ln(2e0)",
 }
 DUCKDB = {
     "micros": "epoch_us(ts)", "div": "//", "json_k": "CAST(json_extract_string(props, '$.k') AS BIGINT)", "percentile": "quantile_cont", "first_known": "first_value({0} IGNORE NULLS)",
     "hour": "(t_us // 3600000000) % 24", "string": "VARCHAR",
     "hash": "CAST('0x' || substr(md5(CAST({0} AS VARCHAR)), 1, 8) AS BIGINT)", "chars": "string_split({0}, '')", "explode": "unnest({0})", "sequence": "generate_series({0})", "sha256": "sha256({0})", "matches": "regexp_matches({0})",
+    "counted": "list_transform(list_distinct(string_split({0}, '')), lambda c: length({0}) - length(replace({0}, c, '')))", "size": "len({0})",
+    "entropy": "list_sum(list_transform({0}, lambda n: -n * 1e0 / n_chars * ln(n * 1e0 / n_chars))) / ln(2e0)",
 }
 
 

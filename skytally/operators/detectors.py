@@ -3,19 +3,23 @@
 History is the function's earlier arrivals. All detectors of a function share one partitioning and one order, so the panel costs
 a single shuffle whatever the number of detectors; moments grow with the frame instead of being summed anew. Three measures need
 a prefix of the history (half of it, its first or last rows); they are differences of running sums, looked up by row number.
-Percentiles look at the last ``PERCENTILE_ROWS`` arrivals.
+Percentiles and the longest duration are those of the last ``HISTORY`` arrivals; they come from frames kept in order
+(``order_statistics``), since a window would sort each frame anew.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
 from skytally.functions.dialect import DUCKDB, SPARK, fill
+from skytally.operators.order_statistics import running_percentiles
 from skytally.sources.telemetry import ORACLE_VIEW
 
-PERCENTILE_ROWS = 1000
+#: Arrivals that percentiles look back on. Fixed value.
+HISTORY = 10_000
 _FIELDS = ("duration", "memory", "cpu", "network")
 
 
@@ -46,22 +50,22 @@ def _range(seconds: int, less: int = 0) -> str:
     return f"OVER (PARTITION BY function_id ORDER BY t_us RANGE BETWEEN {seconds * 1_000_000 - less} PRECEDING AND CURRENT ROW)"
 
 
-_P = _last(PERCENTILE_ROWS)
+_P = _last(HISTORY)
 _FAILED = "(phase = 'error' OR anomaly_type IN ('execution_failure', 'timeout_fallback'))"
 _FAILING = f"({_FAILED} OR duration > 30.0)"
 
 
-def _percentiles(field: str, *ps: float) -> list[str]:
-    return [f"<percentile>({field}, {p}) {_P} AS {field}_p{round(p * 100)}" for p in ps]
+#: Percentiles by column name, and their SQL for engines that have an operator for them.
+PERCENTILES = {f"duration_p{round(p * 100)}": ("duration", p) for p in (0.01, 0.05, 0.5, 0.95, 0.99)} | {"network_p95": ("network", 0.95), "duration_max": ("duration", 1.0)}
+_PERCENTILES = [f"quantile_cont({x}, {p}) {_P} AS {name}" if p < 1 else f"max({x}) {_P} AS {name}" for name, (x, p) in PERCENTILES.items()]
 
 
 #: Windows over the view, by step: later ones read what earlier ones made.
 STEP_1 = [
     "*", f"row_number() {_O} AS n", f"t_us - lag(t_us) {_O} AS gap", f"memory > lag(memory) {_O} AS grew",
     *(f"avg({x}) {_B} AS {x}_mb" for x in _FIELDS), *(f"stddev_pop({x}) {_B} AS {x}_sb" for x in _FIELDS),
-    f"avg(network) {_H} AS network_mh", f"stddev_pop(network) {_H} AS network_sh", f"max(duration) {_H} AS duration_max",
+    f"avg(network) {_H} AS network_mh", f"stddev_pop(network) {_H} AS network_sh",
     *(f"covar_pop(duration, {x}) {_H} / nullif(stddev_pop(duration) {_H} * stddev_pop({x}) {_H}, 0.0) AS r_d{x[0]}" for x in ("memory", "cpu")),
-    *_percentiles("duration", 0.01, 0.05, 0.5, 0.95, 0.99), *_percentiles("network", 0.95),
     f"avg(cpu) {_last(5)} AS cpu_5", f"avg(network) {_last(5)} AS network_5", f"avg(network) {_last(10)} AS network_10", f"avg(memory) {_last(10)} AS memory_10",
     f"count(*) {_range(3600, 1)} AS c_3600", f"avg(duration) {_range(3600, 1)} AS d_3600",
     "count(*) OVER (PARTITION BY function_id ORDER BY t_us RANGE BETWEEN UNBOUNDED PRECEDING AND 3600000000 PRECEDING) AS c_old",
@@ -231,8 +235,11 @@ def _score(d: Detector) -> str:
     return f"CASE WHEN {d.guard} THEN {d.score} ELSE 0.0 END"
 
 
-def panel_sql(view: str, detectors: tuple[Detector, ...] = DETECTORS) -> str:
-    """SQL (with dialect marks) of all votes by record: <name>_detected, <name>_confidence, <name>_type, confidences to four places."""
+def panel_sql(view: str, detectors: tuple[Detector, ...] = DETECTORS, by: str = "function_id", more: Sequence[str] = ()) -> str:
+    """SQL (with dialect marks) of all votes by record: <name>_detected, <name>_confidence, <name>_type, confidences to four places.
+
+    ``more`` are columns that the first step adds to those of ``view``.
+    """
     sums = ", ".join(f"{c} AS {{p}}_{c}" for c in _SUMS)
     look = lambda p: f"LEFT JOIN (SELECT function_id AS f_{p}, n AS k_{p}, {sums.format(p=p)} FROM step3) {p} ON step3.function_id = {p}.f_{p} AND step3.n_{p} = {p}.k_{p}"
     scores = ", ".join(f"{_score(d)} AS s_{d.name}" for d in detectors)
@@ -246,15 +253,16 @@ def panel_sql(view: str, detectors: tuple[Detector, ...] = DETECTORS) -> str:
             f"coalesce(round(CASE WHEN {d.guard} THEN {mine(d.confidence)} ELSE 0.0 END + 1e-10, 4), 0.0) AS {d.name}_confidence",
             f"CASE WHEN {hit} THEN {mine(d.type)} ELSE {f'CASE WHEN {d.guard} THEN {d.always} ELSE {chr(39)}benign{chr(39)} END' if d.always else chr(39) + 'benign' + chr(39)} END AS {d.name}_type",
         ]
-    return f"""
+    text = f"""
 WITH telemetry AS ({view}),
-step1 AS (SELECT {", ".join(STEP_1)} FROM telemetry),
+step1 AS (SELECT {", ".join([*STEP_1, *more])} FROM telemetry),
 step2 AS (SELECT {", ".join(STEP_2)} FROM step1),
 step3 AS (SELECT {", ".join(STEP_3)} FROM step2),
 looked AS (SELECT step3.*, {", ".join(f"{p}_{c}" for p in ("half", "recent", "base") for c in _SUMS)} FROM step3 {look("half")} {look("recent")} {look("base")}),
 step4 AS (SELECT {", ".join(STEP_4)} FROM looked),
 scored AS (SELECT *, {scores} FROM step4)
 SELECT event_id, t_us, function_id, phase, anomaly_type, duration, memory, cpu, network, truth, {", ".join(votes)} FROM scored"""
+    return text if by == "function_id" else text.replace("PARTITION BY function_id", f"PARTITION BY {by}").replace("SELECT function_id AS f_", f"SELECT {by} AS f_").replace("ON step3.function_id =", f"ON step3.{by} =")
 
 
 def _named(text: str, score: str) -> str:
@@ -267,9 +275,13 @@ def _dialect(text: str, dialect: dict[str, str]) -> str:
     return fill(text, dialect).replace("&gt;", ">").replace("&lt;", "<")
 
 
-def votes(telemetry: DataFrame, detectors: tuple[Detector, ...] = DETECTORS) -> DataFrame:
-    """The record and each detector's vote. A detector without enough history votes no with confidence 0; null measures too."""
-    return telemetry.sparkSession.sql(_dialect(panel_sql("SELECT * FROM {rows}", detectors), SPARK), rows=telemetry)
+def votes(telemetry: DataFrame, detectors: tuple[Detector, ...] = DETECTORS, by: str = "function_id") -> DataFrame:
+    """The record and each detector's vote. A detector without enough history votes no with confidence 0; null measures too.
+
+    History is that of the record's key: its function, or any column named by ``by`` (a constant one for the whole stream).
+    """
+    rows = running_percentiles(telemetry, PERCENTILES, by=by, frame=HISTORY)
+    return telemetry.sparkSession.sql(_dialect(panel_sql("SELECT * FROM {rows}", detectors, by), SPARK), rows=rows)
 
 
-ORACLE_SQL = _dialect(panel_sql(ORACLE_VIEW), DUCKDB)
+ORACLE_SQL = _dialect(panel_sql(ORACLE_VIEW, more=_PERCENTILES), DUCKDB)

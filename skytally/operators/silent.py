@@ -38,25 +38,16 @@ FROM steps GROUP BY function_id"""
 
 #: Causal pairs inside a function: an error and all that follows it within five minutes, weighted by time, phase and outcome; an equi-join on time buckets (own and next) with the exact condition left over.
 PAIRS = """
-WITH slots AS (SELECT event_id, function_id, t_us, phase, <explode:array(t_us DIV 300000000, t_us DIV 300000000 + 1)> AS bucket FROM {rows} WHERE truth),
+WITH slots AS (SELECT event_id, function_id, t_us, phase, t_us <div> 300000000 AS bucket FROM {rows} WHERE truth UNION ALL SELECT event_id, function_id, t_us, phase, t_us <div> 300000000 + 1 AS bucket FROM {rows} WHERE truth),
 records AS (SELECT event_id, function_id, t_us, phase, truth, t_us <div> 300000000 AS bucket FROM {rows})
 SELECT a.event_id AS source, b.event_id AS target, b.function_id, round(0.5 * exp(-(b.t_us - a.t_us) / 6e7) + 0.2 * CASE WHEN b.phase = a.phase THEN 1.0 ELSE 0.0 END + 0.3 * CASE WHEN b.truth THEN 1.0 ELSE 0.0 END, 4) AS confidence
 FROM slots a JOIN records b ON a.function_id = b.function_id AND a.bucket = b.bucket AND b.t_us > a.t_us AND b.t_us - a.t_us <= 300000000"""
 
-#: The registered SQL of the causal pairs, which still stops at the next five records in arrival order.
-CAUSES = """
-WITH ranked AS (SELECT event_id, function_id, t_us, phase, anomaly_type, truth, row_number() OVER (PARTITION BY function_id ORDER BY event_id) AS n FROM {rows}),
-spread AS (SELECT function_id, n + o AS n, event_id AS source, t_us AS source_us, phase AS source_phase, anomaly_type AS source_type FROM ranked, (SELECT <explode:offsets> AS o FROM (SELECT {offsets} AS offsets) AS l) AS steps WHERE truth)
-SELECT source, event_id AS target, ranked.function_id, round(0.5 * exp(-(t_us - source_us) / 6e7) + 0.2 * CASE WHEN phase = source_phase THEN 1.0 ELSE 0.0 END + 0.3 * CASE WHEN truth THEN 1.0 ELSE 0.0 END, 4) AS confidence
-FROM spread JOIN ranked ON spread.function_id = ranked.function_id AND spread.n = ranked.n WHERE t_us - source_us <= 300000000"""
-
-#: Text shape: entropy of the characters, and the codec that suits it.
+#: Text shape: entropy of the characters, counted inside the text's row, and the codec that suits it.
 ENTROPY = """
-WITH chars AS (SELECT doc_id, <explode:<chars:text>> AS c FROM {rows} WHERE text <> ''),
-counts AS (SELECT doc_id, c, count(*) AS n FROM chars GROUP BY doc_id, c), totals AS (SELECT doc_id, sum(n) AS total, count(*) AS kinds FROM counts GROUP BY doc_id)
-SELECT counts.doc_id, CAST(max(total) AS BIGINT) AS n_chars, max(kinds) AS n_kinds, round(-sum(n * 1e0 / total * ln(n * 1e0 / total)) / ln(2e0), 4) AS entropy,
-  CASE WHEN -sum(n * 1e0 / total * ln(n * 1e0 / total)) / ln(2e0) < 3.5 THEN 'zstd' WHEN -sum(n * 1e0 / total * ln(n * 1e0 / total)) / ln(2e0) < 5.0 THEN 'snappy' ELSE 'none' END AS codec
-FROM counts JOIN totals ON counts.doc_id = totals.doc_id GROUP BY counts.doc_id"""
+WITH chars AS (SELECT doc_id, length(text) AS n_chars, <counted:text> AS counts FROM {rows} WHERE text <> ''),
+bits AS (SELECT doc_id, CAST(n_chars AS BIGINT) AS n_chars, CAST(<size:counts> AS BIGINT) AS n_kinds, round(<entropy:counts> + 1e-10, 4) AS entropy FROM chars)
+SELECT *, CASE WHEN entropy < 3.5 THEN 'zstd' WHEN entropy < 5.0 THEN 'snappy' ELSE 'none' END AS codec FROM bits"""
 
 
 def run(text: str, rows: DataFrame) -> DataFrame:

@@ -17,20 +17,23 @@ FLAGSHIP = "fused_scores"
 Query = Callable[[SparkSession, str], DataFrame]
 _VIEW = f"({ORACLE_VIEW}) AS telemetry"
 
-#: The store's registered SQL still states scores without the panel (economic and silent risk 0), which ``stored`` no longer does.
-_PLAIN = "SELECT *, 0.0 AS economic, 0.0 AS silent FROM {rows}"
-
-
 def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Detections of all events as the analyst store holds them: the decisions over the panel's scores."""
     return decisions.decided(decisions.matrix(_panel(spark, sf_dir)))
 
 
+#: Where the store of a folder of tables was written, by Spark application.
+_WRITTEN: dict[tuple[str, str], str] = {}
+
+
 def _store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The store, written once: queries that read it several times compute the panel once."""
-    rows, path = stored(spark, sf_dir), work_path(spark, "store")
-    rows.write.parquet(path)
-    return spark.read.schema(rows.schema).parquet(path)
+    """The store as a table: the first query of an application writes the detections of a folder, all others read them."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _WRITTEN:
+        path = work_path(spark, "store")
+        stored(spark, sf_dir).write.parquet(path)
+        _WRITTEN[key] = path
+    return spark.read.parquet(_WRITTEN[key])
 
 
 def _layers(*texts: str, inner: str = _VIEW) -> str:
@@ -39,7 +42,8 @@ def _layers(*texts: str, inner: str = _VIEW) -> str:
     return inner
 
 
-_STORED = _layers(_PLAIN, decisions.MATRIX, decisions.DECIDED)
+#: The panel in full, as in the queries: the store's SQL once left it out, and so couldn't tell that the store did.
+_STORED = f"({decisions.DECIDED_SQL}) AS layer"
 _SCORED = f"(SELECT event_id, fused_score AS score, anomaly_type = 'execution_failure' AS truth FROM {_STORED}) AS scored"
 
 
@@ -87,11 +91,18 @@ def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", F.md5(governance.sanitise(F.col("html"))).alias("digest"), governance.looks_like_sql(F.col("html")).alias("sql_like"), governance.clean_url(F.col("url")).alias("url"))
 
 
-def _stream(made: Callable[[DataFrame], DataFrame], mode: str = "complete") -> Query:
+def _stream(made: Callable[[DataFrame], DataFrame], mode: str = "append") -> Query:
     return lambda spark, sf_dir: windows.drained(made(windows.source(spark, sf_dir)), mode)
 
 
-_WINDOW = "count(*) AS n, round(avg(duration), 4) AS mean_duration, max(duration) AS max_duration, count(*) FILTER (WHERE truth) AS errors"
+def _stream_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detectors by micro-batch: each batch's records are judged against the history within it."""
+    return windows.drained(windows.source(spark, sf_dir).drop("at"), "append", each=detectors.votes)
+
+
+#: Windows are given out once the watermark, in whole milliseconds and five seconds behind the latest record, has passed their end.
+_PASSED = f"(SELECT max(t_us) // 1000 * 1000 - 5000000 FROM {_VIEW})"
+_WINDOW = "count(*) AS n, round(avg(duration) + 1e-10, 4) AS mean_duration, max(duration) AS max_duration, count(*) FILTER (WHERE truth) AS errors"
 _DEGREE_VIEW = f"(SELECT function_id, decision, t_us, unnest(string_split(techniques, ',')) AS technique FROM {_STORED}) AS used"
 _RANKED = "CASE max(CASE decision WHEN 'observe' THEN 0 WHEN 'review' THEN 1 ELSE 2 END) WHEN 0 THEN 'observe' WHEN 1 THEN 'review' WHEN 2 THEN 'escalate' END"
 
@@ -169,21 +180,26 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "silent_failures": (_on_view(lambda x: silent.run(silent.PROBABILITY, x)), fill(silent.PROBABILITY, DUCKDB).format(rows=f"({ORACLE_VIEW})")),
     "dialogue_traces": (lambda s, d: silent.run(silent.TRACES, s.read.parquet(f"{d}/conversations.parquet")), fill(silent.TRACES, DUCKDB).format(rows="conversations")),
     "temporal_properties": (_on_view(lambda x: silent.run(silent.PROPERTIES, x)), graph.oracle(silent.PROPERTIES, ORACLE_VIEW)),
-    "causal_pairs": (_on_view(lambda x: silent.run(silent.PAIRS, x)), fill(silent.CAUSES, DUCKDB).format(rows=_VIEW, offsets="[1, 2, 3, 4, 5]")),
+    "causal_pairs": (_on_view(lambda x: silent.run(silent.PAIRS, x)), fill(silent.PAIRS, DUCKDB).format(rows=_VIEW)),
     "text_entropy": (lambda s, d: silent.run(silent.ENTROPY, s.read.parquet(f"{d}/documents.parquet")), fill(silent.ENTROPY, DUCKDB).format(rows="documents")),
     "perturbed_records": (_on_view(lambda x: transforms.run(transforms.PERTURBED, x)), graph.oracle(transforms.PERTURBED, ORACLE_VIEW)),
     "transform_utility": (_on_view(lambda x: transforms.run(transforms.UTILITY, x)), graph.oracle(transforms.UTILITY, ORACLE_VIEW)),
     "privacy_budget": (_on_view(lambda x: transforms.run(transforms.BUDGET, x)), graph.oracle(transforms.BUDGET, ORACLE_VIEW)),
     "anonymity_groups": (_on_view(lambda x: transforms.run(transforms.ANONYMITY, x)), graph.oracle(transforms.ANONYMITY, ORACLE_VIEW)),
-    "stream_tumbling": (_stream(windows.tumbling), f"SELECT t_us // 30000000 * 30000000 AS start_us, t_us // 30000000 * 30000000 + 30000000 AS end_us, function_id, {_WINDOW} FROM {_VIEW} GROUP BY 1, 2, 3"),
+    "stream_tumbling": (_stream(windows.tumbling), f"SELECT t_us // 30000000 * 30000000 AS start_us, t_us // 30000000 * 30000000 + 30000000 AS end_us, function_id, {_WINDOW} FROM {_VIEW} GROUP BY 1, 2, 3 HAVING end_us <= {_PASSED}"),
     "stream_sliding": (
         _stream(windows.sliding),
-        f"SELECT start_us, start_us + 30000000 AS end_us, function_id, {_WINDOW} FROM (SELECT *, t_us // 10000000 * 10000000 - o * 10000000 AS start_us FROM {_VIEW}, (SELECT unnest([0, 1, 2]) AS o)) GROUP BY 1, 2, 3",
+        f"SELECT start_us, start_us + 30000000 AS end_us, function_id, {_WINDOW} FROM (SELECT *, t_us // 10000000 * 10000000 - o * 10000000 AS start_us FROM {_VIEW}, (SELECT unnest([0, 1, 2]) AS o)) GROUP BY 1, 2, 3 HAVING start_us + 30000000 <= {_PASSED}",
     ),
     "stream_sessions": (
         _stream(windows.sessions),
-        f"SELECT min(t_us) AS start_us, max(t_us) + 30000000 AS end_us, function_id, {_WINDOW} FROM (SELECT *, sum(fresh) OVER (PARTITION BY function_id ORDER BY t_us ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS k FROM (SELECT *, CASE WHEN t_us - lag(t_us) OVER (PARTITION BY function_id ORDER BY t_us) < 30000000 THEN 0 ELSE 1 END AS fresh FROM {_VIEW})) GROUP BY function_id, k",
+        f"SELECT min(t_us) AS start_us, max(t_us) + 30000000 AS end_us, function_id, {_WINDOW} FROM (SELECT *, sum(fresh) OVER (PARTITION BY function_id ORDER BY t_us ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS k FROM (SELECT *, CASE WHEN t_us - lag(t_us) OVER (PARTITION BY function_id ORDER BY t_us) < 30000000 THEN 0 ELSE 1 END AS fresh FROM {_VIEW})) GROUP BY function_id, k HAVING max(t_us) + 30000000 <= {_PASSED}",
+    ),
+    "stream_global": (
+        _stream(windows.global_window, "complete"),
+        f"SELECT CAST(CAST('0x' || substr(md5(function_id), 1, 8) AS BIGINT) % 4 AS INT) AS part, {_WINDOW} FROM {_VIEW} GROUP BY 1",
     ),
+    "stream_votes": (_stream_votes, f"SELECT * FROM ({detectors.ORACLE_SQL})"),
     "stream_deduplicated": (_stream(lambda x: windows.deduplicated(x).drop("at"), "append"), ORACLE_VIEW),
 }
 

@@ -7,12 +7,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skytally.sources.shared import work_path
 from skytally.sources.telemetry import telemetry
 
+#: A window is given out once this long has passed, and records later than that are dropped with their window's state.
 LATENESS = "5 seconds"
 
 
@@ -29,7 +30,7 @@ def with_time(rows: DataFrame) -> DataFrame:
 
 def _counted(rows: DataFrame, window) -> DataFrame:
     made = rows.withWatermark("at", LATENESS).groupBy(window.alias("w"), "function_id").agg(
-        F.count("*").alias("n"), F.round(F.avg("duration"), 4).alias("mean_duration"), F.max("duration").alias("max_duration"), F.count_if("truth").alias("errors")
+        F.count("*").alias("n"), F.round(F.avg("duration") + 1e-10, 4).alias("mean_duration"), F.max("duration").alias("max_duration"), F.count_if("truth").alias("errors")
     )
     micros = lambda c: F.unix_micros(F.col(c))
     return made.select(micros("w.start").alias("start_us"), micros("w.end").alias("end_us"), "function_id", "n", "mean_duration", "max_duration", "errors")
@@ -48,6 +49,17 @@ def sessions(rows: DataFrame, gap: str = "30 seconds") -> DataFrame:
     return _counted(rows, F.session_window("at", gap))
 
 
+def global_window(rows: DataFrame) -> DataFrame:
+    """All records of each partition of the stream so far: one group for each of four parts of the functions (see ``partition_of``)."""
+    part = rows.withColumn("part", partition_of(F.col("function_id")))
+    return part.groupBy("part").agg(F.count("*").alias("n"), F.round(F.avg("duration") + 1e-10, 4).alias("mean_duration"), F.max("duration").alias("max_duration"), F.count_if("truth").alias("errors"))
+
+
+def partition_of(function_id: Column, parts: int = 4) -> Column:
+    """The first eight hexadecimal digits of the name's digest, modulo the parts."""
+    return (F.conv(F.substring(F.md5(function_id), 1, 8), 16, 10).cast("long") % parts).cast("int")
+
+
 def deduplicated(rows: DataFrame) -> DataFrame:
     """The first record of each id within the watermark."""
     return rows.withWatermark("at", LATENESS).dropDuplicatesWithinWatermark(["event_id"])
