@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 #: Decisions in order of severity.
@@ -90,16 +93,36 @@ def case_state(events: DataFrame) -> DataFrame:
 
 
 def audit_chain(rows: DataFrame, *, by: str = "actor", order: Sequence[str] = ("ts", "id"), payload: str = "payload") -> DataFrame:
-    """Each audit row's hash over its payload and the hash of the payload before it, per chain; verifying needs no ordered fold."""
-    window = Window.partitionBy(by).orderBy(*order)
-    own = F.sha2(F.col(payload), 256)
-    return rows.withColumn("prev_hash", F.coalesce(F.lag(own).over(window), F.lit(""))).withColumn("row_hash", F.sha2(F.concat_ws("|", "prev_hash", payload), 256))
+    """``rows`` with prev_hash, the hash of the row before in its chain, and row_hash, over prev_hash and the payload.
+
+    So a change shows in all that follows. A chain is appended row by row, by one task a chain; several chains spread over tasks.
+    """
+    schema = StructType([*rows.schema.fields, StructField("prev_hash", StringType()), StructField("row_hash", StringType())])
+    own, at = rows.columns.index(by), rows.columns.index(payload)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chain, last = None, ""
+        for batch in batches:
+            before, after = [], []
+            for key, text in zip(batch.column(own).to_pylist(), batch.column(at).to_pylist(), strict=True):
+                if (key,) != chain:
+                    chain, last = (key,), ""
+                before.append(last)
+                last = hashlib.sha256(f"{last}|{text or ''}".encode()).hexdigest()
+                after.append(last)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(before), pa.array(after)], schema.names)
+
+    return rows.repartition(by).sortWithinPartitions(by, *order).mapInArrow(work, schema)
 
 
 def broken_links(chain: DataFrame, *, by: str = "actor", order: Sequence[str] = ("ts", "id"), payload: str = "payload") -> DataFrame:
-    """First row of each chain whose stored hashes don't follow from the payloads; chains in order have none."""
-    fresh = audit_chain(chain.drop("prev_hash", "row_hash"), by=by, order=order, payload=payload).select(*order, by, F.col("row_hash").alias("expected"))
-    bad = chain.join(fresh, [*order, by]).where(~F.col("row_hash").eqNullSafe(F.col("expected")))
+    """First row of each chain that doesn't follow from the one before it or from its own payload, and how many don't; unbroken chains have no row.
+
+    Checking needs no fold: each row is held against its neighbour's stored hash and its own text.
+    """
+    before = F.coalesce(F.lag("row_hash").over(Window.partitionBy(by).orderBy(*order)), F.lit(""))
+    own = F.sha2(F.concat(F.col("prev_hash"), F.lit("|"), F.coalesce(payload, F.lit(""))), 256)
+    bad = chain.withColumn("_before", before).where(~F.col("_before").eqNullSafe(F.col("prev_hash")) | ~own.eqNullSafe(F.col("row_hash")))
     return bad.groupBy(by).agg(F.min_by(order[-1], F.struct(*order)).alias("first_broken"), F.count("*").alias("n_broken"))
 
 

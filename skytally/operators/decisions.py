@@ -5,13 +5,14 @@ All of it is arithmetic on one row, so it adds no shuffle to the panel's; the fe
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from skytally.functions.dialect import DUCKDB, SPARK, fill
 from skytally.operators.detectors import NAMES
 from skytally.operators.detectors import ORACLE_SQL as VOTES_SQL
+from skytally.operators.order_statistics import numbered
 
 # Fusion weights; detectors without one have 0.01.
 WEIGHTS = {
@@ -107,7 +108,7 @@ _TACTICS = {t: "(" + " OR ".join(f"lower(anomaly_type) LIKE '%{q.replace('_', '!
 DECIDED = f"""
 SELECT event_id, function_id, t_us, anomaly_type, label, aggregate, fused_score, CASE WHEN fused_score >= 0.75 THEN 'high' WHEN fused_score >= 0.3 THEN 'medium' ELSE 'low' END AS band,
   CASE WHEN fused_score >= 0.75 THEN 'escalate' WHEN fused_score >= 0.09 THEN 'review' ELSE 'observe' END AS decision,
-  {_TACTIC} AS tactic, {_FOUND} AS techniques, round(least(1.0, 0.45 + 0.15 * greatest(1, {" + ".join(f"CASE WHEN {v} THEN 1 ELSE 0 END" for v in _TACTICS.values())})), 4) AS alignment
+  rule_chain, drift_tracker, graph_immunized, semantic_deviation, signal_consensus, {_TACTIC} AS tactic, {_FOUND} AS techniques, round(least(1.0, 0.45 + 0.15 * greatest(1, {" + ".join(f"CASE WHEN {v} THEN 1 ELSE 0 END" for v in _TACTICS.values())})), 4) AS alignment
 FROM (
   SELECT *, round(greatest(0.0, least(1.0, raw - least(0.15, abs(aggregate - raw)) + least(0.1, signal_consensus * 0.1))) + 1e-10, 4) AS fused_score
   FROM (SELECT *, ({" + ".join(f"{k} * {v}" for k, v in _CLAMPED.items())}) / {_SUM} AS raw FROM {{rows}}) AS weighed
@@ -143,18 +144,58 @@ def _nested(*texts: str) -> str:
 FUSED_SQL, MATRIX_SQL, DECIDED_SQL = _nested(FUSED), _nested(FUSED, MATRIX), _nested(FUSED, MATRIX, DECIDED)
 
 
-def feedback_trust(feedback: DataFrame, *, start: float = 0.8, by: str = "function_id", order: str = "t_us") -> DataFrame:
-    """Trust after each piece of analyst feedback (columns by, order, confirmed, impact, alignment), clamped to 0.1..1 at every step.
+_SHARES = {n: f"CASE WHEN {n}_detected THEN {weight(n)} * {n}_confidence ELSE 0.0 END / {_TOTAL}" for n in NAMES}
+_CONTRIBUTED = ", ".join(f"CASE WHEN {n}_detected THEN concat(lpad(CAST(10000 - CAST(floor({n}_confidence * 10000 + 0.5) AS INT) AS <string>), 5, '0'), '|{n}') END" for n in NAMES)
+#: How sure a fusion is: mean and variance of the weighted score over resampled panels (in closed form), its interval, the gap between vote and confidence, and the three detectors that say most.
+UNCERTAINTY = f"""
+SELECT event_id, round(m + 1e-10, 4) AS mean_score, round(v + 1e-10, 6) AS variance, round(greatest(0.0, m - 1.96 * sqrt(v)) + 1e-10, 4) AS low, round(least(1.0, m + 1.96 * sqrt(v)) + 1e-10, 4) AS high, CASE WHEN m > 0.5 THEN true ELSE false END AS above_half,
+  round(abs(votes - m) + 1e-10, 4) AS data_uncertainty, <sub:<joined:<part:said, 1, 3>, ','>, '[0-9]+[|]', ''> AS contributors
+FROM (
+  SELECT event_id, {" + ".join(_SHARES.values())} AS m, greatest(0.0, ({" + ".join(f"({v}) * ({v})" for v in _SHARES.values())}) - ({" + ".join(_SHARES.values())}) * ({" + ".join(_SHARES.values())}) / {len(NAMES)}.0) AS v,
+    {_votes("1.0")} AS votes, <sorted:<kept:<list:{_CONTRIBUTED}>>> AS said FROM {{rows}}
+) AS summed"""
+
+#: Trust in a detector by its accuracy against the truth; fewer than ten records tell nothing yet. Fixed values.
+_LADDER = "CASE WHEN n < 10 THEN 0.7e0 WHEN right_ >= 0.9 * n THEN 1.0e0 WHEN right_ >= 0.7 * n THEN 0.7e0 WHEN right_ >= 0.5 * n THEN 0.4e0 ELSE 0.1e0 END"
+
+
+def detector_trust(votes: DataFrame) -> DataFrame:
+    """By detector: records, right ones, trust, and the fusion weight times trust as a share of all. One pass over the votes."""
+    counts = votes.agg(F.count("*").alias("n"), *(F.count_if(F.col(f"{n}_detected") == F.col("truth")).alias(n) for n in NAMES))
+    rows = counts.select("n", F.inline(F.array(*(F.struct(F.lit(n).alias("detector"), F.lit(weight(n)).alias("base"), F.col(n).alias("right_")) for n in NAMES))))
+    rated = rows.withColumn("trust", F.expr(_LADDER))
+    total = F.sum(F.col("base") * F.col("trust")).over(Window.partitionBy())
+    return rated.select("detector", "n", F.col("right_").alias("n_right"), "trust", F.round(F.col("base") * F.col("trust") / total, 6).alias("weight"))
+
+
+def detector_trust_sql(votes: str) -> str:
+    counted = ", ".join(f"count(*) FILTER (WHERE {n}_detected = truth) AS {n}" for n in NAMES)
+    rows = " UNION ALL ".join(f"SELECT '{n}' AS detector, {weight(n)!r}::DOUBLE AS base, n, {n} AS right_ FROM counted" for n in NAMES)
+    return f"WITH counted AS MATERIALIZED (SELECT count(*) AS n, {counted} FROM ({votes})), rated AS (SELECT *, {_LADDER} AS trust FROM ({rows})) SELECT detector, n, right_ AS n_right, trust, round(base * trust / sum(base * trust) OVER (), 6) AS weight FROM rated"
+
+
+def feedback_trust(feedback: DataFrame, *, start: float = 0.8, by: str = "function_id", order: str = "t_us", block: int = 1000, rounds: int = 2) -> DataFrame:
+    """Trust after all analyst feedback (columns by, order, event_id, confirmed, impact, alignment), clamped to 0.1..1 at every step.
 
-    The clamp makes it a fold in order, not a running sum. A clamped sum of steps is the map x -> least(hi, greatest(lo, x + d));
-    here the running sum and its running extremes give it in closed form: after steps with sums S, reflecting at a floor and a
-    ceiling is done by the fold over one key's bounded list; keys are independent of each other.
+    A clamped step is the map x -> least(hi, greatest(lo, x + d)), and so are several in a row. Steps are composed within blocks of
+    ``block`` in order, and the blocks' maps, one row each, are composed in order again until each key has few; so no list grows
+    with the feedback. Steps are in hundredths, so that sums are exact.
     """
-    delta = F.when(F.col("confirmed"), 0.05).otherwise(-0.05) + F.when(F.col("impact"), 0.02).otherwise(0.0) + F.when(F.col("alignment") >= 0.75, 0.01).otherwise(0.0)
-    steps = F.sort_array(F.collect_list(F.struct(F.col(order).alias("t"), F.col("event_id").alias("id"), delta.alias("d"))))
-    folded = feedback.groupBy(by).agg(steps.alias("steps"))
-    clamp = lambda a, x: F.greatest(F.lit(0.1), F.least(F.lit(1.0), a + x["d"]))
-    return folded.select(by, F.round(F.aggregate("steps", F.lit(start), clamp), 4).alias("trust"), F.size("steps").cast("long").alias("n_feedback"))
+    step = F.when(F.col("confirmed"), 5).otherwise(-5) + F.when(F.col("impact"), 2).otherwise(0) + F.when(F.col("alignment") >= 0.75, 1).otherwise(0)
+    now = numbered(feedback.select(by, F.struct(order, "event_id").alias("o"), F.col(order).alias("t"), step.cast("long").alias("d")), by, "t", "k", ties="o")
+    now = now.select(by, "k", F.lit(1).cast("long").alias("n"), "d", F.lit(10).cast("long").alias("lo"), F.lit(100).cast("long").alias("hi"))
+    start100 = F.struct(F.lit(0).cast("long").alias("d"), F.lit(-1000).cast("long").alias("lo"), F.lit(1000).cast("long").alias("hi"))
+
+    def then(a: Column, x: Column) -> Column:
+        inside = lambda v: F.least(x["hi"], F.greatest(x["lo"], v + x["d"]))
+        return F.struct((a["d"] + x["d"]).alias("d"), inside(a["lo"]).alias("lo"), inside(a["hi"]).alias("hi"))
+
+    for _ in range(rounds):
+        blocks = now.groupBy(by, F.floor((F.col("k") - 1) / block).alias("b")).agg(F.sum("n").alias("n"), F.sort_array(F.collect_list(F.struct("k", "d", "lo", "hi"))).alias("xs"))
+        now = blocks.select(by, (F.col("b") + 1).alias("k"), "n", F.aggregate("xs", start100, then).alias("m")).select(by, "k", "n", "m.*")
+    last = now.groupBy(by).agg(F.sum("n").alias("n_feedback"), F.sort_array(F.collect_list(F.struct("k", "d", "lo", "hi"))).alias("xs"))
+    trust = F.aggregate("xs", F.lit(round(start * 100)).cast("long"), lambda v, x: F.least(x["hi"], F.greatest(x["lo"], v + x["d"])))
+    return last.select(by, F.round(trust / 100, 4).alias("trust"), "n_feedback")
 
 
 def top_decisions(decisions: DataFrame, k: int = 3) -> DataFrame:

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from skytally.functions.dialect import SPARK, fill
 
+# Ranges and enumerations.
 #: Rules as (name, SQL that is true for a violation); all violations of a record are listed.
 RULES = (
     ("duration_range", "duration < 0 OR duration > 900"),
@@ -74,16 +79,27 @@ def repeats(telemetry: DataFrame) -> DataFrame:
 
 def sanitise(text: Column) -> Column:
     """Zero-width characters and scripts out, shell marks out, HTML escaped."""
-    out = F.regexp_replace(text, "[​‌‍⁠﻿]", "")
+    out = F.regexp_replace(text, "[\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufeff]", "")
     out = F.regexp_replace(out, "(?is)<script[^>]*>.*?</script>", "")
-    out = F.translate(out, ";|$`", "")
+    out = F.translate(out, ";&|$`", "")
     for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
         out = F.replace(out, F.lit(a), F.lit(b))
     return out
 
 
 def looks_like_sql(text: Column) -> Column:
-    return text.rlike("(?i)\\b(union\\s+select|drop\\s+table|insert\\s+into|delete\\s+from)\\b")
+    return text.rlike("(?i)\\b(select|insert|update|delete|drop|create|alter|truncate|union|exec)\\b")
+
+
+@F.pandas_udf(StringType())
+def nfkc(text: pd.Series) -> pd.Series:
+    """Compatibility-normalised text, for which Spark has no function; null stays null."""
+    return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+
+
+def clean_path(path: Column) -> Column:
+    """A path without empty, ``.`` and ``..`` parts and without a leading slash."""
+    return F.array_join(F.filter(F.split(F.translate(path, "\\", "/"), "/"), lambda p: ~p.isin("", ".", "..")), "/")
 
 
 def clean_url(url: Column) -> Column:

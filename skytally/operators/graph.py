@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skytally.functions.dialect import DUCKDB, SPARK, fill
+from skytally.sources.shared import work_path
 
 #: Pairs of records of different functions at most 20 s apart: an equi-join on time buckets (own and next) with the exact condition left over.
 EDGES = """
@@ -65,3 +66,85 @@ def pagerank_sql(links: str, rounds: int = 5, damping: float = 0.85) -> str:
 
 def oracle(text: str, view: str) -> str:
     return fill(text, DUCKDB).format(rows=f"({view}) AS telemetry")
+
+
+_SLOTTED = """
+WITH placed AS (SELECT *, t_us <div> 300000000 AS slot, row_number() OVER (PARTITION BY function_id ORDER BY event_id) AS n, (t_us - lag(t_us) OVER (PARTITION BY function_id ORDER BY event_id)) / 1e6 AS gap FROM {rows}),
+reach AS (SELECT *, slot AS meets FROM placed UNION ALL SELECT *, slot + 1 AS meets FROM placed)"""
+_PAIRED = "FROM reach a JOIN placed b ON a.function_id = b.function_id AND a.meets = b.slot AND b.t_us > a.t_us AND b.t_us - a.t_us <= 300000000"
+_ODD = "{x}.anomaly_type <> 'benign'"
+#: Causes and effects: records of one function at most five minutes apart, an equi-join on function and time slot. Strength: nearness in time .3, the function's own tie .15 x .8, and .1 for errors that go on (.7) or end (.3); 0.3 at least. Pairs grow with the square of a function's rate, as the relation itself does. Fixed values.
+STRENGTHS = f"""{_SLOTTED}
+SELECT source, target, function_id, t_us, round(strength + 1e-10, 4) AS strength, kind FROM (
+  SELECT a.event_id AS source, b.event_id AS target, a.function_id, b.t_us, 0.3 * (1.0 - (b.t_us - a.t_us) / 3e8) + 0.12 + 0.1 * CASE WHEN {_ODD.format(x="a")} AND {_ODD.format(x="b")} THEN 0.7 WHEN {_ODD.format(x="a")} THEN 0.3 ELSE 0.0 END AS strength,
+    CASE WHEN {_ODD.format(x="a")} AND {_ODD.format(x="b")} THEN 'error_propagation' WHEN a.phase = b.phase THEN 'same_phase' ELSE 'temporal' END AS kind {_PAIRED}
+) AS weighed WHERE strength >= 0.3"""
+
+_NEAR = lambda x, scale: f"1.0 / (1.0 + abs(a.{x} - b.{x}) / {scale})"
+#: Edges of a function's records within five minutes: temporal, behavioural and causal correlation, the kinds that pass their thresholds, and the edge's confidence (more where several are strong). Fixed values.
+CORRELATIONS = f"""{_SLOTTED}
+SELECT source, target, round(temporal + 1e-10, 4) AS temporal, round(behavioural + 1e-10, 4) AS behavioural, round(causal + 1e-10, 4) AS causal, concat_ws(',', CASE WHEN temporal >= 0.2 THEN 'temporal' END, CASE WHEN behavioural >= 0.25 THEN 'behavioural' END, CASE WHEN causal >= 0.15 THEN 'causal' END) AS kinds,
+  round(least(1.0, (temporal + behavioural + causal) / 3.0 * CASE WHEN strong >= 2 THEN 1.2 WHEN strong = 1 AND fair >= 2 THEN 1.1 ELSE 1.0 END) + 1e-10, 4) AS confidence
+FROM (SELECT *, CASE WHEN temporal > 0.7 THEN 1 ELSE 0 END + CASE WHEN behavioural > 0.7 THEN 1 ELSE 0 END + CASE WHEN causal > 0.7 THEN 1 ELSE 0 END AS strong, CASE WHEN temporal BETWEEN 0.4 AND 0.7 THEN 1 ELSE 0 END + CASE WHEN behavioural BETWEEN 0.4 AND 0.7 THEN 1 ELSE 0 END + CASE WHEN causal BETWEEN 0.4 AND 0.7 THEN 1 ELSE 0 END AS fair FROM (
+  SELECT a.event_id AS source, b.event_id AS target,
+    0.4 * (1.0 - (b.t_us - a.t_us) / 3e8) + 0.25 * CASE WHEN a.phase = b.phase THEN 1.0 ELSE 0.0 END + 0.2 * CASE WHEN coalesce(a.gap, 0) <= 0 OR coalesce(b.gap, 0) <= 0 THEN 0.5 ELSE least(a.gap, b.gap) / greatest(a.gap, b.gap) END + 0.15 / (1.0 + abs(a.n - b.n)) AS temporal,
+    0.2 * {_NEAR("duration", "1.0")} + 0.2 * {_NEAR("memory", "10000.0")} + 0.15 * {_NEAR("cpu", "100.0")} + 0.1 * {_NEAR("network", "10000.0")} + 0.15 * CASE WHEN a.phase = b.phase THEN 1.0 ELSE 0.5 END + 0.1 * CASE WHEN a.anomaly_type = b.anomaly_type THEN 1.0 ELSE 0.0 END AS behavioural,
+    least(1.0, exp(-(b.t_us - a.t_us) / 6e7) * CASE WHEN a.memory > 50000 OR a.cpu > 80 THEN 1.5 ELSE 1.0 END * CASE WHEN {_ODD.format(x="a")} AND {_ODD.format(x="b")} THEN 1.3 ELSE 1.0 END) AS causal {_PAIRED} AND b.t_us - a.t_us <= 60000000
+) AS correlated) AS counted"""
+
+#: Records, causal edges and density of each function's graph.
+DENSITY = f"""
+SELECT n.function_id, n.n, coalesce(m, 0) AS m, round(coalesce(m, 0) * 1e0 / (n.n * (n.n - 1e0)), 8) AS density FROM (SELECT function_id, count(*) AS n FROM {{rows}} GROUP BY function_id) AS n
+LEFT JOIN (SELECT function_id, count(*) AS m FROM ({STRENGTHS}) AS s GROUP BY function_id) AS e ON n.function_id = e.function_id"""
+
+#: Each record's strongest effect, the earliest of several.
+SUCCESSORS = f"SELECT source, target, strength FROM (SELECT source, target, strength, row_number() OVER (PARTITION BY source ORDER BY strength DESC, t_us, target) AS place FROM ({STRENGTHS}) AS s) AS r WHERE place = 1"
+
+_RISK = "round(0.9 * total / (length - 1) + 0.02 * length + 1e-10, 4)"
+PATHS_SQL = f"""
+WITH RECURSIVE next AS MATERIALIZED ({{successors}}), walk AS (
+  SELECT source AS start, target AS last, 2 AS length, strength AS total FROM next UNION ALL SELECT start, target, length + 1, total + strength FROM walk JOIN next ON last = source WHERE length < 15
+), ended AS (SELECT start, max(length) AS length, max(total) AS total FROM walk GROUP BY start)
+SELECT start, length, {_RISK} AS risk FROM ended WHERE length >= 3 AND {_RISK} > 0.5"""
+
+
+def suspicious_paths(telemetry: DataFrame, depth: int = 15) -> DataFrame:
+    """start, length and risk of the paths along strongest effects, of three to ``depth`` records, whose risk passes 0.5.
+
+    All paths grow by one join a step; the table of successors is written once. A path ends where its last record has no effect.
+    """
+    spark, path = telemetry.sparkSession, work_path(telemetry.sparkSession, "successors")
+    run(SUCCESSORS, telemetry).write.parquet(path)
+    following = spark.read.parquet(path)
+    steps = following.select(F.col("source").alias("at"), F.col("target").alias("to"), F.col("strength").alias("more"))
+    walk = following.select(F.col("source").alias("start"), F.col("target").alias("last"), F.lit(2).alias("length"), F.col("strength").alias("total"))
+    for _ in range(depth - 2):
+        walk = walk.join(steps, F.col("last") == F.col("at"), "left").select(
+            "start", F.when(F.col("to").isNotNull(), F.col("to")).alias("last"), (F.col("length") + F.col("to").isNotNull().cast("int")).alias("length"), (F.col("total") + F.coalesce("more", F.lit(0.0))).alias("total")
+        )
+    return walk.selectExpr("start", "length", f"{_RISK} AS risk").where("length >= 3 AND risk > 0.5")
+
+
+#: Attack paths: of each failure that took over 14 seconds its up to twenty strongest causes, their kinds, how long it built up, and how severe and sure that is.
+ATTACKED = f"""
+SELECT target, count(*) AS n_causes, round((max(own_us) - min(cause_us)) / 1e6, 3) AS seconds, CASE WHEN sum(CASE WHEN kind = 'error_propagation' THEN 1 ELSE 0 END) * 2 > count(*) THEN 'cascade' ELSE 'build_up' END AS kind,
+  CASE WHEN count(*) >= 15 THEN 'high' WHEN count(*) >= 5 THEN 'medium' ELSE 'low' END AS severity, round(least(0.9, avg(strength) * 2.0) + 1e-10, 4) AS confidence
+FROM (
+  SELECT s.target, s.strength, s.kind, s.t_us AS own_us, c.t_us AS cause_us, row_number() OVER (PARTITION BY s.target ORDER BY s.strength DESC, s.source) AS place
+  FROM ({STRENGTHS}) AS s JOIN (SELECT event_id FROM {{rows}} WHERE truth AND duration > 14) AS f ON s.target = f.event_id JOIN (SELECT event_id, t_us FROM {{rows}}) AS c ON s.source = c.event_id
+) AS ranked WHERE place <= 20 GROUP BY target"""
+
+
+def clusters(telemetry: DataFrame, k: int = 5, seed: int = 42) -> DataFrame:
+    """Odd records in ``k`` groups by their standardised measures: cluster, size and mean measures. Fewer distinct records give fewer groups."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.feature import StandardScaler, VectorAssembler
+
+    fields = ["duration", "memory", "cpu", "network"]
+    odd = telemetry.where("anomaly_type <> 'benign'").dropna(subset=fields)
+    if odd.isEmpty():
+        return telemetry.sparkSession.createDataFrame([], "cluster int, n long, " + ", ".join(f"{f} double" for f in fields))
+    raw = VectorAssembler(inputCols=fields, outputCol="raw").transform(odd)
+    scaled = StandardScaler(inputCol="raw", outputCol="scaled", withMean=True).fit(raw).transform(raw)
+    found = KMeans(k=k, seed=seed, featuresCol="scaled", predictionCol="cluster").fit(scaled).transform(scaled)
+    return found.groupBy("cluster").agg(F.count("*").alias("n"), *(F.round(F.avg(f), 4).alias(f) for f in fields))

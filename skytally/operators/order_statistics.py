@@ -19,15 +19,15 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from pyspark.sql.window import Window
 
 
-def numbered(rows: DataFrame, by: str, order: str, into: str, slot: int = 100_000) -> DataFrame:
-    """``rows`` with their number within ``by`` in ``order`` (a whole number), from 1.
+def numbered(rows: DataFrame, by: str, order: str, into: str, slot: int = 100_000, ties: str | None = None) -> DataFrame:
+    """``rows`` with their number within ``by`` in ``order`` (a whole number; ``ties`` orders equal ones), from 1.
 
     Rows are numbered within slots of the order's range and the slots' counts are added up, so that no key's rows need one task.
     """
     cut = rows.withColumn("_slot", F.floor(F.col(order) / slot))
     counts = cut.groupBy(by, "_slot").agg(F.count("*").alias("_c"))
     before = counts.withColumn("_before", F.coalesce(F.sum("_c").over(Window.partitionBy(by).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_c")
-    inner = cut.withColumn("_own", F.row_number().over(Window.partitionBy(by, "_slot").orderBy(order)))
+    inner = cut.withColumn("_own", F.row_number().over(Window.partitionBy(by, "_slot").orderBy(ties or order)))
     same = inner[by].eqNullSafe(before[by]) & inner["_slot"].eqNullSafe(before["_slot"])
     return inner.join(before, same).select(*(inner[c] for c in rows.columns), (F.col("_own") + F.col("_before")).alias(into))
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skytally.functions.dialect import DUCKDB, fill
-from skytally.operators import analyst, curves, decisions, detectors, economics, evaluation, governance, graph, records, sampling, silent, timelines, transforms
+from skytally.operators import analyst, casework, curves, decisions, detectors, economics, evaluation, formal, governance, graph, intake, outliers, privacy, records, sampling, silent, studies, timelines, transforms
 from skytally.sources.shared import work_path
 from skytally.sources.telemetry import ORACLE_VIEW, load
 from skytally.streaming import windows
@@ -81,9 +81,28 @@ def _redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return governance.redaction_report(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-def _audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _audit_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = load(spark, sf_dir).select(F.col("function_id").alias("actor"), F.col("t_us").alias("ts"), F.col("event_id").alias("id"), F.concat_ws(",", "event_id", "phase", "anomaly_type").alias("payload"))
-    return analyst.audit_chain(rows)
+    return rows
+
+
+def _audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analyst.audit_chain(_audit_rows(spark, sf_dir))
+
+
+def _tampered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chain with a payload changed in each 97th row, and each 101st row removed."""
+    chain = _audit(spark, sf_dir).where("id % 101 <> 50")
+    return chain.withColumn("payload", F.when(F.col("id") % 97 == 13, F.concat("payload", F.lit("!"))).otherwise(F.col("payload")))
+
+
+#: Each row's hash goes into the next one's, so the chain is a recursion along each actor's rows.
+_CHAIN = f"""WITH RECURSIVE r AS MATERIALIZED (
+  SELECT function_id AS actor, t_us AS ts, event_id AS id, concat_ws(',', event_id, phase, anomaly_type) AS payload, row_number() OVER (PARTITION BY function_id ORDER BY t_us, event_id) AS n FROM {_VIEW}
+), c AS (
+  SELECT actor, ts, id, payload, n, '' AS prev_hash, sha256(concat('|', payload)) AS row_hash FROM r WHERE n = 1
+  UNION ALL SELECT r.actor, r.ts, r.id, r.payload, r.n, c.row_hash, sha256(concat(c.row_hash, '|', r.payload)) FROM c JOIN r ON r.actor = c.actor AND r.n = c.n + 1
+)"""
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,11 +159,11 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
         _on_store(analyst.technique_top),
         f"SELECT * FROM (SELECT function_id, technique, count(*) AS n, row_number() OVER (PARTITION BY function_id ORDER BY count(*) DESC, technique) AS rank FROM {_DEGREE_VIEW} GROUP BY 1, 2) WHERE rank <= 5",
     ),
-    "audit_chain": (
-        _audit,
-        f"WITH r AS (SELECT function_id AS actor, t_us AS ts, event_id AS id, concat_ws(',', event_id, phase, anomaly_type) AS payload FROM {_VIEW}), p AS (SELECT *, coalesce(lag(sha256(payload)) OVER (PARTITION BY actor ORDER BY ts, id), '') AS prev_hash FROM r) SELECT *, sha256(concat(prev_hash, '|', payload)) AS row_hash FROM p",
+    "audit_chain": (_audit, f"{_CHAIN} SELECT actor, ts, id, payload, prev_hash, row_hash FROM c"),
+    "audit_broken_links": (
+        lambda s, d: analyst.broken_links(_tampered(s, d)),
+        f"{_CHAIN}, t AS (SELECT actor, ts, id, prev_hash, row_hash, CASE WHEN id % 97 = 13 THEN concat(payload, '!') ELSE payload END AS payload FROM c WHERE id % 101 <> 50), l AS (SELECT *, coalesce(lag(row_hash) OVER (PARTITION BY actor ORDER BY ts, id), '') AS before_hash FROM t) SELECT actor, arg_min(id, (ts, id)) AS first_broken, count(*) AS n_broken FROM l WHERE before_hash <> prev_hash OR row_hash <> sha256(concat(prev_hash, '|', payload)) GROUP BY actor",
     ),
-    "audit_broken_links": (lambda s, d: analyst.broken_links(_audit(s, d)), "SELECT NULL::VARCHAR AS actor, NULL::BIGINT AS first_broken, NULL::BIGINT AS n_broken WHERE false"),
     "keep_newest": (
         _on_store(lambda x: analyst.keep_newest(x.select("function_id", "event_id", "t_us"), 5, by="function_id", order="t_us")),
         f"SELECT function_id, event_id, t_us FROM (SELECT *, row_number() OVER (PARTITION BY function_id ORDER BY t_us DESC) AS k FROM {_STORED}) WHERE k <= 5",
@@ -168,7 +187,7 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     ),
     "page_sanitising": (
         _pages,
-        "SELECT page_id, md5(replace(replace(replace(replace(replace(translate(regexp_replace(regexp_replace(html, '[​‌‍⁠﻿]', '', 'g'), '<script[^>]*>.*?</script>', '', 'gis'), ';|$`', ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;')) AS digest, regexp_matches(html, '(?i)\\b(union\\s+select|drop\\s+table|insert\\s+into|delete\\s+from)\\b') AS sql_like, CASE WHEN regexp_matches(lower(url), '^https?://') THEN regexp_replace(url, '^(https?://)[^/?#@]*@', '\\1') END AS url FROM pages",
+        "SELECT page_id, md5(replace(replace(replace(replace(replace(translate(regexp_replace(regexp_replace(html, '[\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufeff]', '', 'g'), '<script[^>]*>.*?</script>', '', 'gis'), ';&|$`', ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;')) AS digest, regexp_matches(html, '(?i)\\b(select|insert|update|delete|drop|create|alter|truncate|union|exec)\\b') AS sql_like, CASE WHEN regexp_matches(lower(url), '^https?://') THEN regexp_replace(url, '^(https?://)[^/?#@]*@', '\\1') END AS url FROM pages",
     ),
     "graph_edges": (_on_view(graph.edges), graph.oracle(graph.EDGES, ORACLE_VIEW)),
     "anomaly_centrality": (_on_view(lambda x: graph.run(graph.CENTRALITY, x)), graph.oracle(graph.CENTRALITY, ORACLE_VIEW)),
@@ -222,6 +241,43 @@ for _name, _text in _ON_SCORES.items():
 for _name, _text in _ON_RECORDS.items():
     QUERIES[_name] = (lambda s, d, text=_text: curves.run(text, load(s, d)), fill(_text, DUCKDB).format(rows=_VIEW))
 QUERIES["page_addresses"] = (lambda s, d: records.run(records.ADDRESSES, s.read.parquet(f"{d}/pages.parquet")), fill(records.ADDRESSES, DUCKDB).format(rows="pages"))
+_ON_RECORDS = {
+    "adapted_records": intake.ADAPTED, "checked_records": intake.CHECKED, "signed_records": intake.SIGNED, "preserved_records": intake.PRESERVED, "record_context": intake.CONTEXT,
+    "accepted_records": intake.ACCEPTED, "schema_inference": intake.INFERRED, "record_routing": intake.ROUTED,
+}
+for _name, _text in _ON_RECORDS.items():
+    QUERIES[_name] = (lambda s, d, text=_text: intake.run(text, load(s, d)), fill(_text, DUCKDB).format(rows=_VIEW))
+QUERIES["trigger_types"] = (lambda s, d: intake.run(intake.TRIGGERS, s.read.parquet(f"{d}/events.parquet")), fill(intake.TRIGGERS, DUCKDB).format(rows="events"))
+_ON_STORE = {
+    "case_list": casework.CASES, "case_of_detection": casework.CASE_OF, "case_comments": casework.COMMENTS, "inbox_summary": casework.INBOX, "function_detail": casework.DETAIL, "ingest_rate": casework.RATE,
+    "decision_rollup": casework.ROLLUP, "decision_cube": casework.CUBE, "decision_sets": casework.SETS, "decision_traces": casework.TRACES,
+}
+for _name, _text in _ON_STORE.items():
+    QUERIES[_name] = (_on_store(lambda x, text=_text: casework.run(text, x)), fill(_text, DUCKDB).format(rows=_STORED.removesuffix(" AS layer")))
+QUERIES["unattached_detections"] = (_on_store(lambda x: casework.run(casework.UNATTACHED, x)), fill(casework.UNATTACHED_SQL, DUCKDB).format(rows=_STORED.removesuffix(" AS layer")))
+QUERIES["saved_view"] = (_on_store(lambda x: casework.apply_view(x, {"decision": "review", "min_score": 0.3, "function_id": "fn-3"})), f"SELECT * FROM {_STORED} WHERE decision = 'review' AND fused_score >= 0.3 AND function_id = 'fn-3'")
+_STUDIED = {
+    "calibration_sweep": studies.CALIBRATION, "signal_ablation": studies.ABLATION, "class_tests": studies.TESTS, "stratified_folds": studies.FOLDS, "bootstrap_interval": studies.BOOTSTRAP, "cost_benefit": studies.BENEFIT,
+}
+for _name, _text in _STUDIED.items():
+    QUERIES[_name] = (_on_store(lambda x, text=_text: studies.run(text, x)), fill(_text, DUCKDB).format(rows=_STORED.removesuffix(" AS layer")))
+_MEASURED = {
+    "failure_correlation": studies.FAILURES, "order_accuracy": studies.ORDER, "model_features": studies.FEATURES, "benign_split": studies.SPLIT, "attack_scores": studies.ATTACKS, "completeness_scores": studies.COMPLETENESS,
+    "change_levels": studies.CHANGES, "hourly_fingerprints": studies.FINGERPRINTS, "invocation_metrics": studies.METRICS, "metric_series": studies.SERIES,
+    "correlation_edges": graph.CORRELATIONS, "graph_density": graph.DENSITY, "causal_strengths": graph.STRENGTHS, "causal_successors": graph.SUCCESSORS, "attack_paths": graph.ATTACKED,
+}
+for _name, _text in _MEASURED.items():
+    QUERIES[_name] = (_on_view(lambda x, text=_text: studies.run(text, x)), fill(_text, DUCKDB).format(rows=_VIEW.removesuffix(" AS telemetry")))
+QUERIES["suspicious_paths"] = (_on_view(graph.suspicious_paths), graph.PATHS_SQL.format(successors=fill(graph.SUCCESSORS, DUCKDB).format(rows=_VIEW.removesuffix(" AS telemetry"))))
+QUERIES["anomaly_clusters"] = (_on_view(graph.clusters), None)
+QUERIES["temporal_formulas"] = (_on_view(formal.properties), formal.properties_sql(_VIEW))
+QUERIES["fusion_uncertainty"] = (lambda s, d: studies.run(decisions.UNCERTAINTY, detectors.votes(load(s, d))), fill(decisions.UNCERTAINTY, DUCKDB).format(rows=f"({detectors.ORACLE_SQL})"))
+QUERIES["detector_trust"] = (lambda s, d: decisions.detector_trust(detectors.votes(load(s, d))), decisions.detector_trust_sql(detectors.ORACLE_SQL))
+QUERIES["document_privacy"] = (lambda s, d: privacy.report(s.read.parquet(f"{d}/documents.parquet")), None)
+QUERIES["digest_library"] = (_on_view(privacy.digests), None)
+QUERIES["detector_suite"] = (_on_view(outliers.suite), None)
+QUERIES["detector_comparison"] = (_on_view(lambda x: outliers.compared(outliers.suite(x))), None)
+QUERIES["forest_scores"] = (_on_view(lambda x: decisions.fused(outliers.forest_votes(detectors.votes(x)))), None)
 
 
 def queries() -> dict[str, Query]:

@@ -68,3 +68,47 @@ def test_feedback_clamps(spark):
     for k in range(40):
         trust = max(0.1, min(1.0, trust + (0.05 if k < 8 else -0.05) + 0.03))
     assert row.trust == round(trust, 4) and row.n_feedback == 40
+
+
+def test_feedback_by_blocks_is_the_fold(spark):
+    """Many pieces, floors and ceilings, ties in time: the same as one step after the other, whatever the blocks."""
+    import random
+
+    rng = random.Random(3)
+    rows = [(f"f{k % 3}", rng.randrange(60), k, rng.random() < 0.45, rng.random() < 0.3, rng.choice([0.6, 0.75])) for k in range(3000)]
+    want = {}
+    for f, _, _, ok, impact, sure in sorted(rows, key=lambda r: (r[1], r[2])):
+        step = (5 if ok else -5) + (2 if impact else 0) + (1 if sure >= 0.75 else 0)
+        want[f] = max(10, min(100, want.get(f, 80) + step))
+    df = spark.createDataFrame(rows, "function_id string, t_us long, event_id long, confirmed boolean, impact boolean, alignment double")
+    for block in (7, 100, 10_000):
+        got = {r.function_id: (r.trust, r.n_feedback) for r in decisions.feedback_trust(df, block=block).collect()}
+        assert got == {f: (t / 100, 1000) for f, t in want.items()}
+
+
+def test_history_by_another_key(spark):
+    rows = history(spark, 40).withColumn("stream", F.lit(1)).withColumn("function_id", F.concat(F.lit("fn-"), F.col("event_id") % 4))
+    assert detectors.votes(rows).where("duration_outlier_confidence > 0").count() == 0
+    whole = {r.event_id: r.behavioral_drift_confidence for r in detectors.votes(rows, by="stream").collect()}
+    assert len(whole) == 40
+
+
+def test_running_percentiles_by_brute_force(spark):
+    """Blocks, frames, nulls, a null key and ids far apart."""
+    import random
+
+    import numpy as np
+
+    from skytally.operators.order_statistics import running_percentiles
+
+    rng = random.Random(4)
+    rows = [(None if k % 5 == 4 else f"k{k % 3}", k * rng.choice([1, 1000]) + 10**6 * k, None if rng.random() < 0.1 else round(rng.random(), 2)) for k in range(500)]
+    df = spark.createDataFrame(rows, "function_id string, event_id long, x double")
+    got = {r.event_id: (r.low, r.top) for r in running_percentiles(df, {"low": ("x", 0.3), "top": ("x", 1.0)}, frame=20, block=30).collect()}
+    seen = {}
+    for key, i, x in sorted(rows, key=lambda r: r[1]):
+        frame = seen.setdefault(key, [])
+        frame.append(x)
+        own = [v for v in frame[-20:] if v is not None]
+        low, top = got[i]
+        assert (low is None) == (not own) and (not own or abs(low - np.percentile(own, 30)) < 1e-12 and top == max(own))

@@ -30,7 +30,24 @@ def test_audit_chain_finds_changes(spark):
     assert analyst.broken_links(chain).count() == 0
     bad = chain.withColumn("payload", F.when((F.col("actor") == "a") & (F.col("id") == 3), F.lit("x")).otherwise(F.col("payload")))
     row = analyst.broken_links(bad).collect()
-    assert [(r.actor, r.first_broken, r.n_broken) for r in row] == [("a", 3, 2)]
+    # The stored hash of row 3 no longer follows from its payload; row 4 still follows from that stored hash.
+    assert [(r.actor, r.first_broken, r.n_broken) for r in row] == [("a", 3, 1)]
+    # Whoever forges row 3's hash too breaks row 4, and so on to the end of the chain.
+    forged = bad.withColumn("row_hash", F.when((F.col("actor") == "a") & (F.col("id") == 3), F.sha2(F.concat_ws("|", "prev_hash", "payload"), 256)).otherwise(F.col("row_hash")))
+    assert [(r.actor, r.first_broken, r.n_broken) for r in analyst.broken_links(forged).collect()] == [("a", 4, 1)]
+    gone = analyst.broken_links(chain.where("NOT (actor = 'b' AND id = 1)")).collect()
+    assert [(r.actor, r.first_broken) for r in gone] == [("b", 2)]
+
+
+def test_audit_chain_hashes_the_row_before(spark):
+    import hashlib
+
+    rows = spark.createDataFrame([("a", k, k, f"p{k}") for k in range(50)], "actor string, ts long, id long, payload string").repartition(4)
+    last = ""
+    for r in analyst.audit_chain(rows).orderBy("id").collect():
+        assert r.prev_hash == last
+        last = hashlib.sha256(f"{last}|{r.payload}".encode()).hexdigest()
+        assert r.row_hash == last
 
 
 def test_cases(spark):

@@ -17,11 +17,12 @@ def test_entry_imports():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-def test_panel_shuffles_once_for_its_windows(spark, tables):
+def test_panel_is_dealt_by_key_and_block(spark, tables):
+    """Percentiles are dealt by function and block, windows by function; nothing goes to a single task."""
     from skytally.operators import detectors
     from skytally.sources.telemetry import load
 
     plan = detectors.votes(load(spark, tables))._jdf.queryExecution().executedPlan().toString()
-    keys = {line.split("hashpartitioning(")[1].split("#")[0] for line in plan.split("\n") if "Exchange hashpartitioning(" in line}
-    assert keys == {"function_id", "f_half", "f_recent", "f_base"} or "function_id" in keys
+    dealt = {",".join(x.split("#")[0].strip() for x in line.split("hashpartitioning(")[1].split(", ")[:2]) for line in plan.split("\n") if "Exchange hashpartitioning(" in line}
+    assert any(d.startswith("function_id,_block") for d in dealt) and any(d.startswith("function_id,_slot") for d in dealt)
     assert "SinglePartition" not in plan
