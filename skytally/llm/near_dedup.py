@@ -33,6 +33,8 @@ from skytally.llm.components import components
 
 #: Chance at most that a pair at the threshold is missed by the lists, or by the estimate.
 MISS = 1e-9
+#: Pairs of one set from which on it is copied, and how often.
+HOT, SALTS = 512, 16
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -142,9 +144,17 @@ def worth_comparing(a: Column, b: Column, k: int, percent: int) -> Column:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
-    """Pairs (a, b) with the similarity asked for on full sets, after the estimate from their sketches."""
+    """Pairs (a, b) with the similarity asked for on full sets, after the estimate from their sketches.
+
+    Where one b stands in more than ``HOT`` pairs, as the hub of a large group does, its set is copied ``SALTS`` times and its pairs
+    are dealt over the copies; only such sets are copied.
+    """
     side = lambda x: sets.select(F.col("node").alias(x), F.col("s").alias(f"s{x}"))
-    both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").where(worth_comparing(F.col("sa"), F.col("sb"), k, percent))
+    salt = F.pmod(F.xxhash64("a"), F.lit(SALTS)).cast("int")
+    hot = pairs.groupBy("b").agg(F.count("*").alias("c")).where(F.col("c") > HOT).select("b", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    marked = pairs.select("a", "b", salt.alias("salt")).join(hot.withColumn("hot", F.lit(True)), ["b", "salt"], "left").join(side("a"), "a")
+    dealt = marked.where("hot").join(hot.join(side("b"), "b"), ["b", "salt"])
+    both = marked.where("hot IS NULL").join(side("b"), "b").select("a", "b", "sa", "sb").union(dealt.select("a", "b", "sa", "sb")).where(worth_comparing(F.col("sa"), F.col("sb"), k, percent))
     shared = both.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("i"), F.size("sa").alias("na"), F.size("sb").alias("nb"))
     return shared.where(similar(F.col("i"), F.col("na"), F.col("nb"), percent)).select("a", "b").distinct()
 

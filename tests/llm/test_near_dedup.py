@@ -101,3 +101,16 @@ def test_components(spark):
     got = components(spark.createDataFrame(edges, "a long, b long"))
     assert {r.node: r.component for r in got.collect()} == want
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_hubs_of_large_groups_are_dealt(docs_of, monkeypatch):
+    """With every hub counted as hot the groups are the same."""
+    monkeypatch.setattr(near_dedup, "HOT", 1)
+    rng, base, texts = random.Random(11), [f"w{k}" for k in range(150)], []
+    for _ in range(60):
+        words = list(base)
+        for _ in range(rng.randrange(4)):
+            words[rng.randrange(150)] = f"n{rng.randrange(10**6)}"
+        texts.append(" ".join(words))
+    texts += [" ".join(f"x{j}y{k}" for k in range(30)) for j in range(5)]
+    assert found(docs_of(texts), words=2) == brute(dict(enumerate(texts)), 2)
