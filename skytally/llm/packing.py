@@ -45,7 +45,7 @@ class Encoder:
     """
 
     #: Bytes of chunks and ids that are kept, by a generous estimate, and characters of a chunk that is.
-    CACHE, CHUNK = 24_000_000, 32
+    CACHE, CHUNK = 48_000_000, 32
 
     def __init__(self, json_path: str, ranks_path: str, pattern: str):
         import tiktoken
@@ -219,7 +219,6 @@ def pack(
                     yield from packer.drain()
         packer.fill(0)
         yield from packer.drain()
-        encode.forget()
         give_back()
 
     loss = F.lit(True) if bears_loss is None else F.coalesce(bears_loss, F.lit(False))
