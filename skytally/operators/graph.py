@@ -148,3 +148,49 @@ def clusters(telemetry: DataFrame, k: int = 5, seed: int = 42) -> DataFrame:
     scaled = StandardScaler(inputCol="raw", outputCol="scaled", withMean=True).fit(raw).transform(raw)
     found = KMeans(k=k, seed=seed, featuresCol="scaled", predictionCol="cluster").fit(scaled).transform(scaled)
     return found.groupBy("cluster").agg(F.count("*").alias("n"), *(F.round(F.avg(f), 4).alias(f) for f in fields))
+
+
+def distances(links: DataFrame) -> DataFrame:
+    """origin, node, steps and number of shortest paths between the nodes of ``links`` (source, target), as far as one reaches another.
+
+    One join a step, over the pairs found in the step before; each step is written, and the last one finds no new pair. Pairs grow
+    with the square of the nodes (functions, not records). Loops and repeated links count once, null ends not at all.
+    """
+    spark, path = links.sparkSession, work_path(links.sparkSession, "distances")
+    links.select("source", "target").where("source <> target").distinct().write.parquet(f"{path}/links")
+    linked = spark.read.parquet(f"{path}/links")
+    linked.selectExpr("source AS origin", "target AS node", "1 AS steps", "1D AS paths").write.parquet(f"{path}/steps=1")
+    known, step = spark.read.parquet(f"{path}/steps=1"), 1
+    while True:
+        step += 1
+        ends = spark.read.parquet(f"{path}/steps={step - 1}").join(linked, F.col("node") == F.col("source")).where("origin <> target")
+        new = ends.groupBy("origin", F.col("target").alias("node")).agg(F.lit(step).alias("steps"), F.sum("paths").alias("paths")).join(known.select("origin", "node"), ["origin", "node"], "left_anti")
+        new.write.parquet(f"{path}/steps={step}")
+        found = spark.read.parquet(f"{path}/steps={step}")
+        if found.isEmpty():
+            return known
+        known = known.unionByName(found)
+
+
+#: Of each node of the links: closeness by the ways that lead to it, betweenness as a share of all pairs, and its flow, the least node of those that it reaches and that reach it.
+_CENTRAL = """
+WITH nodes AS (SELECT source AS node FROM {links} WHERE source <> target UNION SELECT target FROM {links} WHERE source <> target), total AS (SELECT count(*) AS m FROM nodes),
+near AS (SELECT node, count(*) AS reached, sum(steps) AS far FROM {pairs} GROUP BY node),
+inside AS (SELECT a.node, sum(a.paths * b.paths / c.paths) AS share FROM {pairs} a JOIN {pairs} b ON a.node = b.origin JOIN {pairs} c ON c.origin = a.origin AND c.node = b.node AND c.steps = a.steps + b.steps GROUP BY a.node),
+mutual AS (SELECT a.origin AS node, min(a.node) AS least FROM {pairs} a JOIN {pairs} b ON a.origin = b.node AND a.node = b.origin GROUP BY a.origin)
+SELECT n.node, round(coalesce(reached * 1e0 / far * reached / (m - 1), 0e0) + 1e-10, 6) AS closeness, round(CASE WHEN m > 2 THEN coalesce(share, 0e0) / ((m - 1e0) * (m - 2e0)) ELSE 0e0 END + 1e-10, 6) AS betweenness, least(n.node, coalesce(least, n.node)) AS flow
+FROM nodes n CROSS JOIN total LEFT JOIN near ON n.node = near.node LEFT JOIN inside ON n.node = inside.node LEFT JOIN mutual ON n.node = mutual.node"""
+
+
+def centralities(links: DataFrame) -> DataFrame:
+    """node, closeness, betweenness and flow (strongly connected part) of each node of ``links`` (source, target); no links, no rows."""
+    return links.sparkSession.sql(_CENTRAL, links=links, pairs=distances(links))
+
+
+def centralities_sql(links: str, steps: int = 8) -> str:
+    """The same for graphs whose longest shortest path has fewer than ``steps`` steps."""
+    parts = [f"links AS MATERIALIZED (SELECT DISTINCT source, target FROM ({links}) AS l WHERE source <> target)", "k1 AS MATERIALIZED (SELECT source AS origin, target AS node, 1 AS steps, 1e0 AS paths FROM links)"]
+    for k in range(1, steps):
+        grown = f"SELECT origin, target AS node, {k + 1} AS steps, sum(paths) AS paths FROM k{k} JOIN links ON node = source WHERE steps = {k} AND origin <> target GROUP BY origin, target"
+        parts.append(f"k{k + 1} AS MATERIALIZED (SELECT * FROM k{k} UNION ALL SELECT g.* FROM ({grown}) AS g ANTI JOIN k{k} AS o ON g.origin = o.origin AND g.node = o.node)")
+    return f"WITH {', '.join(parts)}{_CENTRAL.format(links='links', pairs=f'k{steps}').replace('WITH ', ', ', 1)}"
