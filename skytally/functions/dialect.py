@@ -14,6 +14,9 @@ SPARK = {
     # How often each character of a text occurs; entropy in bits of such counts, of so many in all.
     "counted": "transform(array_distinct(array_remove(split({0}, ''), '')), c -> length({0}) - length(replace({0}, c, '')))", "size": "size({0})",
     "entropy": "aggregate({0}, 0e0, (a, n) -> a - n * 1e0 / n_chars * ln(n * 1e0 / n_chars)) / ln(2e0)",
+    # Depth of a text of braces alone; names of a JSON object.
+    "depth": "aggregate(split({0}, ''), named_struct('at', 0, 'most', 0), (s, c) -> named_struct('at', s.at + CASE c WHEN '{{{{' THEN 1 WHEN '}}}}' THEN -1 ELSE 0 END, 'most', greatest(s.most, s.at + CASE c WHEN '{{{{' THEN 1 ELSE 0 END)), s -> s.most)",
+    "keys": "coalesce(size(json_object_keys({0})), 0)",
 }
 DUCKDB = {
     "micros": "epoch_us(ts)", "div": "//", "json_k": "CAST(json_extract_string(props, '$.k') AS BIGINT)", "percentile": "quantile_cont", "first_known": "first_value({0} IGNORE NULLS)",
@@ -23,6 +26,8 @@ DUCKDB = {
     "hmac": "sha256(from_hex('{outer}') || from_hex(sha256(from_hex('{inner}') || encode({0}))))", "pick_max": "arg_max({0})", "listed": "array_to_string(list_sort(list(DISTINCT {0})), ',')",
     "counted": "list_transform(list_distinct(string_split({0}, '')), lambda c: length({0}) - length(replace({0}, c, '')))", "size": "len({0})",
     "entropy": "list_sum(list_transform({0}, lambda n: -n * 1e0 / n_chars * ln(n * 1e0 / n_chars))) / ln(2e0)",
+    "depth": "coalesce(list_max(list_transform(range(1, length({0}) + 1), lambda i: 2 * length(replace(substr({0}, 1, i), '}}}}', '')) - i)), 0)",
+    "keys": "coalesce(len(json_keys({0})), 0)",
 }
 
 

@@ -194,3 +194,22 @@ def centralities_sql(links: str, steps: int = 8) -> str:
         grown = f"SELECT origin, target AS node, {k + 1} AS steps, sum(paths) AS paths FROM k{k} JOIN links ON node = source WHERE steps = {k} AND origin <> target GROUP BY origin, target"
         parts.append(f"k{k + 1} AS MATERIALIZED (SELECT * FROM k{k} UNION ALL SELECT g.* FROM ({grown}) AS g ANTI JOIN k{k} AS o ON g.origin = o.origin AND g.node = o.node)")
     return f"WITH {', '.join(parts)}{_CENTRAL.format(links='links', pairs=f'k{steps}').replace('WITH ', ', ', 1)}"
+
+
+_BRACES = "replace(<sub:<sub:coalesce(payload, ''), '\"[^\"]*\"', ''>, '[^{{}}]', ''>, '{{}}', '')"
+_UNIT = ", ".join(f"round(CASE WHEN norm > 0 THEN {x} / norm ELSE 0.0 END + 1e-10, 6) AS {x}" for x in ("n_parts", "is_handler", "is_api", "depth", "n_keys", "nested", "failed", "failure_kind"))
+#: Features of a record's texts as a vector of length one: parts of the function's name, its flags, depth and names of the payload (JSON; objects in lists count too), whether there is a message and its kind (fixed values). Null texts give zeros; escaped quotes within a payload's strings aren't parsed.
+TEXTS = f"""
+SELECT event_id, {_UNIT} FROM (
+  SELECT *, sqrt(n_parts * n_parts + is_handler + is_api + depth * depth + n_keys * n_keys + nested + failed + failure_kind * failure_kind) AS norm FROM (
+    SELECT event_id, n_parts, is_handler, is_api, CAST(<depth:braces> AS DOUBLE) AS depth, n_keys, CASE WHEN <depth:braces> > 1 THEN 1.0 ELSE 0.0 END AS nested, failed,
+      CASE WHEN failed = 0 THEN 0.0 WHEN message LIKE '%timeout%' THEN 1.0 WHEN message LIKE '%memory%' THEN 2.0 WHEN message LIKE '%permission%' OR message LIKE '%auth%' THEN 3.0 WHEN message LIKE '%network%' OR message LIKE '%connection%' THEN 4.0 ELSE 0.5 END AS failure_kind
+    FROM (
+      SELECT event_id, CASE WHEN function_id IS NULL THEN 0.0 ELSE length(function_id) - length(replace(function_id, '-', '')) + 1.0 END AS n_parts, CASE WHEN lower(function_id) LIKE '%handler%' THEN 1.0 ELSE 0.0 END AS is_handler, CASE WHEN lower(function_id) LIKE '%api%' THEN 1.0 ELSE 0.0 END AS is_api,
+        {_BRACES} AS braces, CAST(<keys:payload> AS DOUBLE) AS n_keys, CASE WHEN message <> '' THEN 1.0 ELSE 0.0 END AS failed, lower(message) AS message
+      FROM {{rows}}
+    ) AS parsed
+  ) AS measured
+) AS weighed"""
+#: Names, payloads and messages of the event tables.
+TEXTS_OF = "SELECT event_id, concat('fn-', CAST(user_id % 20 AS <string>)) AS function_id, props AS payload, CASE WHEN event_type = 'error' THEN event_type END AS message FROM {rows}"

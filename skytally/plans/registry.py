@@ -271,6 +271,7 @@ for _name, _text in _MEASURED.items():
 QUERIES["suspicious_paths"] = (_on_view(graph.suspicious_paths), graph.PATHS_SQL.format(successors=fill(graph.SUCCESSORS, DUCKDB).format(rows=_VIEW.removesuffix(" AS telemetry"))))
 _OFTEN = "source <> target AND lift > 1"
 QUERIES["function_centralities"] = (_on_view(lambda x: graph.centralities(graph.run(graph.TRANSITIONS, x).where(_OFTEN))), graph.centralities_sql(f"SELECT * FROM ({graph.oracle(graph.TRANSITIONS, ORACLE_VIEW)}) AS t WHERE {_OFTEN}"))
+QUERIES["text_features"] = (lambda s, d: graph.run(graph.TEXTS, graph.run(graph.TEXTS_OF, s.read.parquet(f"{d}/events.parquet"))), _layers(graph.TEXTS, inner=f"({fill(graph.TEXTS_OF, DUCKDB).format(rows='events')}) AS texts").removeprefix("(").removesuffix(") AS layer"))
 QUERIES["anomaly_clusters"] = (_on_view(graph.clusters), None)
 QUERIES["temporal_formulas"] = (_on_view(formal.properties), formal.properties_sql(_VIEW))
 QUERIES["fusion_uncertainty"] = (lambda s, d: studies.run(decisions.UNCERTAINTY, detectors.votes(load(s, d))), fill(decisions.UNCERTAINTY, DUCKDB).format(rows=f"({detectors.ORACLE_SQL})"))

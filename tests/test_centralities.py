@@ -57,3 +57,15 @@ def test_groups_of_separated_heaps(spark):
     df = spark.createDataFrame(rows, "event_id long, anomaly_type string, duration double, memory double, cpu double, network double")
     found = sorted((r.n, r.duration, r.memory, r.cpu, r.network) for r in graph.clusters(df, k=2).collect())
     assert found == [(20, 1.0, 10.0, 5.0, 0.0), (40, 101.0, 11.5, 5.0, 1.0)]
+
+
+def test_text_features_by_hand(spark):
+    rows = [(1, "api-a-b", '{"k": {"x": {}, "{{": 2}}', None), (2, None, None, "Auth timeout"), (3, "f", "{}", ""), (4, "f", "{", "odd")]
+    got = {r.event_id: r for r in graph.run(graph.TEXTS, spark.createDataFrame(rows, "event_id long, function_id string, payload string, message string")).collect()}
+    unit = lambda *v: [round(x / sum(y * y for y in v) ** 0.5, 6) for x in v]
+    names = ["n_parts", "is_handler", "is_api", "depth", "n_keys", "nested", "failed", "failure_kind"]
+    vector = lambda k: [round(got[k][n], 6) for n in names]
+    assert vector(1) == unit(3, 0, 1, 2, 1, 1, 0, 0)
+    assert vector(2) == unit(0, 0, 0, 0, 0, 0, 1, 1)
+    assert vector(3) == unit(1, 0, 0, 0, 0, 0, 0, 0)
+    assert got[4].failure_kind > 0
