@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skytally.functions.dialect import DUCKDB, fill
-from skytally.operators import analyst, casework, curves, decisions, detectors, economics, evaluation, formal, governance, graph, intake, outliers, privacy, records, sampling, silent, studies, timelines, transforms
+from skytally.operators import analyst, casework, curves, decisions, detectors, economics, evaluation, formal, governance, graph, intake, outliers, privacy, records, sampling, silent, studies, timelines, transforms, versions
 from skytally.sources.shared import work_path
 from skytally.sources.telemetry import ORACLE_VIEW, load
 from skytally.streaming import windows
@@ -272,6 +272,10 @@ QUERIES["suspicious_paths"] = (_on_view(graph.suspicious_paths), graph.PATHS_SQL
 _OFTEN = "source <> target AND lift > 1"
 QUERIES["function_centralities"] = (_on_view(lambda x: graph.centralities(graph.run(graph.TRANSITIONS, x).where(_OFTEN))), graph.centralities_sql(f"SELECT * FROM ({graph.oracle(graph.TRANSITIONS, ORACLE_VIEW)}) AS t WHERE {_OFTEN}"))
 QUERIES["text_features"] = (lambda s, d: graph.run(graph.TEXTS, graph.run(graph.TEXTS_OF, s.read.parquet(f"{d}/events.parquet"))), _layers(graph.TEXTS, inner=f"({fill(graph.TEXTS_OF, DUCKDB).format(rows='events')}) AS texts").removeprefix("(").removesuffix(") AS layer"))
+QUERIES["migrated_records"] = (
+    _on_view(lambda x: versions.migrated(graph.run(versions.VERSIONED, x), "2.0")),
+    fill(versions.migration("2.0", versions.SCHEMAS, versions.LINKS), DUCKDB).format(rows=f"({fill(versions.VERSIONED, DUCKDB).format(rows=_VIEW)}) AS versioned"),
+)
 QUERIES["anomaly_clusters"] = (_on_view(graph.clusters), None)
 QUERIES["temporal_formulas"] = (_on_view(formal.properties), formal.properties_sql(_VIEW))
 QUERIES["fusion_uncertainty"] = (lambda s, d: studies.run(decisions.UNCERTAINTY, detectors.votes(load(s, d))), fill(decisions.UNCERTAINTY, DUCKDB).format(rows=f"({detectors.ORACLE_SQL})"))
