@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skytally.llm import decontaminate, licenses, near_dedup, packing, pii, quality_pu, quality_rules, toxicity, url_rules, warc
+from skytally.llm import decontaminate, filter_audit, licenses, near_dedup, packing, pii, quality_pu, quality_rules, sort_means, toxicity, url_rules, warc
 from skytally.llm.common import fold_of, table
 
 
@@ -62,10 +62,19 @@ def op10_license_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_sort_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sort_means.clusters(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     ops = (
         op1_quality_pu, op2_toxicity, op3_semi_markov_pii, op4_decontaminate, op5_warc_transactions,
         op6_vector_packing, op7_quality_rules, op8_url_rules, op9_minhash_near_dedup, op10_license_sentences,
+        op11_filter_audit, op13_sort_means,
     )
     return {f.__name__: f for f in ops}
 
@@ -76,4 +85,6 @@ def oracle_sql() -> dict[str, str]:
         "op7_quality_rules": quality_rules.ORACLE_SQL,
         "op8_url_rules": url_rules.ORACLE_SQL,
         "op10_license_sentences": licenses.ORACLE_SQL,
+        "op11_filter_audit": filter_audit.ORACLE_SQL,
+        "op13_sort_means": sort_means.ORACLE_SQL,
     }
