@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skytally.llm import decontaminate, filter_audit, licenses, near_dedup, packing, pii, quality_pu, quality_rules, sort_means, toxicity, url_rules, warc
+from skytally.llm import decontaminate, filter_audit, licenses, near_dedup, packing, pii, quality_pu, quality_rules, sort_means, toxicity, url_rules, vector_dedup, warc
 from skytally.llm.common import fold_of, table
 
 
@@ -66,6 +66,10 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op13_sort_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sort_means.clusters(table(spark, sf_dir, "embeddings"))
 
@@ -74,7 +78,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     ops = (
         op1_quality_pu, op2_toxicity, op3_semi_markov_pii, op4_decontaminate, op5_warc_transactions,
         op6_vector_packing, op7_quality_rules, op8_url_rules, op9_minhash_near_dedup, op10_license_sentences,
-        op11_filter_audit, op13_sort_means,
+        op11_filter_audit, op12_vector_dedup, op13_sort_means,
     )
     return {f.__name__: f for f in ops}
 
