@@ -54,9 +54,11 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _cut(data: np.ndarray, ends: np.ndarray, at: int, first: int) -> int:
-    """Where the piece that begins at byte ``at`` of document ``first`` ends: between documents, or before a space of a long one."""
-    last = int(np.searchsorted(ends, at + PIECE, "right")) - 1
-    last = min(last, first + DOCS)
+    """Where the piece that begins at byte ``at`` of document ``first`` ends: between documents, or before a space of a long one.
+
+    What is left of a long document is a piece of its own.
+    """
+    last = min(int(np.searchsorted(ends, at + PIECE, "right")) - 1, first + (1 if at > ends[first] else DOCS))
     if ends[last] > at:
         return int(ends[last])
     stop, to = int(ends[first + 1]), at + PIECE
