@@ -110,28 +110,28 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 _LISTED = [
-    StructField("list", IntegerType()), StructField("node", LongType()), StructField("copies", LongType()), StructField("lists", ArrayType(IntegerType())),
+    StructField("list", IntegerType()), StructField("node", LongType()), StructField("fp", LongType()), StructField("copies", LongType()), StructField("lists", ArrayType(IntegerType())),
     StructField("code", BinaryType()), StructField("left", DoubleType()),
 ]
 
 
 def listed(classes: DataFrame, index: Index | None, dim: int, margin: float) -> DataFrame:
-    """Each class (node, copies, e) under all its lists, with its codes there; vectors of another length than ``dim`` under ``ODD``."""
+    """Each class (node, fp, copies, e) under all its lists, with its codes there; vectors of another length than ``dim`` under ``ODD``."""
     fields = [*_LISTED, classes.schema["e"]]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = [pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.binary(), pa.float64()]
+        types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.binary(), pa.float64()]
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
-                usual = np.array(pa.compute.list_value_length(batch.column(2))) == dim
+                usual = np.array(pa.compute.list_value_length(batch.column(3))) == dim
                 for kind in (True, False):
                     rows = np.flatnonzero(usual == kind)
                     if not len(rows):
                         continue
                     part = batch.take(pa.array(rows))
                     if kind:
-                        u = units(_matrix(part.column(2)))
+                        u = units(_matrix(part.column(3)))
                         d = (index.coarse**2).sum(1) - 2 * (u @ index.coarse.T)
                         row, own = np.nonzero(d <= d.min(1, keepdims=True) + margin)
                         codes, left = index.code(u[row] - index.coarse[own])
@@ -139,11 +139,11 @@ def listed(classes: DataFrame, index: Index | None, dim: int, margin: float) ->
                     else:
                         row, own, codes, left, lists = np.arange(len(rows)), np.full(len(rows), ODD), np.zeros((len(rows), 0), np.uint8), np.zeros(len(rows)), [[ODD]] * len(rows)
                     part = part.take(pa.array(row))
-                    columns = [own, part.column(0), part.column(1), [lists[r] for r in row], [c.tobytes() for c in codes], left]
-                    yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(columns, types, strict=True)), part.column(2)], [f.name for f in fields])
+                    columns = [own, *part.columns[:3], [lists[r] for r in row], [c.tobytes() for c in codes], left]
+                    yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(columns, types, strict=True)), part.column(3)], [f.name for f in fields])
         give_back()
 
-    return mapped(classes.select("node", "copies", "e"), work, fields)
+    return mapped(classes.select("node", "fp", "copies", "e"), work, fields)
 
 
 def _candidates(index: Index, of: int, u: np.ndarray, asked: slice, codes: np.ndarray, left: np.ndarray, reach: float) -> np.ndarray:
@@ -159,10 +159,10 @@ def _candidates(index: Index, of: int, u: np.ndarray, asked: slice, codes: np.nd
 
 
 def links_of(group: pa.Table, index: Index | None, cosine: float) -> pa.Table:
-    """node, links and root of the classes of one pair of blocks that are linked in it and share no earlier list."""
-    group = group.sort_by("node")
+    """node, fp, links, root and root_fp of the classes of one pair of blocks that are linked in it and share no earlier list."""
+    group = group.sort_by([("node", "ascending"), ("fp", "ascending")])
     of, (i, j) = group["list"][0].as_py(), (group["i"][0].as_py(), group["j"][0].as_py())
-    own, node = group["own"].to_numpy(), group["node"].to_numpy()
+    own, node, fp = (group[c].to_numpy() for c in ("own", "node", "fp"))
     copies = group["copies"].to_numpy()
     e = group["e"].combine_chunks()
     length = np.asarray(pa.compute.list_value_length(e))
@@ -212,7 +212,7 @@ def links_of(group: pa.Table, index: Index | None, cosine: float) -> pa.Table:
             np.minimum.at(label, y, low)
             label = label[label]
     some = links > 0
-    return pa.table({"node": node[some], "links": links[some], "root": node[label[some]]})
+    return pa.table({"node": node[some], "fp": fp[some], "links": links[some], "root": node[label[some]], "root_fp": fp[label[some]]})
 
 
 def _usable(e: Column) -> Column:
@@ -221,7 +221,7 @@ def _usable(e: Column) -> Column:
 
 
 def linked(classes: DataFrame, *, cosine: float, margin: float) -> DataFrame:
-    """node, links and root by pair of blocks, for classes (node, copies, e)."""
+    """node, fp, links, root and root_fp by pair of blocks, for classes (node, fp, copies, e)."""
     spark = classes.sparkSession
     lengths = classes.groupBy(F.size("e").alias("n")).agg(F.count("*").alias("c")).orderBy(F.desc("c"), F.desc("n")).first()
     dim, index, mean = (lengths["n"], None, 0) if lengths else (0, None, 0)
@@ -238,8 +238,8 @@ def linked(classes: DataFrame, *, cosine: float, margin: float) -> DataFrame:
     dealt = rows.join(long_ones, "list", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int"))
     pairs = dealt.withColumn("t", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("own", "t")).withColumn("j", F.greatest("own", "t"))
-    sent = pairs.select("list", "i", "j", "own", "node", "copies", "lists", "code", "left", "e")
-    out = sent.groupBy("list", "i", "j").applyInArrow(lambda group: links_of(group, index, cosine), "node long, links long, root long")
+    sent = pairs.select("list", "i", "j", "own", "node", "fp", "copies", "lists", "code", "left", "e")
+    out = sent.groupBy("list", "i", "j").applyInArrow(lambda group: links_of(group, index, cosine), "node long, fp long, links long, root long, root_fp long")
     out = materialise(out, "links")
     discard(rows)
     return out
@@ -250,7 +250,7 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str
 
     Rows with a cosine of ``cosine`` or more are linked, copies included; component_id is the smallest vec_id reachable. Null, empty
     and zero vectors, those with null or non-finite components, and rows with a null id are linked with nothing; the last have a null
-    component and are kept. Vectors of different lengths aren't linked. Repeated rows are copies of each other. Other columns are
+    component and are kept. Vectors of different lengths aren't linked. Repeated rows are copies of each other; rows that share an id but not their vector are placed by their vector. Other columns are
     ignored; an empty table gives no rows.
     """
     kind = vectors.schema[vec_col].dataType.elementType.simpleString()
@@ -260,9 +260,11 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str
     classes = rows.where("ok").select("vec_id", "e", *prints).groupBy("fp", "fq").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies"), F.first("e").alias("e"))
     classes = materialise(classes, "classes")
     found = linked(classes, cosine=cosine, margin=margin)
-    groups = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
-    counts = found.groupBy("node").agg(F.sum("links").alias("links"))
-    told = classes.select("fp", "fq", "node", "copies").join(counts, "node", "left").join(groups, "node", "left")
+    # Classes may have one id, where ids repeat, so a class is its id and its fingerprint.
+    groups = components(found.select(F.struct("node", "fp").alias("a"), F.struct(F.col("root").alias("node"), F.col("root_fp").alias("fp")).alias("b")))
+    groups = groups.select("node.*", F.col("component.node").alias("component"))
+    counts = found.groupBy("node", "fp").agg(F.sum("links").alias("links"))
+    told = classes.select("fp", "fq", "node", "copies").join(counts, ["node", "fp"], "left").join(groups, ["node", "fp"], "left")
     told = told.select("fp", "fq", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
     slim = rows.select("vec_id", *(F.when(F.col("ok"), p).alias(n) for p, n in zip(prints, ("fp", "fq"), strict=True)))
     out = slim.join(told, ["fp", "fq"], "left")
