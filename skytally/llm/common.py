@@ -7,7 +7,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
@@ -61,11 +63,20 @@ def free_name(wanted: str, *taken: DataFrame) -> str:
     return wanted
 
 
-def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
-    """The batches in slices of at most so many rows, so that the Python objects of one slice alone are alive."""
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1000, size: int = 8_000_000) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most so many rows and about so many bytes, so that the Python objects of one slice alone are alive."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        if batch.num_rows <= rows and batch.nbytes <= size:
+            yield batch
+            continue
+        texts = [c for c in batch.columns if pa.types.is_string(c.type) or pa.types.is_large_string(c.type) or pa.types.is_binary(c.type)]
+        ends = np.cumsum(sum((np.asarray(pc.fill_null(pc.binary_length(c), 0), np.int64) for c in texts), np.zeros(batch.num_rows, np.int64)))
+        at = 0
+        while at < batch.num_rows:
+            upto = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right"))
+            n = max(1, min(rows, upto - at))
+            yield batch.slice(at, n)
+            at += n
 
 
 def mapped(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], fields: list[StructField]) -> DataFrame:

@@ -4,8 +4,9 @@ Texts are compared in lower case with runs of white space as one space. An item
 ``rate * m`` edits. Cut into one piece more than that, it has a piece without an edit in every such occurrence. All pieces of
 all items are searched for at once by the hashes of their first characters, and around each exact hit Myers' bit-parallel
 algorithm computes the least edit distance between the item and any stretch of the text. An item under ``LEAST_CHARS``
-characters must occur exactly and as whole words, for with edits it would be found nearly everywhere. One over ``LONG`` is cut into
-parts of that length, and occurs where any of them does.
+characters must occur exactly and as whole words, for with edits it would be found nearly everywhere. One over ``LONG`` is first cut into
+nearly equal parts of at most that length, for wherever it occurs within its budget one of its parts does within its own; around each
+such part the whole item is compared.
 """
 
 from __future__ import annotations
@@ -19,13 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skytally.llm.common import give_back, mapped, sliced
+from skytally.llm.common import discard, give_back, mapped, materialise, sliced
 
 #: Errors allowed by character of the item, and the length under which an item must occur without any.
 RATE, LEAST_CHARS = 0.08, 40
 #: Bytes of items that are sent to the tasks at once; larger sets go in blocks, each against all documents.
 BLOCK_BYTES = 32_000_000
-#: Characters of a piece that are hashed at most, of text that are hashed at once, and of an item that are compared as one.
+#: Characters of a piece that are hashed at most, of text that are hashed at once, and of a part of an item that is looked for by itself.
 HEAD, CHUNK, LONG = 12, 500_000, 4000
 BASE, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -91,10 +92,12 @@ class Index:
     """
 
     def __init__(self, items: Sequence[tuple[int, str]], rate: float):
-        parts = list(dict.fromkeys((i, p) for i, t in items for p in ([t] if len(t) <= LONG else [t[k : k + LONG] for k in range(0, len(t), LONG)])))
-        self.items = [(i, t, 0 if len(t) < LEAST_CHARS else int(rate * len(t))) for i, t in parts]
+        allowed = lambda t: 0 if len(t) < LEAST_CHARS else int(rate * len(t))
+        self.wholes = [(i, t, allowed(t)) for i, t in dict.fromkeys(items)]
+        #: Of each part the item's identifier, the part, its edits, the item's place among ``wholes`` and the part's place in it.
+        self.items = [(i, t[a:z], allowed(t[a:z]), w, a) for w, (i, t, _) in enumerate(self.wholes) for a, z in cut(len(t), -(-len(t) // LONG))]
         owner, at, size, where, begin = [], [], [], [], 0
-        for k, (_, text, budget) in enumerate(self.items):
+        for k, (_, text, budget, _, _) in enumerate(self.items):
             for a, z in cut(len(text), budget + 1):
                 owner.append(k)
                 at.append(a)
@@ -102,7 +105,7 @@ class Index:
                 where.append(begin + a)
             begin += len(text)
         owner, at, size, place = (np.array(x, np.int64) for x in (owner, at, size, where))
-        first, codes, self.heads = np.minimum(size, HEAD), codes_of("".join(t for _, t, _ in self.items)), {}
+        first, codes, self.heads = np.minimum(size, HEAD), codes_of("".join(t for _, t, *_ in self.items)), {}
         for q in sorted(set(first.tolist())):
             own = np.flatnonzero(first == q)
             h = codes[place[own]].astype(np.uint64) + np.uint64(1)
@@ -154,15 +157,24 @@ class Index:
             yield self.verified(text, own)
 
     def verified(self, text: str, spots: dict[int, list[tuple[int, int]]]) -> Iterator[tuple[int, int, int, int]]:
-        """``spots``: by item the first and last places where it may begin. Of an item's parts the best one is given."""
+        """``spots``: by part the first and last places where it may begin."""
         found: dict[int, tuple[int, int, int]] = {}
+        near: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for k in sorted(spots):
-            item_id, item, budget = self.items[k]
-            if len(item) < LEAST_CHARS:
-                if got := whole_words(item, text):
+            item_id, part, budget, w, at = self.items[k]
+            whole, most = self.wholes[w][1:]
+            if len(whole) < LEAST_CHARS:
+                if got := whole_words(whole, text):
                     found[item_id] = min(got, found.get(item_id, got))
-                continue
-            for lo, hi in joined(sorted(spots[k]), len(item), budget, len(text)):
+            elif len(part) == len(whole):
+                near[w] += spots[k]
+            else:
+                for lo, hi in joined(sorted(spots[k]), len(part), budget, len(text)):
+                    if best_match(part, text, lo, hi, budget):
+                        near[w].append((lo - at - most, hi - at + most))
+        for w, begins in near.items():
+            item_id, item, budget = self.wholes[w]
+            for lo, hi in joined(sorted(begins), len(item), budget, len(text)):
                 at = text.find(item, lo, hi)
                 got = (0, at + len(item)) if at >= 0 else best_match(item, text, lo, hi, budget)
                 if got:
@@ -205,7 +217,7 @@ _built: dict[str, Index] = {}
 
 
 def index_of(items: tuple[tuple[int, str], ...], rate: float) -> Index:
-    """One index is kept in each Python worker."""
+    """One index is kept in each Python worker, until its task ends."""
     key = sha1(repr((items, rate)).encode()).hexdigest()
     if key not in _built:
         _built.clear()
@@ -227,14 +239,14 @@ def searched(index: Index, texts: Sequence[str | None]) -> Iterator[tuple[int, I
         yield from zip(places, index.search(block), strict=True)
 
 
-def blocks_of(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Iterator[tuple[tuple[int, str], ...]]:
-    """The items by bounded blocks, normalised, without null ids and empty texts."""
+def blocks_of(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Iterator[tuple[bool, tuple[tuple[int, str], ...]]]:
+    """Whether it is the last, and the items of each bounded block, normalised, without null ids and empty texts."""
     rows = benchmark.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).where("i IS NOT NULL AND t IS NOT NULL").distinct()
     size = rows.agg(F.sum(F.octet_length("t")).alias("n")).first()["n"] or 0
     n = -(-size // block_bytes)
     for b in range(n):
         part = rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == b).collect()
-        yield tuple(sorted((r["i"], x) for r in part if (x := normal(r["t"]))))
+        yield b == n - 1, tuple(sorted((r["i"], x) for r in part if (x := normal(r["t"]))))
 
 
 def contaminated(
@@ -259,13 +271,16 @@ def contaminated(
                 rows = [(ids[k], *m) for k, found in searched(index, texts) for m in found]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["doc_id", "item_id", "edits", "start", "end"])
+            _built.clear()
             give_back()
 
         return slim.mapInArrow(work, out)
 
     result = None
-    for items in blocks_of(benchmark, item_col, item_text_col, block_bytes):
-        result = found(items) if result is None else result.unionAll(found(items))
+    for last, items in blocks_of(benchmark, item_col, item_text_col, block_bytes):
+        # One of several blocks is run and written before the next one is read, so one alone is held.
+        part = found(items) if last and result is None else materialise(found(items), "found")
+        result = part if result is None else result.unionAll(part)
     return docs.sparkSession.createDataFrame([], out) if result is None else result
 
 
@@ -283,10 +298,16 @@ def clean(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item
             for batch in sliced(batches):
                 held = {k for k, found in searched(index, batch.column(at).to_pylist()) if next(found, None)}
                 yield batch.filter(pa.array([k not in held for k in range(batch.num_rows)], pa.bool_()))
+            _built.clear()
             give_back()
 
         return mapped(df, work, docs.schema.fields)
 
-    for items in blocks_of(benchmark, item_col, item_text_col, block_bytes):
-        docs = kept(docs, items)
+    before = None
+    for last, items in blocks_of(benchmark, item_col, item_text_col, block_bytes):
+        docs = kept(docs, items) if last else materialise(kept(docs, items), "clean")
+        if not last:
+            if before is not None:
+                discard(before)
+            before = docs
     return docs

@@ -219,6 +219,7 @@ def pack(
                     yield from packer.drain()
         packer.fill(0)
         yield from packer.drain()
+        encode.forget()
         give_back()
 
     loss = F.lit(True) if bears_loss is None else F.coalesce(bears_loss, F.lit(False))

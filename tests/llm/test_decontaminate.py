@@ -51,7 +51,9 @@ def test_brute_force(spark):
 def test_blocks_and_documents(spark, documents, tables):
     bench = spark.read.parquet(f"{tables}/benchmark.parquet")
     one = sorted(map(tuple, decontaminate.contaminated(documents, bench).collect()))
-    many = sorted(map(tuple, decontaminate.contaminated(documents, bench, block_bytes=1500).collect()))
+    many = sorted(map(tuple, decontaminate.contaminated(documents, bench, block_bytes=4000).collect()))
+    cleaned = decontaminate.clean(documents, bench, block_bytes=15_000)
+    assert sorted(r.doc_id for r in cleaned.collect()) == sorted({r.doc_id for r in documents.collect()} - {x[0] for x in one})
     texts = {r.doc_id: normal(r.text) for r in documents.collect()}
     exact = {(i, r.item_id) for r in bench.collect() for i, t in texts.items() if normal(r.text) in t}
     assert one == many and {x[:2] for x in one} >= exact and exact
@@ -93,4 +95,28 @@ def test_items_that_repeat_themselves_and_long_ones(spark, docs_of):
     items = [(1, "word " * 3000), (2, "x" * 9000), (3, long), (4, "ab" * 40)]
     texts = ["word " * 50_000, "x" * 100_000, long[3500:9000], "ba" * 39 + "c" + "ab" * 5, long[3000:6000]]
     got = sorted((r.doc_id, r.item_id, r.edits) for r in decontaminate.contaminated(docs_of(texts), spark.createDataFrame(items, ITEMS)).collect())
-    assert got == [(0, 1, 0), (1, 2, 0), (2, 3, 0), (3, 4, distance("ab" * 40, texts[3]))]
+    assert got == [(0, 1, 0), (1, 2, 0), (3, 4, distance("ab" * 40, texts[3]))]
+
+
+def test_long_items_must_occur_as_a_whole(spark, docs_of, monkeypatch):
+    """A part, a tail or a short end of a long item isn't the item; with edits within the budget anywhere, it is."""
+    items = [(1, "w" + "".join(random.Random(8).choices("abcdefghij ", k=decontaminate.LONG)) + " a")]
+    index = decontaminate.Index([(i, normal(t)) for i, t in items], RATE)
+    assert not list(index.matches("this is a clean document about birds")) and [m[:2] for m in index.matches(normal("x " + items[0][1] + " y"))] == [(1, 0)]
+    monkeypatch.setattr(decontaminate, "LONG", 400)
+    rng = random.Random(7)
+    long = " ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(130))
+    items = {1: long[:400].strip() + " a", 2: long[100:550] + "z", 3: long}
+    edited = list(long)
+    for at in rng.sample(range(len(long)), int(RATE * len(long))):
+        edited[at] = "y"
+    spoilt = list(edited)
+    for at in rng.sample([k for k, c in enumerate(edited) if c != "y"], 40):
+        spoilt[at] = "y"
+    # All edits in one part: over its own budget, within the item's.
+    one = long[:600] + "y" * int(RATE * len(long)) + long[600 + int(RATE * len(long)) :]
+    texts = ["this is a clean document about birds", "so " + items[2][-52:] + " it ends", long[:560] + "z", "x " + "".join(edited) + " x", "".join(spoilt), "q" * 70 + one, long[400:], long[:550] + "z" + long]
+    got = {(r.doc_id, r.item_id): r.edits for r in decontaminate.contaminated(docs_of(texts), spark.createDataFrame(list(items.items()), ITEMS)).collect()}
+    want = {(d, i): e for d in (3, 5) for i, t in items.items() if (e := distance(normal(t), normal(texts[d]))) <= int(RATE * len(normal(t)))}
+    assert {k: e for k, e in got.items() if k[0] in (3, 5)} == want and (3, 3) in want and (5, 3) in want
+    assert {k for k in got if k[0] not in (3, 5)} == {(2, 1), (2, 2), (7, 1), (7, 2), (7, 3)}
