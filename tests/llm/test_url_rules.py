@@ -27,7 +27,7 @@ def brute(url):
     if fits:
         best = max(fits, key=lambda r: len(r.name))
         return host, path, best.name, best.verdict
-    hit = next((p for p in PATTERN_RULES if re.search(p.pattern, (url or "").lower())), None)
+    hit = next((p for p in PATTERN_RULES if re.search(p.pattern, (url or "").translate(url_rules._LOWERED))), None)
     return host, path, None, hit.verdict if hit else "allow"
 
 
@@ -76,7 +76,7 @@ def test_ten_thousand_pattern_rules(spark, monkeypatch):
         if fits:
             best = max(fits, key=lambda r: (len(r.name), r.verdict, r.name))
             return best.name, best.verdict, None
-        hit = next((p for p, e in tried if e.search((url or "").lower())), None)
+        hit = next((p for p, e in tried if e.search((url or "").translate(url_rules._LOWERED))), None)
         return None, hit.verdict if hit else "allow", hit.pattern if hit else None
 
     want = {k: force(u) for k, u in enumerate(urls)}
@@ -92,3 +92,20 @@ def test_rules_from_files(spark, tmp_path):
     pages = spark.createDataFrame([(1, "http://a.b.c/n"), (2, "http://b.c/ok"), (3, "http://d/x1/"), (4, "http://d/x12/")], "page_id long, url string")
     rows = url_rules.judge_table(pages, *url_rules.read_rules(spark, f"file://{tmp_path}/r.json")).orderBy("page_id").collect()
     assert [r.verdict for r in rows] == ["block", "allow", "block", "allow"]
+
+
+@pytest.mark.parametrize("most", [200_000, 0])
+def test_odd_rules_are_one_whatever_their_number(spark, monkeypatch, most):
+    """Rules without a rank come last, ties go by pattern and verdict, expressions are Python's, A-Z alone are lowered."""
+    monkeypatch.setattr(url_rules, "MOST_RULES", most)
+    hosts = spark.createDataFrame([("block", "b.c", "/"), ("allow", "", "/")], url_rules.HOSTS)
+    rows = [(None, "block", "/a1/", ["a1"]), (7, "allow", "/a1/", ["a1"]), (None, "allow", "k2", ["k2"]), (3, "block", "z3", ["z3"]), (3, "allow", "z3", ["z3"]), (1, "block", r"(?P<x>q4)/(?P=x)", ["q4"]), (2, "block", "\u212a|5e", ["5e"])]
+    rules = spark.createDataFrame(rows, url_rules.PATTERNS)
+    urls = ["http://x/a1/", "http://x/K2", "http://x/z3", "http://x/q4/q4", "http://x/q4/q5", "http://b.c./x", "http://a.b.c/", "http://x./a1/", "http://x/\u212a", "http://x/5e", None, "A1/a1/"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    found = {r.page_id: (r.rule, r.verdict, r.pattern) for r in url_rules.judge_table(pages, hosts, rules).collect()}
+    want = [(None, "allow", "/a1/"), (None, "allow", "k2"), (None, "allow", "z3"), (None, "block", r"(?P<x>q4)/(?P=x)"), (None, "allow", None), (None, "allow", None), ("b.c/", "block", None), (None, "allow", "/a1/"), (None, "allow", None), (None, "block", "\u212a|5e"), (None, "allow", None), (None, "allow", "/a1/")]
+    assert found == dict(enumerate(want))
+    for bad in ((1, "block", "x", []), (1, "block", "x", None), (1, "block", "x", ["X"]), (1, "block", None, ["x"])):
+        with pytest.raises(ValueError):
+            url_rules.judge_table(pages, hosts, spark.createDataFrame([*rows, bad], url_rules.PATTERNS)).collect()
