@@ -6,7 +6,7 @@ is the fragment alone (titles have no full stop). A fixed table maps normalised
 with a variable part (years, holders) are mapped by their fixed beginning. Only fragments that begin with the first two words of a
 sentence of the table are looked up, which loses none. A licence rule is a sequence of identifiers that must occur in this order,
 with other licence sentences between allowed only where the rule says so; of the rules that match, longer ones take their
-identifiers before shorter ones are tried.
+identifiers before shorter ones are tried. A rule for what is left counts only where no other one matches.
 """
 
 from __future__ import annotations
@@ -31,11 +31,15 @@ class Sentence:
 
 @dataclass(frozen=True)
 class Rule:
-    """``ids`` in order name ``licence``; ``gap`` more licence sentences at most may stand between two of them."""
+    """``ids`` in order name ``licence``; ``gap`` more licence sentences at most may stand between two of them.
+
+    With ``alone`` the rule counts only where no rule without it matches.
+    """
 
     licence: str
     ids: tuple[str, ...]
     gap: int = 0
+    alone: bool = False
 
 
 # Published notices of well-known licences, sentence by sentence.
@@ -62,6 +66,19 @@ SENTENCES = (
     Sentence("agpl3-name", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007", prefix=True),
     Sentence("gpl3-free", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3", prefix=True),
     Sentence("gpl2-free", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2", prefix=True),
+    *(
+        Sentence(f"{family}{version.replace('.', '')}-free", f"This {thing} is free software; you can redistribute it and/or modify it under the terms of {text}", prefix=True)
+        for family, title, things, versions in (
+            ("gpl", "GNU General Public License", ("program", "file", "software"), ("2", "3")), ("lgpl", "GNU Lesser General Public License", ("library", "program", "file"), ("2", "2.1", "3")),
+            ("lgpl", "GNU Library General Public License", ("library",), ("2",)), ("agpl", "GNU Affero General Public License", ("program", "software"), ("3",)),
+        )
+        for thing in things
+        for version in versions
+        for text in (
+            f"the {title} as published by the Free Software Foundation; either version {version}", f"the {title} version {version}", f"the {title} v{version}",
+            f"version {version} of the {title}", f"the {title} as published by the Free Software Foundation; version {version}",
+        )
+    ),
     Sentence("gpl-free", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License", prefix=True),
     Sentence("lgpl-free", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License", prefix=True),
     Sentence("agpl-free", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License", prefix=True),
@@ -115,11 +132,14 @@ RULES = (
     Rule("GPL-3.0", ("gpl3-name",)),
     Rule("GPL-2.0", ("gpl2-free", "gpl-hope"), gap=1),
     Rule("GPL-2.0", ("gpl2-name",)),
-    Rule("GPL-3.0", ("gpl-free", "gpl-hope"), gap=1),
-    Rule("LGPL-2.1", ("lgpl-free", "lgpl-hope"), gap=1),
+    *(Rule(f"LGPL-{version}", (f"lgpl{name}-free", hope), gap=1) for name, version in (("2", "2.0"), ("21", "2.1"), ("3", "3.0")) for hope in ("lgpl-hope", "gpl-hope")),
+    Rule("AGPL-3.0", ("agpl3-free", "gpl-hope"), gap=1),
+    # Notices that name no version.
+    Rule("GPL", ("gpl-free", "gpl-hope"), gap=1),
+    Rule("LGPL", ("lgpl-free", "lgpl-hope"), gap=1),
     Rule("LGPL-2.1", ("lgpl21-name",)),
     Rule("LGPL-3.0", ("lgpl3-name",)),
-    Rule("AGPL-3.0", ("agpl-free", "gpl-hope"), gap=1),
+    Rule("AGPL", ("agpl-free", "gpl-hope"), gap=1),
     Rule("AGPL-3.0", ("agpl3-name",)),
     Rule("CC-BY-NC-4.0", ("cc-by-nc-4-name",)),
     Rule("CC-BY-4.0", ("cc-by-4-name",)),
@@ -138,7 +158,7 @@ RULES = (
     Rule("Unlicense", ("unlicense-free",)),
     Rule("WTFPL", ("wtfpl-title",)),
     *(Rule(name, (f"spdx-{name.lower()}",)) for name in TAGGED),
-    Rule("Proprietary", ("rights",)),
+    Rule("Proprietary", ("rights",), alone=True),
 )
 #: The end of a sentence or paragraph, a fragment of its own.
 END = "\x01"
@@ -231,7 +251,11 @@ def matched(ids: Column, rules: Sequence[Rule] = RULES) -> Column:
         found = F.concat(F.array(*found) if found else F.array().cast("array<struct<k:int,licence:string>>"), F.transform(F.split(rest, " +"), lambda i: F.try_element_at(table, i)))
     else:
         found = F.array(*found)
-    return F.array_distinct(F.transform(F.array_sort(F.array_compact(found)), lambda x: x["licence"]))
+    found = F.array_compact(found)
+    if left := [k for k, r in enumerate(rules) if r.alone]:
+        others = F.filter(found, lambda x: ~x["k"].isin(left))
+        found = F.when(F.size(others) > 0, others).otherwise(found)
+    return F.array_distinct(F.transform(F.array_sort(found), lambda x: x["licence"]))
 
 
 def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sentences: Sequence[Sentence] = SENTENCES, rules: Sequence[Rule] = RULES) -> DataFrame:
@@ -248,10 +272,10 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sen
 
 
 def read_tables(spark: SparkSession, path: str) -> tuple[tuple[Sentence, ...], tuple[Rule, ...]]:
-    """Sentences and rules from JSON lines: {"id", "text", "prefix"} and {"licence", "ids", "gap"}, rules in the order of ``rank``."""
-    rows = spark.read.schema("id string, text string, prefix boolean, licence string, ids array<string>, gap int, rank long").json(path).collect()
+    """Sentences and rules from JSON lines: {"id", "text", "prefix"} and {"licence", "ids", "gap", "alone"}, rules in the order of ``rank``."""
+    rows = spark.read.schema("id string, text string, prefix boolean, licence string, ids array<string>, gap int, alone boolean, rank long").json(path).collect()
     sentences = tuple(Sentence(r.id, r.text, bool(r.prefix)) for r in rows if r.id is not None)
-    return sentences, tuple(Rule(r.licence, tuple(r.ids), r.gap or 0) for r in sorted((r for r in rows if r.licence is not None), key=lambda r: (r.rank or 0, r.licence)))
+    return sentences, tuple(Rule(r.licence, tuple(r.ids), r.gap or 0, bool(r.alone)) for r in sorted((r for r in rows if r.licence is not None), key=lambda r: (r.rank or 0, r.licence)))
 
 
 def oracle(sentences: Sequence[Sentence] = SENTENCES, rules: Sequence[Rule] = RULES) -> str:
@@ -270,6 +294,7 @@ def oracle(sentences: Sequence[Sentence] = SENTENCES, rules: Sequence[Rule] = RU
         rest = f"regexp_replace({rest}, {quote(_pattern(rules[k]))}, '', 'g')"
     single = ", ".join(f"({quote(r.ids[0])}, {k})" for k, r in enumerate(rules) if len(r.ids) == 1)
     names = ", ".join(f"({k}, {quote(r.licence)})" for k, r in enumerate(rules))
+    left = ", ".join(str(k) for k, r in enumerate(rules) if r.alone) or "-1"
     other = _OTHER.replace(END, "\\x01")
     return f"""
 WITH {tables}, parts AS (
@@ -293,7 +318,7 @@ WITH {tables}, parts AS (
   SELECT rid, unnest([{", ".join(steps) or "NULL"}]) AS k FROM listed
   UNION ALL SELECT rid, s.k FROM (SELECT rid, unnest(string_split({rest}, ' ')) AS id FROM listed) AS r JOIN (VALUES {single}) AS s(id, k) ON r.id = s.id
 ), licences AS (
-  SELECT rid, string_agg(licence, ',' ORDER BY k) AS licences, count(*) AS n FROM (SELECT rid, licence, min(k) AS k FROM found JOIN (VALUES {names}) AS n(k, licence) USING (k) GROUP BY rid, licence) GROUP BY rid
+  SELECT rid, string_agg(licence, ',' ORDER BY k) AS licences, count(*) AS n FROM (SELECT rid, licence, min(k) AS k FROM (SELECT *, k IN ({left}) AS alone, min(CASE WHEN k IN ({left}) THEN 1 ELSE 0 END) OVER (PARTITION BY rid) AS only_alone FROM found WHERE k IS NOT NULL) AS f JOIN (VALUES {names}) AS n(k, licence) USING (k) WHERE NOT alone OR only_alone = 1 GROUP BY rid, licence) GROUP BY rid
 )
 SELECT doc_id, coalesce(array_to_string(listed.ids, ' '), '') AS sentences, coalesce(licences, '') AS licences, coalesce(n, 0) AS n_licences
 FROM parts LEFT JOIN listed USING (rid) LEFT JOIN licences USING (rid)"""

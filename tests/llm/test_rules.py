@@ -5,6 +5,7 @@ import unicodedata
 from collections import Counter
 from math import comb
 
+import duckdb
 from pyspark.sql import functions as F
 
 from skytally.llm import licenses, quality_rules
@@ -136,8 +137,8 @@ WRAPPED = {
     "Apache-2.0 ": "Apache License\nVersion 2.0, January 2004\nhttp://x",
     "GPL-2.0 ": "GNU GENERAL PUBLIC LICENSE\nVersion 2, June 1991\n\nCopyright (C) 1989",
     "GPL-2.0": of("gpl2-free")[0] + " of the License, or any later version. " + of("gpl-hope")[0] + ".",
-    "LGPL-2.1": of("lgpl-free")[0] + ". " + of("lgpl-hope")[0] + ".",
-    "AGPL-3.0": of("agpl-free")[0] + ". " + of("gpl-hope")[0] + ".",
+    "LGPL": of("lgpl-free")[0] + ". " + of("lgpl-hope")[0] + ".",
+    "AGPL": of("agpl-free")[0] + ". " + of("gpl-hope")[0] + ".",
     "BSD-3-Clause": f"{BSD[0]}:\n\n1. {BSD[1]}, this list.\n\n2. {BSD[2]} too.\n\n3. {BSD[3]} the holder.",
     "ISC": f"{of('isc-grant')[0]}\n\n{of('isc-as-is')[0]}.",
     "MPL-2.0": of("mpl2-name")[0] + " If a copy was not distributed.",
@@ -145,6 +146,33 @@ WRAPPED = {
 }
 
 
+HOPE = "{} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY."
+#: Notices as they stand in published sources, and what they name.
+NOTICES = [
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation. " + HOPE.format("This program")),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of version 2 of the GNU General Public License as published by the Free Software Foundation.\n\n" + HOPE.format("This program")),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms and conditions of nothing. SPDX-License-Identifier: GPL-2.0"),
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License, version 3, as published by X. " + HOPE.format("This program")),
+    ("GPL", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation. " + HOPE.format("This program")),
+    ("LGPL-3.0", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 3 of the License, or any later version.\n" + HOPE.format("This library")),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License. " + HOPE.format("This library")),
+    ("LGPL-2.0", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Library General Public License as published by the Free Software Foundation; either version 2 of the License. " + HOPE.format("This library")),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License. " + HOPE.format("This program")),
+    ("BSD-3-Clause", "Copyright (c) 2020, A Holder.\nAll rights reserved.\n\n" + WRAPPED["BSD-3-Clause"]),
+    ("Proprietary", "Copyright (c) 2020, A Holder. All rights reserved."),
+    ("MIT", "All rights reserved.\nReleased under the MIT License.\n"),
+]
+
+
+def test_versions_of_notices(spark, docs_of, same):
+    docs = docs_of([t for _, t in NOTICES])
+    rows = {r.doc_id: r.licences for r in licenses.scan(docs).collect()}
+    assert [rows[k] for k in range(len(NOTICES))] == [name for name, _ in NOTICES]
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    same(licenses.scan(docs), con, licenses.ORACLE_SQL)
+
+
 def test_wrapped_notices_behind_comment_marks(docs_of):
     """Real notices are broken at some width and stand in comments."""
 
