@@ -11,7 +11,7 @@ from skytally.functions.dialect import DUCKDB, fill
 from skytally.operators import analyst, casework, curves, decisions, detectors, economics, evaluation, formal, governance, graph, intake, outliers, privacy, records, sampling, silent, studies, timelines, transforms, versions
 from skytally.sources.shared import work_path
 from skytally.sources.telemetry import ORACLE_VIEW, load
-from skytally.streaming import windows
+from skytally.streaming import stateful, windows
 
 FLAGSHIP = "fused_scores"
 Query = Callable[[SparkSession, str], DataFrame]
@@ -115,8 +115,8 @@ def _stream(made: Callable[[DataFrame], DataFrame], mode: str = "append") -> Que
 
 
 def _stream_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Detectors by micro-batch: each batch's records are judged against the history within it."""
-    return windows.drained(windows.source(spark, sf_dir).drop("at"), "append", each=detectors.votes)
+    """Detectors over a stream with carried history: votes of the records that are settled once all has been read."""
+    return stateful.settled_votes(windows.source(spark, sf_dir))
 
 
 #: Windows are given out once the watermark, in whole milliseconds and five seconds behind the latest record, has passed their end.
@@ -218,7 +218,7 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
         _stream(windows.global_window, "complete"),
         f"SELECT CAST(CAST('0x' || substr(md5(function_id), 1, 8) AS BIGINT) % 4 AS INT) AS part, {_WINDOW} FROM {_VIEW} GROUP BY 1",
     ),
-    "stream_votes": (_stream_votes, f"SELECT * FROM ({detectors.ORACLE_SQL})"),
+    "stream_votes": (_stream_votes, f"SELECT * FROM ({detectors.ORACLE_SQL}) WHERE t_us <= (SELECT max(t_us) FROM {_VIEW}) - {stateful.LATENESS}"),
     "stream_deduplicated": (_stream(lambda x: windows.deduplicated(x).drop("at"), "append"), ORACLE_VIEW),
 }
 
