@@ -126,7 +126,7 @@ def broken_links(chain: DataFrame, *, by: str = "actor", order: Sequence[str] =
     return bad.groupBy(by).agg(F.min_by(order[-1], F.struct(*order)).alias("first_broken"), F.count("*").alias("n_broken"))
 
 
-def keep_newest(rows: DataFrame, n: int, *, by: str, order: str) -> DataFrame:
-    """The newest ``n`` rows of each group."""
-    rank = F.row_number().over(Window.partitionBy(by).orderBy(F.desc(order)))
+def keep_newest(rows: DataFrame, n: int, *, by: str, order: str, ties: str = "event_id") -> DataFrame:
+    """The newest ``n`` rows of each group; of equally new ones those with the larger ``ties``."""
+    rank = F.row_number().over(Window.partitionBy(by).orderBy(F.desc(order), F.desc(ties)))
     return rows.withColumn("_rank", rank).where(F.col("_rank") <= n).drop("_rank")

@@ -45,8 +45,8 @@ CASE_OF = _with("SELECT h.event_id, h.case_id, s.status FROM ({held}) AS h JOIN
 UNATTACHED = _with("SELECT d.event_id, d.function_id, d.decision FROM {rows} AS d LEFT ANTI JOIN (SELECT event_id FROM ({held}) AS h WHERE last_step = 1) AS a ON d.event_id = a.event_id WHERE d.decision <> 'observe'")
 UNATTACHED_SQL = UNATTACHED.replace("LEFT ANTI JOIN", "ANTI JOIN")
 
-#: Each case's last three events.
-COMMENTS = _with("SELECT case_id, version, step, event_id, place FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY version DESC) AS place FROM ({events}) AS e) AS r WHERE place <= 3")
+#: Each case's events, newest first.
+COMMENTS = _with("SELECT case_id, version, step, event_id, row_number() OVER (PARTITION BY case_id ORDER BY version DESC) AS place FROM ({events}) AS e")
 
 #: Inbox: by decision, how many are new, in open cases, and in closed ones.
 INBOX = _with("""

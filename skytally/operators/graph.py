@@ -6,16 +6,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skytally.functions.dialect import DUCKDB, SPARK, fill
+from skytally.operators import density
 from skytally.sources.shared import work_path
 
-#: Pairs of records of different functions at most 20 s apart: an equi-join on time buckets (own and next) with the exact condition left over.
-EDGES = """
+def edges_within(seconds: int = 20) -> str:
+    """Pairs of records of different functions at most so many seconds apart: an equi-join on time buckets (own and next) with the exact condition left over."""
+    return _EDGES.replace("20000000", str(seconds * 1_000_000))
+
+
+_EDGES = """
 WITH bucketed AS (SELECT event_id, function_id, t_us, phase, anomaly_type, truth, t_us <div> 20000000 AS bucket FROM {rows}),
 both_buckets AS (SELECT event_id, function_id, t_us, phase, truth, bucket AS slot FROM bucketed UNION ALL SELECT event_id, function_id, t_us, phase, truth, bucket + 1 AS slot FROM bucketed)
 SELECT a.event_id AS source, b.event_id AS target, round(0.4 * (1.0 - (b.t_us - a.t_us) / 20000000.0) + 0.25 * CASE WHEN a.phase = b.phase THEN 1.0 ELSE 0.0 END + 0.35 * CASE WHEN a.truth AND b.truth THEN 1.0 ELSE 0.0 END, 4) AS strength
 FROM both_buckets a JOIN bucketed b ON a.slot = b.bucket AND a.t_us < b.t_us AND b.t_us - a.t_us <= 20000000 AND a.function_id <> b.function_id
 WHERE 0.4 * (1.0 - (b.t_us - a.t_us) / 20000000.0) + 0.25 * CASE WHEN a.phase = b.phase THEN 1.0 ELSE 0.0 END + 0.35 * CASE WHEN a.truth AND b.truth THEN 1.0 ELSE 0.0 END > 0.5"""
 
+EDGES = edges_within()
+
 #: Degrees, strength and anomaly centrality (own score and the mean of the successors) of the records with edges out.
 CENTRALITY = f"""
 WITH edges AS ({EDGES}), own AS (SELECT event_id, 0.5 * CASE WHEN anomaly_type <> 'benign' THEN 1 ELSE 0 END + 0.2 * CASE WHEN duration > 5 THEN 1 ELSE 0 END + 0.2 * CASE WHEN memory > 100000 THEN 1 ELSE 0 END + 0.1 * CASE WHEN cpu > 80 THEN 1 ELSE 0 END AS score FROM {{rows}})
@@ -39,8 +46,8 @@ def run(text: str, rows: DataFrame) -> DataFrame:
     return rows.sparkSession.sql(fill(text, SPARK), rows=rows)
 
 
-def edges(telemetry: DataFrame) -> DataFrame:
-    return run(EDGES, telemetry)
+def edges(telemetry: DataFrame, seconds: int = 20) -> DataFrame:
+    return run(edges_within(seconds), telemetry)
 
 
 def pagerank(links: DataFrame, rounds: int = 5, damping: float = 0.85) -> DataFrame:
@@ -69,27 +76,32 @@ def oracle(text: str, view: str) -> str:
 
 
 _SLOTTED = """
-WITH placed AS (SELECT *, t_us <div> 300000000 AS slot, row_number() OVER (PARTITION BY function_id ORDER BY event_id) AS n, (t_us - lag(t_us) OVER (PARTITION BY function_id ORDER BY event_id)) / 1e6 AS gap FROM {rows}),
+WITH placed AS (SELECT *, t_us <div> {span} AS slot, row_number() OVER (PARTITION BY function_id ORDER BY event_id) AS n, (t_us - lag(t_us) OVER (PARTITION BY function_id ORDER BY event_id)) / 1e6 AS gap FROM {rows}),
 reach AS (SELECT *, slot AS meets FROM placed UNION ALL SELECT *, slot + 1 AS meets FROM placed)"""
-_PAIRED = "FROM reach a JOIN placed b ON a.function_id = b.function_id AND a.meets = b.slot AND b.t_us > a.t_us AND b.t_us - a.t_us <= 300000000"
+_PAIRED = "FROM reach a JOIN placed b ON a.function_id = b.function_id AND a.meets = b.slot AND b.t_us > a.t_us AND b.t_us - a.t_us <= {span}"
+#: Microseconds between cause and effect, and between records that correlate, at most. Fixed values.
+CAUSAL, CORRELATED = 300_000_000, 600_000_000
+_within = lambda text, span: text.replace("{span}", str(span))
 _ODD = "{x}.anomaly_type <> 'benign'"
 #: Causes and effects: records of one function at most five minutes apart, an equi-join on function and time slot. Strength: nearness in time .3, the function's own tie .15 x .8, and .1 for errors that go on (.7) or end (.3); 0.3 at least. Pairs grow with the square of a function's rate, as the relation itself does. Fixed values.
-STRENGTHS = f"""{_SLOTTED}
+STRENGTHS = f"""{_within(_SLOTTED, CAUSAL)}
 SELECT source, target, function_id, t_us, round(strength + 1e-10, 4) AS strength, kind FROM (
   SELECT a.event_id AS source, b.event_id AS target, a.function_id, b.t_us, 0.3 * (1.0 - (b.t_us - a.t_us) / 3e8) + 0.12 + 0.1 * CASE WHEN {_ODD.format(x="a")} AND {_ODD.format(x="b")} THEN 0.7 WHEN {_ODD.format(x="a")} THEN 0.3 ELSE 0.0 END AS strength,
-    CASE WHEN {_ODD.format(x="a")} AND {_ODD.format(x="b")} THEN 'error_propagation' WHEN a.phase = b.phase THEN 'same_phase' ELSE 'temporal' END AS kind {_PAIRED}
+    CASE WHEN {_ODD.format(x="a")} AND {_ODD.format(x="b")} THEN 'error_propagation' WHEN a.phase = b.phase THEN 'same_phase' ELSE 'temporal' END AS kind {_within(_PAIRED, CAUSAL)}
 ) AS weighed WHERE strength >= 0.3"""
 
 _NEAR = lambda x, scale: f"1.0 / (1.0 + abs(a.{x} - b.{x}) / {scale})"
-#: Edges of a function's records within five minutes: temporal, behavioural and causal correlation, the kinds that pass their thresholds, and the edge's confidence (more where several are strong). Fixed values.
-CORRELATIONS = f"""{_SLOTTED}
-SELECT source, target, round(temporal + 1e-10, 4) AS temporal, round(behavioural + 1e-10, 4) AS behavioural, round(causal + 1e-10, 4) AS causal, concat_ws(',', CASE WHEN temporal >= 0.2 THEN 'temporal' END, CASE WHEN behavioural >= 0.25 THEN 'behavioural' END, CASE WHEN causal >= 0.15 THEN 'causal' END) AS kinds,
-  round(least(1.0, (temporal + behavioural + causal) / 3.0 * CASE WHEN strong >= 2 THEN 1.2 WHEN strong = 1 AND fair >= 2 THEN 1.1 ELSE 1.0 END) + 1e-10, 4) AS confidence
-FROM (SELECT *, CASE WHEN temporal > 0.7 THEN 1 ELSE 0 END + CASE WHEN behavioural > 0.7 THEN 1 ELSE 0 END + CASE WHEN causal > 0.7 THEN 1 ELSE 0 END AS strong, CASE WHEN temporal BETWEEN 0.4 AND 0.7 THEN 1 ELSE 0 END + CASE WHEN behavioural BETWEEN 0.4 AND 0.7 THEN 1 ELSE 0 END + CASE WHEN causal BETWEEN 0.4 AND 0.7 THEN 1 ELSE 0 END AS fair FROM (
+#: Edges of a function's records within ten minutes: temporal, semantic, behavioural and causal correlation, the kinds that pass their thresholds, and the edge's confidence (more where several are strong). Fixed values.
+#: Of one function's records the names are alike, so semantic correlation is .8, and .1 more each for equal payloads and outcomes.
+CORRELATIONS = f"""{_within(_SLOTTED, CORRELATED)}
+SELECT source, target, round(temporal + 1e-10, 4) AS temporal, round(semantic + 1e-10, 4) AS semantic, round(behavioural + 1e-10, 4) AS behavioural, round(causal + 1e-10, 4) AS causal, concat_ws(',', CASE WHEN temporal >= 0.2 THEN 'temporal' END, CASE WHEN semantic >= 0.3 THEN 'semantic' END, CASE WHEN behavioural >= 0.25 THEN 'behavioural' END, CASE WHEN causal >= 0.15 THEN 'causal' END) AS kinds,
+  round(least(1.0, (temporal + semantic + behavioural + causal) / 4.0 * CASE WHEN strong >= 2 THEN 1.2 WHEN strong = 1 AND fair >= 2 THEN 1.1 ELSE 1.0 END) + 1e-10, 4) AS confidence
+FROM (SELECT *, CASE WHEN temporal > 0.7 THEN 1 ELSE 0 END + CASE WHEN semantic > 0.7 THEN 1 ELSE 0 END + CASE WHEN behavioural > 0.7 THEN 1 ELSE 0 END + CASE WHEN causal > 0.7 THEN 1 ELSE 0 END AS strong, CASE WHEN temporal BETWEEN 0.4 AND 0.7 THEN 1 ELSE 0 END + CASE WHEN behavioural BETWEEN 0.4 AND 0.7 THEN 1 ELSE 0 END + CASE WHEN causal BETWEEN 0.4 AND 0.7 THEN 1 ELSE 0 END AS fair FROM (
   SELECT a.event_id AS source, b.event_id AS target,
-    0.4 * (1.0 - (b.t_us - a.t_us) / 3e8) + 0.25 * CASE WHEN a.phase = b.phase THEN 1.0 ELSE 0.0 END + 0.2 * CASE WHEN coalesce(a.gap, 0) <= 0 OR coalesce(b.gap, 0) <= 0 THEN 0.5 ELSE least(a.gap, b.gap) / greatest(a.gap, b.gap) END + 0.15 / (1.0 + abs(a.n - b.n)) AS temporal,
+    0.4 * (1.0 - (b.t_us - a.t_us) / 6e8) + 0.25 * CASE WHEN a.phase = b.phase THEN 1.0 ELSE 0.0 END + 0.2 * CASE WHEN coalesce(a.gap, 0) <= 0 OR coalesce(b.gap, 0) <= 0 THEN 0.5 ELSE least(a.gap, b.gap) / greatest(a.gap, b.gap) END + 0.15 / (1.0 + abs(a.n - b.n)) AS temporal,
+    0.8 + 0.1 * CASE WHEN a.memory = b.memory THEN 1.0 ELSE 0.0 END + 0.1 * CASE WHEN a.anomaly_type = b.anomaly_type THEN 1.0 ELSE 0.0 END AS semantic,
     0.2 * {_NEAR("duration", "1.0")} + 0.2 * {_NEAR("memory", "10000.0")} + 0.15 * {_NEAR("cpu", "100.0")} + 0.1 * {_NEAR("network", "10000.0")} + 0.15 * CASE WHEN a.phase = b.phase THEN 1.0 ELSE 0.5 END + 0.1 * CASE WHEN a.anomaly_type = b.anomaly_type THEN 1.0 ELSE 0.0 END AS behavioural,
-    least(1.0, exp(-(b.t_us - a.t_us) / 6e7) * CASE WHEN a.memory > 50000 OR a.cpu > 80 THEN 1.5 ELSE 1.0 END * CASE WHEN {_ODD.format(x="a")} AND {_ODD.format(x="b")} THEN 1.3 ELSE 1.0 END) AS causal {_PAIRED} AND b.t_us - a.t_us <= 60000000
+    least(1.0, exp(-(b.t_us - a.t_us) / 6e7) * CASE WHEN a.memory > 50000 OR a.cpu > 80 THEN 1.5 ELSE 1.0 END * CASE WHEN {_ODD.format(x="a")} AND {_ODD.format(x="b")} THEN 1.3 ELSE 1.0 END) AS causal {_within(_PAIRED, CORRELATED)}
 ) AS correlated) AS counted"""
 
 #: Records, causal edges and density of each function's graph.
@@ -125,16 +137,6 @@ def suspicious_paths(telemetry: DataFrame, depth: int = 15) -> DataFrame:
     return walk.selectExpr("start", "length", f"{_RISK} AS risk").where("length >= 3 AND risk > 0.5")
 
 
-#: Attack paths: of each failure that took over 14 seconds its up to twenty strongest causes, their kinds, how long it built up, and how severe and sure that is.
-ATTACKED = f"""
-SELECT target, count(*) AS n_causes, round((max(own_us) - min(cause_us)) / 1e6, 3) AS seconds, CASE WHEN sum(CASE WHEN kind = 'error_propagation' THEN 1 ELSE 0 END) * 2 > count(*) THEN 'cascade' ELSE 'build_up' END AS kind,
-  CASE WHEN count(*) >= 15 THEN 'high' WHEN count(*) >= 5 THEN 'medium' ELSE 'low' END AS severity, round(least(0.9, avg(strength) * 2.0) + 1e-10, 4) AS confidence
-FROM (
-  SELECT s.target, s.strength, s.kind, s.t_us AS own_us, c.t_us AS cause_us, row_number() OVER (PARTITION BY s.target ORDER BY s.strength DESC, s.source) AS place
-  FROM ({STRENGTHS}) AS s JOIN (SELECT event_id FROM {{rows}} WHERE truth AND duration > 14) AS f ON s.target = f.event_id JOIN (SELECT event_id, t_us FROM {{rows}}) AS c ON s.source = c.event_id
-) AS ranked WHERE place <= 20 GROUP BY target"""
-
-
 def clusters(telemetry: DataFrame, k: int = 5, seed: int = 42) -> DataFrame:
     """Odd records in ``k`` groups by their standardised measures: cluster, size and mean measures. Fewer distinct records give fewer groups."""
     from pyspark.ml.clustering import KMeans
@@ -150,6 +152,13 @@ def clusters(telemetry: DataFrame, k: int = 5, seed: int = 42) -> DataFrame:
     return found.groupBy("cluster").agg(F.count("*").alias("n"), *(F.round(F.avg(f), 4).alias(f) for f in fields))
 
 
+def density_clusters(telemetry: DataFrame, eps: float = 0.5, least: int = 3) -> DataFrame:
+    """event_id, cluster and core of all odd records with all four measures, by density over their standardised measures (see ``density``)."""
+    fields = ["duration", "memory", "cpu", "network"]
+    odd = telemetry.where("anomaly_type <> 'benign'").select("event_id", *fields)
+    return density.density_clusters(density.standardised(odd, fields), fields, eps=eps, least=least)
+
+
 def distances(links: DataFrame) -> DataFrame:
     """origin, node, steps and number of shortest paths between the nodes of ``links`` (source, target), as far as one reaches another.
 

@@ -44,10 +44,17 @@ FROM (
   SELECT sum(p * (below + (c - p) / 2e0)) AS u, sum(c * 1e0 * c * c - c) AS ties FROM (SELECT c, p, sum(c - p) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - (c - p) AS below FROM ({_BY_SCORE}) AS counted) AS ranked
 ) AS ranks ON true"""
 
+#: The store's rows by 4,096 slots of their hashes, so that a stratum is numbered in many tasks.
+_DRAWN = f"SELECT event_id, {_TRUTH} AS truth, decision, decision <> 'observe' AS hit, <hash:event_id> AS h, <hash:event_id> <div> 1048576 AS slot FROM {{rows}}"
 #: Five folds with the same share of failures in each, and each fold's accuracy of the review threshold.
 FOLDS = f"""
 SELECT fold, count(*) AS n, CAST(sum(CASE WHEN truth THEN 1 ELSE 0 END) AS BIGINT) AS failures, round(avg(CASE WHEN hit = truth THEN 1e0 ELSE 0e0 END), 6) AS accuracy
-FROM (SELECT {_TRUTH} AS truth, decision <> 'observe' AS hit, (row_number() OVER (PARTITION BY {_TRUTH}, decision ORDER BY <hash:event_id>, event_id) - 1) % 5 AS fold FROM {{rows}}) AS dealt GROUP BY fold"""
+FROM (
+  SELECT truth, hit, (own + coalesce(before_slot, 0) - 1) % 5 AS fold
+  FROM (SELECT *, row_number() OVER (PARTITION BY truth, decision, slot ORDER BY h, event_id) AS own FROM ({_DRAWN}) AS drawn) AS o
+  JOIN (SELECT truth AS s_truth, decision AS s_decision, slot AS s_slot, sum(c) OVER (PARTITION BY truth, decision ORDER BY slot ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before_slot FROM (SELECT truth, decision, slot, count(*) AS c FROM ({_DRAWN}) AS drawn GROUP BY truth, decision, slot) AS counts) AS sums
+    ON truth = s_truth AND decision = s_decision AND slot = s_slot
+) AS dealt GROUP BY fold"""
 
 #: Mean score by resampling: each row counts 0 to 5 times in each of 50 samples, by a hash of its id and the sample (Poisson of mean 1).
 BOOTSTRAP = """
@@ -75,17 +82,18 @@ SELECT a.function_id AS first_id, b.function_id AS second_id, round(corr(a.f, b.
 #: Of pairs of a function's records within a minute, the share whose arrival and event times agree on the order.
 ORDER = """
 SELECT a.function_id, count(*) AS pairs, round(avg(CASE WHEN a.t_us <= b.t_us THEN 1e0 ELSE 0e0 END), 6) AS concordant
-FROM (SELECT event_id, function_id, t_us, t_us <div> 60000000 AS slot FROM {rows}) AS a JOIN (SELECT event_id, function_id, t_us, t_us <div> 60000000 AS slot FROM {rows}) AS b ON a.function_id = b.function_id AND a.slot = b.slot AND a.event_id < b.event_id GROUP BY a.function_id"""
+FROM (SELECT event_id, function_id, t_us, t_us <div> 60000000 + d AS slot FROM {rows} JOIN (SELECT <explode:<list:-1, 0, 1>> AS d) AS steps ON true) AS a JOIN (SELECT event_id, function_id, t_us, t_us <div> 60000000 AS slot FROM {rows}) AS b
+  ON a.function_id = b.function_id AND a.slot = b.slot AND a.event_id < b.event_id AND abs(a.t_us - b.t_us) <= 60000000 GROUP BY a.function_id"""
 
 #: Eleven features of a record for trained models.
 FEATURES = """
 SELECT event_id, duration, ln(1 + memory) AS log_memory, cpu, ln(1 + network) AS log_network, (t_us <div> 3600000000) % 24 AS hour, (t_us <div> 86400000000) % 7 AS weekday, CASE WHEN phase = 'invoke' THEN 1 ELSE 0 END AS invoked, CASE WHEN phase = 'error' THEN 1 ELSE 0 END AS failed,
   memory / (duration + 0.001) AS memory_rate, network / (duration + 0.001) AS network_rate, length(function_id) AS name_length FROM {rows}""".replace("ln(1 + memory)", "round(ln(1 + memory), 9)").replace("ln(1 + network)", "round(ln(1 + network), 9)")
 
-#: Training on benign records alone: by hash order the first 200 train, the next 50 and all others test.
+#: Training on benign records alone: by hash order the first 200 train, the next 50 and all others test. Only those 250 are ordered.
 SPLIT = """
-SELECT event_id, CASE WHEN anomaly_type <> 'benign' THEN 'test' WHEN place <= 200 THEN 'train' WHEN place <= 250 THEN 'test' ELSE 'spare' END AS part
-FROM (SELECT event_id, anomaly_type, row_number() OVER (PARTITION BY CASE WHEN anomaly_type = 'benign' THEN 0 ELSE 1 + event_id % 64 END ORDER BY <hash:event_id>, event_id) AS place FROM {rows}) AS ordered"""
+WITH picked AS (SELECT event_id AS id, row_number() OVER (ORDER BY h, event_id) AS place FROM (SELECT event_id, <hash:event_id> AS h FROM {rows} WHERE anomaly_type = 'benign' ORDER BY h, event_id LIMIT 250) AS first_ones)
+SELECT event_id, CASE WHEN anomaly_type <> 'benign' THEN 'test' WHEN place <= 200 THEN 'train' WHEN place <= 250 THEN 'test' ELSE 'spare' END AS part FROM {rows} LEFT JOIN picked ON event_id = id"""
 
 _MB = "(memory / 1024.0)"
 _PRICE = f"(0.0000166667 * {_MB} / 1024.0 * duration + 0.0000002 + network / 1073741824.0 * 0.00001)"

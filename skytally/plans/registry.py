@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skytally.functions.dialect import DUCKDB, fill
-from skytally.operators import analyst, casework, curves, decisions, detectors, economics, evaluation, formal, governance, graph, intake, outliers, privacy, records, sampling, silent, studies, timelines, transforms, versions
+from skytally.operators import analyst, attack, casework, curves, decisions, detectors, economics, evaluation, formal, governance, graph, intake, outliers, privacy, records, sampling, silent, studies, timelines, transforms, versions
 from skytally.sources.shared import work_path
 from skytally.sources.telemetry import ORACLE_VIEW, load
 from skytally.streaming import stateful, windows
@@ -166,7 +166,7 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     ),
     "keep_newest": (
         _on_store(lambda x: analyst.keep_newest(x.select("function_id", "event_id", "t_us"), 5, by="function_id", order="t_us")),
-        f"SELECT function_id, event_id, t_us FROM (SELECT *, row_number() OVER (PARTITION BY function_id ORDER BY t_us DESC) AS k FROM {_STORED}) WHERE k <= 5",
+        f"SELECT function_id, event_id, t_us FROM (SELECT *, row_number() OVER (PARTITION BY function_id ORDER BY t_us DESC, event_id DESC) AS k FROM {_STORED}) WHERE k <= 5",
     ),
     "threshold_sweep": (lambda s, d: evaluation.threshold_sweep(scored(s, d)), fill(evaluation.SWEEP, DUCKDB).format(rows=_SCORED, steps="range(5, 96) AS r(i)")),
     "roc_auc": (lambda s, d: evaluation.auc(scored(s, d)), fill(evaluation.AUC, DUCKDB).format(rows=_SCORED)),
@@ -264,7 +264,7 @@ for _name, _text in _STUDIED.items():
 _MEASURED = {
     "failure_correlation": studies.FAILURES, "order_accuracy": studies.ORDER, "model_features": studies.FEATURES, "benign_split": studies.SPLIT, "attack_scores": studies.ATTACKS, "completeness_scores": studies.COMPLETENESS,
     "change_levels": studies.CHANGES, "hourly_fingerprints": studies.FINGERPRINTS, "invocation_metrics": studies.METRICS, "metric_series": studies.SERIES,
-    "correlation_edges": graph.CORRELATIONS, "graph_density": graph.DENSITY, "causal_strengths": graph.STRENGTHS, "causal_successors": graph.SUCCESSORS, "attack_paths": graph.ATTACKED,
+    "correlation_edges": graph.CORRELATIONS, "graph_density": graph.DENSITY, "causal_strengths": graph.STRENGTHS, "causal_successors": graph.SUCCESSORS,
 }
 for _name, _text in _MEASURED.items():
     QUERIES[_name] = (_on_view(lambda x, text=_text: studies.run(text, x)), fill(_text, DUCKDB).format(rows=_VIEW.removesuffix(" AS telemetry")))
@@ -276,6 +276,8 @@ QUERIES["migrated_records"] = (
     _on_view(lambda x: versions.migrated(graph.run(versions.VERSIONED, x), "2.0")),
     fill(versions.migration("2.0", versions.SCHEMAS, versions.LINKS), DUCKDB).format(rows=f"({fill(versions.VERSIONED, DUCKDB).format(rows=_VIEW)}) AS versioned"),
 )
+QUERIES["attack_paths"] = (_on_view(attack.attack_paths), attack.oracle(_VIEW))
+QUERIES["density_clusters"] = (_on_view(graph.density_clusters), None)
 QUERIES["anomaly_clusters"] = (_on_view(graph.clusters), None)
 QUERIES["temporal_formulas"] = (_on_view(formal.properties), formal.properties_sql(_VIEW))
 QUERIES["fusion_uncertainty"] = (lambda s, d: studies.run(decisions.UNCERTAINTY, detectors.votes(load(s, d))), fill(decisions.UNCERTAINTY, DUCKDB).format(rows=f"({detectors.ORACLE_SQL})"))
