@@ -88,6 +88,11 @@ def run(text: str, rows: DataFrame) -> DataFrame:
     return rows.sparkSession.sql(fill(text, SPARK), rows=rows)
 
 
+def run_over(text: str, **tables: DataFrame) -> DataFrame:
+    """A text over several named tables."""
+    return next(iter(tables.values())).sparkSession.sql(fill(text, SPARK), **tables)
+
+
 def apply_view(detections: DataFrame, view: Mapping[str, object]) -> DataFrame:
     """Detections that a saved view shows: equality on ``decision``, ``function_id``, ``anomaly_type``; ``min_score``; ``since_us`` and ``until_us`` (half open). Other keys are an error."""
     rows = detections

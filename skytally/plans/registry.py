@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skytally.functions.dialect import DUCKDB, fill
-from skytally.operators import analyst, attack, casework, curves, decisions, detectors, economics, evaluation, formal, governance, graph, intake, outliers, privacy, records, sampling, silent, studies, timelines, transforms, versions
+from skytally.operators import analyst, attack, cases, casework, curves, decisions, detectors, economics, evaluation, formal, governance, graph, intake, outliers, privacy, records, sampling, silent, studies, timelines, transforms, versions
 from skytally.sources.shared import work_path
 from skytally.sources.telemetry import ORACLE_VIEW, load
 from skytally.streaming import stateful, windows
@@ -77,6 +77,10 @@ def _feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decisions.feedback_trust(rows.select("function_id", "t_us", "event_id", (F.col("event_id") % 3 != 0).alias("confirmed"), (F.col("tactic") == "impact").alias("impact"), "alignment"))
 
 
+def _outcomes(store: DataFrame) -> DataFrame:
+    return cases.outcomes(casework.run(cases.COMMANDS, store))
+
+
 def _redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return governance.redaction_report(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
@@ -276,6 +280,11 @@ QUERIES["migrated_records"] = (
     _on_view(lambda x: versions.migrated(graph.run(versions.VERSIONED, x), "2.0")),
     fill(versions.migration("2.0", versions.SCHEMAS, versions.LINKS), DUCKDB).format(rows=f"({fill(versions.VERSIONED, DUCKDB).format(rows=_VIEW)}) AS versioned"),
 )
+_COMMANDS = fill(cases.COMMANDS, DUCKDB).format(rows=_STORED)
+_OUTCOMES = f"({cases.outcomes_sql(_COMMANDS)})"
+QUERIES["case_outcomes"] = (_on_store(_outcomes), f"SELECT * FROM {_OUTCOMES}")
+QUERIES["case_events"] = (_on_store(lambda x: casework.run_over(cases.EVENTS, outcomes=_outcomes(x))), fill(cases.EVENTS, DUCKDB).format(outcomes=_OUTCOMES))
+QUERIES["case_states"] = (_on_store(lambda x: casework.run_over(cases.STATE, outcomes=_outcomes(x))), fill(cases.STATE, DUCKDB).format(outcomes=_OUTCOMES))
 QUERIES["attack_paths"] = (_on_view(attack.attack_paths), attack.oracle(_VIEW))
 QUERIES["density_clusters"] = (_on_view(graph.density_clusters), None)
 QUERIES["anomaly_clusters"] = (_on_view(graph.clusters), None)
