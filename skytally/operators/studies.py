@@ -44,6 +44,33 @@ FROM (
   SELECT sum(p * (below + (c - p) / 2e0)) AS u, sum(c * 1e0 * c * c - c) AS ties FROM (SELECT c, p, sum(c - p) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - (c - p) AS below FROM ({_BY_SCORE}) AS counted) AS ranked
 ) AS ranks ON true"""
 
+#: Two methods' accuracy by function and hour, the decision's and the rule chain's, as pairs.
+PAIRS = f"SELECT avg(CASE WHEN (decision <> 'observe') = ({_TRUTH}) THEN 1e0 ELSE 0e0 END) AS x, avg(CASE WHEN (rule_chain >= 0.5) = ({_TRUTH}) THEN 1e0 ELSE 0e0 END) AS y FROM {{rows}} GROUP BY function_id, t_us <div> 3600000000"
+_NODES = 2000
+_SIMPSON = f"CASE WHEN k = 0 OR k = {_NODES} THEN 1e0 WHEN k % 2 = 1 THEN 4e0 ELSE 2e0 END"
+
+
+#: Paired tests of pairs (x, y): signed ranks (equal pairs are left out, tied sizes share their mean rank, the variance is less by the ties) and Student's t. Two-sided chances are areas by Simpson's rule: of the normal curve up to z, and of cos^(n-2) up to atan(t / sqrt(n-1)), which is Student's curve. Fewer than two pairs give nulls; pairs that all differ alike have t 0, or 1e9 where they differ.
+
+
+def paired(pairs: str) -> str:
+    return f"""
+WITH apart AS (SELECT round(x - y, 12) AS d FROM ({pairs}) AS p WHERE x IS NOT NULL AND y IS NOT NULL),
+sizes AS (SELECT abs(d) AS a, count(*) AS c, sum(CASE WHEN d > 0 THEN 1e0 ELSE 0e0 END) AS pos FROM apart WHERE d <> 0 GROUP BY abs(d)),
+ranks AS (SELECT c, pos, coalesce(sum(c) OVER (ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + (c + 1) / 2e0 AS r FROM sizes),
+signed AS (SELECT coalesce(sum(c), 0) * 1e0 AS n, coalesce(sum(pos * r), 0e0) AS up, coalesce(sum((c - pos) * r), 0e0) AS down, coalesce(sum(c * 1e0 * c * c - c), 0e0) AS ties FROM ranks),
+means AS (SELECT count(*) AS m, avg(d) AS mean_d, stddev_samp(d) AS sd FROM apart),
+stats AS (
+  SELECT m, n, up, down, mean_d, CASE WHEN n > 0 THEN abs(least(up, down) - n * (n + 1) / 4e0) / sqrt(n * (n + 1) * (2 * n + 1) / 24e0 - ties / 48e0) ELSE 0e0 END AS z,
+    CASE WHEN m > 1 THEN CASE WHEN sd > 0 THEN abs(mean_d) / (sd / sqrt(m * 1e0)) WHEN mean_d = 0 THEN 0e0 ELSE 1e9 END END AS t FROM signed JOIN means ON true),
+ends AS (SELECT *, least(z, 9e0) AS z_end, least(atan(t / sqrt(v)), least(acos(-1e0) / 2, 12 / sqrt(v))) AS t_end, least(acos(-1e0) / 2, 12 / sqrt(v)) AS t_all FROM (SELECT *, CASE WHEN m > 1 THEN m - 1e0 END AS v FROM stats) AS s),
+areas AS (
+  SELECT m, n, up, down, mean_d, z, t, sum({_SIMPSON} * exp(-0.5 * (z_end * k / {_NODES}) * (z_end * k / {_NODES}))) * z_end / {_NODES} / 3e0 * 2 / sqrt(2 * acos(-1e0)) AS below_z,
+    CASE WHEN t IS NULL THEN NULL ELSE sum({_SIMPSON} * power(abs(cos(coalesce(t_end, 0e0) * k / {_NODES})), v - 1e0)) * t_end / nullif(sum({_SIMPSON} * power(abs(cos(coalesce(t_all, 0e0) * k / {_NODES})), v - 1e0)) * t_all, 0e0) END AS below_t
+  FROM ends JOIN (SELECT <explode:<sequence:0, {_NODES}>> AS k) AS nodes ON true GROUP BY m, v, n, up, down, mean_d, z, t, z_end, t_end, t_all)
+SELECT m AS pairs, CAST(n AS BIGINT) AS unequal, round(least(up, down), 4) AS w, round(z + 1e-10, 6) AS z, CASE WHEN m > 1 THEN round(greatest(0e0, 1 - below_z) + 1e-10, 6) END AS p_ranks, round(mean_d + 1e-10, 6) AS mean_difference, round(t + 1e-10, 6) AS t, CASE WHEN t IS NOT NULL THEN round(greatest(0e0, 1 - below_t) + 1e-10, 6) END AS p_t FROM areas"""
+
+
 #: The store's rows by 4,096 slots of their hashes, so that a stratum is numbered in many tasks.
 _DRAWN = f"SELECT event_id, {_TRUTH} AS truth, decision, decision <> 'observe' AS hit, <hash:event_id> AS h, <hash:event_id> <div> 1048576 AS slot FROM {{rows}}"
 #: Five folds with the same share of failures in each, and each fold's accuracy of the review threshold.

@@ -261,7 +261,7 @@ for _name, _text in _ON_STORE.items():
 QUERIES["unattached_detections"] = (_on_store(lambda x: casework.run(casework.UNATTACHED, x)), fill(casework.UNATTACHED_SQL, DUCKDB).format(rows=_STORED.removesuffix(" AS layer")))
 QUERIES["saved_view"] = (_on_store(lambda x: casework.apply_view(x, {"decision": "review", "min_score": 0.3, "function_id": "fn-3"})), f"SELECT * FROM {_STORED} WHERE decision = 'review' AND fused_score >= 0.3 AND function_id = 'fn-3'")
 _STUDIED = {
-    "calibration_sweep": studies.CALIBRATION, "signal_ablation": studies.ABLATION, "class_tests": studies.TESTS, "stratified_folds": studies.FOLDS, "bootstrap_interval": studies.BOOTSTRAP, "cost_benefit": studies.BENEFIT,
+    "calibration_sweep": studies.CALIBRATION, "signal_ablation": studies.ABLATION, "class_tests": studies.TESTS, "stratified_folds": studies.FOLDS, "bootstrap_interval": studies.BOOTSTRAP, "cost_benefit": studies.BENEFIT, "paired_tests": studies.paired(studies.PAIRS),
 }
 for _name, _text in _STUDIED.items():
     QUERIES[_name] = (_on_store(lambda x, text=_text: studies.run(text, x)), fill(_text, DUCKDB).format(rows=_STORED.removesuffix(" AS layer")))
@@ -287,6 +287,10 @@ QUERIES["case_events"] = (_on_store(lambda x: casework.run_over(cases.EVENTS, ou
 QUERIES["case_states"] = (_on_store(lambda x: casework.run_over(cases.STATE, outcomes=_outcomes(x))), fill(cases.STATE, DUCKDB).format(outcomes=_OUTCOMES))
 QUERIES["attack_paths"] = (_on_view(attack.attack_paths), attack.oracle(_VIEW))
 QUERIES["density_clusters"] = (_on_view(graph.density_clusters), None)
+QUERIES["chained_records"] = (
+    _on_view(lambda x: versions.migrated(graph.run(versions.VERSIONED, x), "3.0")),
+    fill(versions.migration("3.0", versions.SCHEMAS, versions.LINKS), DUCKDB).format(rows=f"({fill(versions.VERSIONED, DUCKDB).format(rows=_VIEW)}) AS versioned"),
+)
 QUERIES["anomaly_clusters"] = (_on_view(graph.clusters), None)
 QUERIES["temporal_formulas"] = (_on_view(formal.properties), formal.properties_sql(_VIEW))
 QUERIES["fusion_uncertainty"] = (lambda s, d: studies.run(decisions.UNCERTAINTY, detectors.votes(load(s, d))), fill(decisions.UNCERTAINTY, DUCKDB).format(rows=f"({detectors.ORACLE_SQL})"))
