@@ -1,6 +1,6 @@
 """Records on their way in: adaptation, full validation, cleaning, keyed hashes, preservation, quality, trust, schema inference, routing.
 
-Row by row, so nothing is shuffled. The texts run in Spark and in DuckDB.
+Row by row, in one projection each, so nothing is shuffled. The texts run in Spark and in DuckDB.
 """
 
 from __future__ import annotations
@@ -61,18 +61,27 @@ SELECT event_id, score, at_risk, CASE WHEN score >= 0.995 THEN 'none' WHEN score
   FROM ({ADAPTED}) AS adapted
 ) AS assessed"""
 
-#: Completeness of the seven required fields, trace identifier, and trust (confidence, less for extremes and errors, times completeness, from 0.1 to 1).
+_KEPT = f"(1.0 - ({' + '.join(f'CASE WHEN {c} THEN 1 ELSE 0 END' for c in _LOST.values())}) / {len(_LOST)}.0)"
+_CONFIDENCE = "greatest(0.1, CASE WHEN execution_phase = 'error' THEN 0.7 ELSE 1.0 END * CASE WHEN cpu > 95 THEN 0.9 ELSE 1.0 END * CASE WHEN duration > 10 THEN 0.8 ELSE 1.0 END)"
+_TRUST = f"round(greatest(0.1, least(1.0, {_CONFIDENCE} * {_KEPT})) + 1e-10, 4)"
+_TRACE = "<sha1:concat_ws('|', record_id, coalesce(function_name, ''), CAST(t_us AS <string>))>"
+#: Completeness of the seven required fields, trace identifier, and trust (confidence, less for extremes and errors, times the share of protected fields that is preserved, from 0.1 to 1).
 CONTEXT = f"""
-SELECT event_id, completeness, <sha1:concat_ws('|', record_id, coalesce(function_name, ''), CAST(t_us AS <string>))> AS trace_id, round(greatest(0.1, least(1.0, confidence * completeness)) + 1e-10, 4) AS trust FROM (
-  SELECT *, round(({" + ".join(f"CASE WHEN {f} IS NOT NULL THEN 1 ELSE 0 END" for f in _REQUIRED)}) / {len(_REQUIRED)}.0 + 1e-10, 4) AS completeness,
-    greatest(0.1, CASE WHEN execution_phase = 'error' THEN 0.7 ELSE 1.0 END * CASE WHEN cpu > 95 THEN 0.9 ELSE 1.0 END * CASE WHEN duration > 10 THEN 0.8 ELSE 1.0 END) AS confidence
-  FROM ({ADAPTED}) AS adapted
+SELECT event_id, completeness, {_TRACE} AS trace_id, {_TRUST} AS trust FROM (
+  SELECT *, round(({" + ".join(f"CASE WHEN {f} IS NOT NULL THEN 1 ELSE 0 END" for f in _REQUIRED)}) / {len(_REQUIRED)}.0 + 1e-10, 4) AS completeness FROM ({ADAPTED}) AS adapted
 ) AS rated"""
 
-#: The whole way in for records that pass: adapted, valid, signed, traced and trusted.
+#: Names without invisible characters and shell marks; the message's markup is escaped; other fields are critical and pass as they are.
+_CLEAN_NAME = "translate(<sub:function_name, '[\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufeff]', ''>, ';&|$`', '')"
+#: The whole way in for records that pass, in one projection of the record's own columns: adapted, checked, cleaned, its function's name made a keyed pseudonym, preserved, traced, trusted and signed.
 ACCEPTED = f"""
-SELECT c.event_id, s.signature, t.trace_id, t.trust, p.score AS preservation FROM ({CHECKED}) AS c JOIN ({SIGNED}) AS s ON c.event_id = s.event_id JOIN ({CONTEXT}) AS t ON c.event_id = t.event_id JOIN ({PRESERVED}) AS p ON c.event_id = p.event_id
-WHERE c.valid AND s.verified"""
+SELECT event_id, signature, trace_id, trust, preservation, clean_name, pseudonym, clean_message FROM (
+  SELECT *, <hmac:text> AS signature FROM (
+    SELECT event_id, {_CANON} AS text, CASE WHEN event_id % 50 = 7 THEN concat({_CANON}, ' ') ELSE {_CANON} END AS arrived, {_TRACE} AS trace_id, {_TRUST} AS trust, round({_KEPT} + 1e-10, 4) AS preservation,
+      {_CLEAN_NAME} AS clean_name, substr(<hmac:function_name>, 1, 32) AS pseudonym, <sub:replace(replace(coalesce(error_message, ''), '&', '&amp;'), '\"', '&quot;'), '[;|$`]', ''> AS clean_message
+    FROM ({ADAPTED}) AS adapted WHERE {" + ".join(f"CASE WHEN {c} THEN 1 ELSE 0 END" for _, c in _CHECKS)} = 0
+  ) AS said
+) AS sent WHERE <hmac:arrived> = signature"""
 
 # Fixed values of the example: versions with their required fields and all fields.
 _SCHEMAS = {"v1": (("event_id",), ("event_id", "duration")), "v2": (("event_id", "function_name"), ("event_id", "function_name", "duration", "memory")), "v3": (("event_id", "function_name", "error_message"), ("event_id", "function_name", "error_message", "cpu", "network"))}
