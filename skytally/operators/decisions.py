@@ -5,6 +5,8 @@ All of it is arithmetic on one row, so it adds no shuffle to the panel's; the fe
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -34,50 +36,52 @@ TECHNIQUES = (
 )
 DEFAULT_TECHNIQUE = ("collection", "T1059.009")
 
-_TOTAL = round(sum(WEIGHTS.get(n, 0.01) for n in NAMES), 6)
 
 
 def weight(name: str) -> float:
     return WEIGHTS.get(name, 0.01)
 
 
-def _votes(value: str) -> str:
-    return "(" + " + ".join(f"CASE WHEN {n}_detected THEN {weight(n)} * {value.format(n=n)} ELSE 0.0 END" for n in NAMES) + f") / {_TOTAL}"
-
-
 def _case(column: str, names: dict[str, object], other: object) -> str:
     quote = lambda x: f"'{x}'" if isinstance(x, str) else repr(x)
     return f"CASE {column} {' '.join(f'WHEN {quote(k)} THEN {quote(v)}' for k, v in names.items())} ELSE {quote(other)} END"
 
 
-_TYPES = sorted({"timeout_fallback", "memory_spike", "cpu_burst", "network_anomaly", "execution_failure", "economic_abuse", "cold_start", "io_intensive", "starvation_fallback"})
-_FOR_TYPE = {t: "(" + " + ".join(f"CASE WHEN {n}_detected AND {n}_type = '{t}' THEN {weight(n)} ELSE 0.0 END" for n in NAMES) + ")" for t in _TYPES}
-#: Of types with equal weight the first by name.
-_PRIMARY = "CASE WHEN greatest({all}) = 0 THEN 'benign' {when} END".format(
-    all=", ".join(f"w_{t}" for t in _TYPES), when=" ".join(f"WHEN w_{t} >= greatest({', '.join(f'w_{u}' for u in _TYPES)}) - 1e-9 THEN '{t}'" for t in _TYPES)
-)
-_COUNT = "(" + " + ".join(f"CASE WHEN {n}_detected THEN 1 ELSE 0 END" for n in NAMES) + ")"
-_NEED = max(2, min(3, len(NAMES) // 2))
+_TYPES = ("cold_start", "cpu_burst", "economic_abuse", "execution_failure", "io_intensive", "memory_spike", "network_anomaly", "starvation_fallback", "timeout_fallback")
 
 
 def _mean_of(*names: str) -> str:
     return "round((" + " + ".join(f"{n}_confidence" for n in names) + f") / {len(names)}.0 + 1e-10, 4)"
 
 
-FUSED = f"""
+def fused_text(weights: Mapping[str, float], types: Sequence[str] = _TYPES) -> str:
+    """Text that fuses the votes of the detectors named by ``weights``; ``types`` are the anomaly types that they may name."""
+    total, types = round(sum(weights.values()), 6), sorted(types)
+    votes = lambda value: "(" + " + ".join(f"CASE WHEN {n}_detected THEN {w} * {value.format(n=n)} ELSE 0.0 END" for n, w in weights.items()) + f") / {total}"
+    for_type = {t: "(" + " + ".join(f"CASE WHEN {n}_detected AND {n}_type = '{t}' THEN {w} ELSE 0.0 END" for n, w in weights.items()) + ")" for t in types}
+    most = f"greatest({', '.join(f'w_{t}' for t in types)})"
+    # Of types with equal weight the first by name.
+    primary = f"CASE WHEN {most} = 0 THEN 'benign' {' '.join(f'WHEN w_{t} >= {most} - 1e-9 THEN {chr(39)}{t}{chr(39)}' for t in types)} END"
+    count, need = "(" + " + ".join(f"CASE WHEN {n}_detected THEN 1 ELSE 0 END" for n in weights) + ")", max(2, min(3, len(weights) // 2))
+    return f"""
 SELECT event_id, t_us, function_id, phase, anomaly_type, duration, memory, cpu, network, truth, vote_score, vote_confidence, detectors_hit, consensus, primary_type,
-  vote_score > 0.5 AND vote_confidence > 0.6 AND detectors_hit >= {_NEED} AS anomaly, adversarial, economic, silent,
+  vote_score > 0.5 AND vote_confidence > 0.6 AND detectors_hit >= {need} AS anomaly, adversarial, economic, silent,
   round(least(1.0, 0.3 * severity / 10.0 + 0.25 * adversarial + 0.2 * economic + 0.15 * silent + 0.1 * (1.0 - vote_confidence)) + 1e-10, 4) AS risk
 FROM (
-  SELECT *, {_PRIMARY} AS primary_type FROM (
-    SELECT *, round({_votes("1.0")} + 1e-10, 4) AS vote_score, round({_votes("{n}_confidence")} + 1e-10, 4) AS vote_confidence, {_COUNT} AS detectors_hit, round({_COUNT} / {len(NAMES)}.0 + 1e-10, 4) AS consensus,
-      {", ".join(f"{v} AS w_{t}" for t, v in _FOR_TYPE.items())},
+  SELECT *, {primary} AS primary_type FROM (
+    SELECT *, round({votes("1.0")} + 1e-10, 4) AS vote_score, round({votes("{n}_confidence")} + 1e-10, 4) AS vote_confidence, {count} AS detectors_hit, round({count} / {len(weights)}.0 + 1e-10, 4) AS consensus,
+      {", ".join(f"{v} AS w_{t}" for t, v in for_type.items())},
       {_mean_of("security_anomaly", "behavioral_drift", "execution_pattern", "isolation_forest")} AS adversarial, {_mean_of("economic_abuse")} AS economic,
       {_mean_of("dependency_failure", "cascade_failure", "error_clustering", "resource_starvation")} AS silent, {_case("anomaly_type", SEVERITY, 5)} AS severity
     FROM {{rows}}
   ) AS weighed
 ) AS named"""
 
+
+FUSED = fused_text({n: weight(n) for n in NAMES})
+_TOTAL = round(sum(weight(n) for n in NAMES), 6)
+_VOTED = "(" + " + ".join(f"CASE WHEN {n}_detected THEN {weight(n)} ELSE 0.0 END" for n in NAMES) + f") / {_TOTAL}"
+
 _CLAMPED = {"rule_chain": 0.7, "drift_tracker": 0.65, "graph_immunized": 0.6, "semantic_deviation": 0.75}
 _SUM = round(sum(_CLAMPED.values()), 6)
 MATRIX = f"""
@@ -152,7 +156,7 @@ SELECT event_id, round(m + 1e-10, 4) AS mean_score, round(v + 1e-10, 6) AS varia
   round(abs(votes - m) + 1e-10, 4) AS data_uncertainty, <sub:<joined:<part:said, 1, 3>, ','>, '[0-9]+[|]', ''> AS contributors
 FROM (
   SELECT event_id, {" + ".join(_SHARES.values())} AS m, greatest(0.0, ({" + ".join(f"({v}) * ({v})" for v in _SHARES.values())}) - ({" + ".join(_SHARES.values())}) * ({" + ".join(_SHARES.values())}) / {len(NAMES)}.0) AS v,
-    {_votes("1.0")} AS votes, <sorted:<kept:<list:{_CONTRIBUTED}>>> AS said FROM {{rows}}
+    {_VOTED} AS votes, <sorted:<kept:<list:{_CONTRIBUTED}>>> AS said FROM {{rows}}
 ) AS summed"""
 
 #: Trust in a detector by its accuracy against the truth; fewer than ten records tell nothing yet. Fixed values.

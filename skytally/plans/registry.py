@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skytally.functions import registered
 from skytally.functions.dialect import DUCKDB, fill
-from skytally.operators import analyst, attack, cases, casework, curves, decisions, detectors, economics, evaluation, formal, governance, graph, intake, outliers, privacy, records, sampling, silent, studies, timelines, transforms, versions
+from skytally.operators import analyst, attack, cases, casework, consent, curves, decisions, detectors, economics, evaluation, formal, governance, graph, intake, outliers, panel, privacy, records, sampling, silent, studies, timelines, transforms, versions
 from skytally.sources.shared import work_path
 from skytally.sources.telemetry import ORACLE_VIEW, load
 from skytally.streaming import stateful, windows
@@ -291,6 +292,11 @@ QUERIES["chained_records"] = (
     _on_view(lambda x: versions.migrated(graph.run(versions.VERSIONED, x), "3.0")),
     fill(versions.migration("3.0", versions.SCHEMAS, versions.LINKS), DUCKDB).format(rows=f"({fill(versions.VERSIONED, DUCKDB).format(rows=_VIEW)}) AS versioned"),
 )
+#: The panel with a detector of one's own.
+_EXTENDED = panel.Panel().register(panel.EXAMPLE, 0.2)
+QUERIES["extended_panel"] = (_on_view(lambda x: _EXTENDED.fused(_EXTENDED.votes(x))), _EXTENDED.fused_sql())
+QUERIES["registered_functions"] = (_on_store(registered.technique_spread), registered.SPREAD_SQL.format(rows=_STORED))
+QUERIES["consent_decisions"] = (lambda s, d: consent.decided(s.read.parquet(f"{d}/events.parquet")), consent.ORACLE_SQL)
 QUERIES["anomaly_clusters"] = (_on_view(graph.clusters), None)
 QUERIES["temporal_formulas"] = (_on_view(formal.properties), formal.properties_sql(_VIEW))
 QUERIES["fusion_uncertainty"] = (lambda s, d: studies.run(decisions.UNCERTAINTY, detectors.votes(load(s, d))), fill(decisions.UNCERTAINTY, DUCKDB).format(rows=f"({detectors.ORACLE_SQL})"))
