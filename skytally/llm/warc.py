@@ -32,7 +32,7 @@ def _record(kind: str, record_id: Column, headers: list[tuple[str, Column]], blo
 
 
 def revisits(pages: DataFrame, least_bytes: int = 1000) -> DataFrame:
-    """``pages`` (page_id, url, payload) with payload_bytes, payload_digest and refers_to.
+    """``pages`` (page_id, url, payload) with payload_bytes, payload_digest, refers_to and its URL, refers_to_url.
 
     Of rows with equal payloads of ``least_bytes`` or more, those with the largest page_id are responses and the others refer to
     it; a row with a null page_id is a response. The largest id of each payload is aggregated before the shuffle, and only
@@ -44,26 +44,28 @@ def revisits(pages: DataFrame, least_bytes: int = 1000) -> DataFrame:
     long = rows.where((F.col("payload_bytes") >= least_bytes) & F.col("page_id").isNotNull())
     last = (
         long.groupBy("payload_digest", "payload_bytes")
-        .agg(F.max("page_id").alias("last_id"), F.min("page_id").alias("first_id"))
-        .where("first_id < last_id")
-        .select("payload_digest", "payload_bytes", "last_id")
+        .agg(F.max(F.struct("page_id", "url")).alias("last"), F.min("page_id").alias("first_id"))
+        .where("first_id < last.page_id")
+        .select("payload_digest", "payload_bytes", F.col("last.page_id").alias("last_id"), F.col("last.url").alias("last_url"))
     )
     joined = rows.join(last, ["payload_digest", "payload_bytes"], "left")
-    return joined.withColumn("refers_to", F.when(F.col("page_id") < F.col("last_id"), F.col("last_id"))).drop("last_id")
+    earlier = F.col("page_id") < F.col("last_id")
+    return joined.withColumns({"refers_to": F.when(earlier, F.col("last_id")), "refers_to_url": F.when(earlier, F.col("last_url"))}).drop("last_id", "last_url")
 
 
 def write_archives(pages: DataFrame, path: str | None = None, *, date: str = "2024-01-01T00:00:00Z", captures_per_file: int = 10_000) -> str:
     """Write three records per row of ``pages`` (page_id, url, html) and return the folder.
 
     Null html is an empty payload and a null URL gives no target. Line ends in a URL are percent-encoded in its header. Repeated
-    rows are separate captures: record ids are random. An empty table makes an empty folder; other columns are ignored.
+    rows are separate captures: record ids are random, so a revisit names what it refers to by its URI and date. An empty table makes an empty folder; other columns are ignored.
     """
     spark = pages.sparkSession
     path = path or work_path(spark, "warc")
     slim = pages.select(F.col("page_id").cast("long"), "url", F.coalesce(F.col("html"), F.lit("")).alias("payload"))
     ids = F.struct(*(F.format_string("<urn:uuid:%s>", F.uuid()).alias(k) for k in ("request", "response", "metadata")))
     rows = revisits(slim).withColumn("ids", ids)
-    uri = F.nullif(F.regexp_replace(F.regexp_replace("url", "\r", "%0D"), "\n", "%0A"), F.lit(""))
+    in_header = lambda url: F.nullif(F.regexp_replace(F.regexp_replace(url, "\r", "%0D"), "\n", "%0A"), F.lit(""))
+    uri = in_header("url")
     host = F.regexp_extract(uri, "^[^:]*://([^/?#]*)", 1)
     target = F.nullif(F.regexp_extract(uri, "^[^:]*://[^/?#]*([^#]*)", 1), F.lit(""))
     asked = F.concat(F.lit("GET "), F.coalesce(target, F.lit("/")), F.lit(f" HTTP/1.1{CRLF}Host: "), F.coalesce(host, F.lit("")), F.lit(CRLF + CRLF))
@@ -77,11 +79,11 @@ def write_archives(pages: DataFrame, path: str | None = None, *, date: str = "20
     concurrent = [*common, ("WARC-Concurrent-To", F.col("ids.response"))]
     digest = [*common, ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("payload_digest")))]
     http = ("Content-Type", F.lit("application/http; msgtype=response"))
-    profile = ("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))
+    profile = [("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")), ("WARC-Refers-To-Target-URI", in_header("refers_to_url")), ("WARC-Refers-To-Date", F.lit(date))]
     request = _record("request", F.col("ids.request"), [*concurrent, ("Content-Type", F.lit("application/http; msgtype=request"))], asked, date)
     response = F.when(
         F.col("refers_to").isNull(), _record("response", F.col("ids.response"), [*digest, http], F.concat(head, "payload"), date)
-    ).otherwise(_record("revisit", F.col("ids.response"), [*digest, profile, http], head, date))
+    ).otherwise(_record("revisit", F.col("ids.response"), [*digest, *profile, http], head, date))
     metadata = _record("metadata", F.col("ids.metadata"), [*concurrent, ("Content-Type", F.lit("application/warc-fields"))], notes, date)
     (
         rows.select(F.explode(F.array(request, response, metadata)).alias("value"))

@@ -36,6 +36,20 @@ def test_repeated_rows_refer_to_the_last_page(spark):
     assert got == [(1, "revisit", 2), (1, "revisit", 2), (2, "response", None), (2, "response", None)]
 
 
+def test_revisits_name_what_they_refer_to(spark, tmp_path):
+    """In the standard's own headers, which the reader gives back; a response without a URL can't be named by one."""
+    long, other = "y" * 1500, "z" * 1500
+    pages = spark.createDataFrame([(1, "http://a/1", long), (2, "http://b/2\n?x", long), (3, "http://c", other), (4, None, other)], "page_id long, url string, html string")
+    path = f"file://{tmp_path}/w"
+    warc.write_archives(pages, path)
+    headers = [h for f in Path(tmp_path, "w").glob("*.gz") for h, _ in warc.records_of(f.read_bytes())]
+    revisits = {h["warc-target-uri"]: h for h in headers if h["warc-type"] == "revisit"}
+    assert revisits["http://a/1"]["warc-refers-to-target-uri"] == "http://b/2%0A?x" and revisits["http://a/1"]["warc-refers-to-date"] == "2024-01-01T00:00:00Z"
+    assert "warc-refers-to-target-uri" not in revisits["http://c"] and len(revisits) == 2
+    rows = warc.assemble(warc.read_archives(spark, path)).where("response.type = 'revisit'").collect()
+    assert {r.response.refers_to_uri for r in rows} == {"http://b/2%0A?x", None}
+
+
 def test_empty(spark):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     assert report(spark, pages).count() == 0
