@@ -54,6 +54,10 @@ def _mean_of(*names: str) -> str:
     return "round((" + " + ".join(f"{n}_confidence" for n in names) + f") / {len(names)}.0 + 1e-10, 4)"
 
 
+#: Detectors whose votes are a record's markers of drift: in latency, memory, load and variance.
+DRIFTS = ("performance_regression", "memory_leak", "behavioral_drift", "trend_change")
+
+
 def fused_text(weights: Mapping[str, float], types: Sequence[str] = _TYPES) -> str:
     """Text that fuses the votes of the detectors named by ``weights``; ``types`` are the anomaly types that they may name."""
     total, types = round(sum(weights.values()), 6), sorted(types)
@@ -65,14 +69,14 @@ def fused_text(weights: Mapping[str, float], types: Sequence[str] = _TYPES) -> s
     count, need = "(" + " + ".join(f"CASE WHEN {n}_detected THEN 1 ELSE 0 END" for n in weights) + ")", max(2, min(3, len(weights) // 2))
     return f"""
 SELECT event_id, t_us, function_id, phase, anomaly_type, duration, memory, cpu, network, truth, vote_score, vote_confidence, detectors_hit, consensus, primary_type,
-  vote_score > 0.5 AND vote_confidence > 0.6 AND detectors_hit >= {need} AS anomaly, adversarial, economic, silent,
+  vote_score > 0.5 AND vote_confidence > 0.6 AND detectors_hit >= {need} AS anomaly, adversarial, economic, silent, drift_markers,
   round(least(1.0, 0.3 * severity / 10.0 + 0.25 * adversarial + 0.2 * economic + 0.15 * silent + 0.1 * (1.0 - vote_confidence)) + 1e-10, 4) AS risk
 FROM (
   SELECT *, {primary} AS primary_type FROM (
     SELECT *, round({votes("1.0")} + 1e-10, 4) AS vote_score, round({votes("{n}_confidence")} + 1e-10, 4) AS vote_confidence, {count} AS detectors_hit, round({count} / {len(weights)}.0 + 1e-10, 4) AS consensus,
       {", ".join(f"{v} AS w_{t}" for t, v in for_type.items())},
       {_mean_of("security_anomaly", "behavioral_drift", "execution_pattern", "isolation_forest")} AS adversarial, {_mean_of("economic_abuse")} AS economic,
-      {_mean_of("dependency_failure", "cascade_failure", "error_clustering", "resource_starvation")} AS silent, {_case("anomaly_type", SEVERITY, 5)} AS severity
+      {_mean_of("dependency_failure", "cascade_failure", "error_clustering", "resource_starvation")} AS silent, {_case("anomaly_type", SEVERITY, 5)} AS severity, {" + ".join(f"CASE WHEN {n}_detected THEN 1 ELSE 0 END" for n in DRIFTS)} AS drift_markers
     FROM {{rows}}
   ) AS weighed
 ) AS named"""
@@ -82,6 +86,12 @@ FUSED = fused_text({n: weight(n) for n in NAMES})
 _TOTAL = round(sum(weight(n) for n in NAMES), 6)
 _VOTED = "(" + " + ".join(f"CASE WHEN {n}_detected THEN {weight(n)} ELSE 0.0 END" for n in NAMES) + f") / {_TOTAL}"
 
+_COMPLETE = "(" + " + ".join(f"CASE WHEN {f} IS NULL THEN 0 ELSE 1 END" for f in ("function_id", "t_us", "phase", "anomaly_type", "duration", "memory", "cpu", "network")) + ") / 8.0"
+#: A record's parents are its function's records of the minute before it; its causal depth counts those before it in an unbroken chain, each at most a minute after the one before.
+_PARENTS = """SELECT *, row_number() OVER (PARTITION BY function_id, chain ORDER BY t_us, event_id) - 1 AS depth FROM (
+      SELECT *, sum(fresh) OVER (PARTITION BY function_id ORDER BY t_us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS chain, count(*) OVER (PARTITION BY function_id ORDER BY t_us RANGE BETWEEN 60000000 PRECEDING AND 1 PRECEDING) AS parents
+      FROM (SELECT *, CASE WHEN t_us - lag(t_us) OVER (PARTITION BY function_id ORDER BY t_us, event_id) <= 60000000 THEN 0 ELSE 1 END AS fresh FROM {rows}) AS gaps
+    ) AS chains"""
 _CLAMPED = {"rule_chain": 0.7, "drift_tracker": 0.65, "graph_immunized": 0.6, "semantic_deviation": 0.75}
 _SUM = round(sum(_CLAMPED.values()), 6)
 MATRIX = f"""
@@ -92,10 +102,10 @@ FROM (
   FROM (
     SELECT event_id, function_id, t_us, anomaly_type, {_case("anomaly_type", NORMALISED, "unknown")} AS label,
       CASE WHEN duration >= 1 THEN 0.2 ELSE 0.0 END + CASE WHEN memory >= 131072 THEN 0.3 ELSE 0.0 END + CASE WHEN cpu >= 80 THEN 0.25 ELSE 0.0 END + CASE WHEN network >= 4096 THEN 0.15 ELSE 0.0 END AS rule_chain,
-      least(1.0, economic * 0.25 + silent * 0.25) AS drift_tracker, 0.0 AS graph_immunized,
+      least(1.0, 0.25 * drift_markers + economic * 0.25 + silent * 0.25 + 0.15 * (1.0 - {_COMPLETE})) AS drift_tracker, least(1.0, parents / 8.0 + least(0.25, 0.05 * depth)) AS graph_immunized,
       least(1.0, CASE WHEN anomaly_type <> 'benign' THEN 0.45 ELSE 0.0 END + CASE WHEN phase IN ('init', 'invoke') THEN 0.1 ELSE 0.0 END + CASE WHEN anomaly_type = 'execution_failure' THEN 0.1 ELSE 0.0 END
         + CASE WHEN {_case("anomaly_type", SEVERITY, 5)} >= 7 THEN 0.1 ELSE 0.0 END) AS semantic_deviation
-    FROM {{rows}}
+    FROM ({_PARENTS}) AS chained
   ) AS signals
 ) AS weighed"""
 
