@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from skytally.functions import registered
 from skytally.functions.dialect import DUCKDB, fill
-from skytally.operators import analyst, attack, cases, casework, consent, curves, decisions, detectors, economics, evaluation, formal, governance, graph, intake, mapping, outliers, panel, privacy, records, sampling, silent, studies, timelines, transforms, versions
+from skytally.operators import analyst, attack, cases, casework, consent, curves, decisions, detectors, economics, evaluation, formal, governance, graph, intake, likeness, mapping, outliers, panel, privacy, records, sampling, silent, studies, timelines, transforms, versions
 from skytally.sources.shared import work_path
 from skytally.sources.telemetry import ORACLE_VIEW, load
 from skytally.streaming import stateful, windows
@@ -298,6 +298,7 @@ QUERIES["extended_panel"] = (_on_view(lambda x: _EXTENDED.fused(_EXTENDED.votes(
 QUERIES["registered_functions"] = (_on_store(registered.technique_spread), registered.SPREAD_SQL.format(rows=_STORED))
 QUERIES["normalised_events"] = (lambda s, d: mapping.normalised(mapping.raw_events(s.read.parquet(f"{d}/events.parquet"))), mapping.NORMALISED_SQL)
 QUERIES["mapped_fields"] = (_on_view(mapping.example), mapping.example_sql(_VIEW))
+QUERIES["payload_changes"] = (lambda s, d: likeness.changes(likeness.payloads(s.read.parquet(f"{d}/events.parquet")), "payload", by="user_id", order="event_id", id_col="event_id"), likeness.ORACLE_SQL)
 QUERIES["consent_decisions"] = (lambda s, d: consent.decided(s.read.parquet(f"{d}/events.parquet")), consent.ORACLE_SQL)
 QUERIES["anomaly_clusters"] = (_on_view(graph.clusters), None)
 QUERIES["temporal_formulas"] = (_on_view(formal.properties), formal.properties_sql(_VIEW))
