@@ -90,5 +90,6 @@ def oracle_sql() -> dict[str, str]:
         "op8_url_rules": url_rules.ORACLE_SQL,
         "op10_license_sentences": licenses.ORACLE_SQL,
         "op11_filter_audit": filter_audit.ORACLE_SQL,
+        "op12_vector_dedup": vector_dedup.ORACLE_SQL,
         "op13_sort_means": sort_means.ORACLE_SQL,
     }

@@ -270,3 +270,17 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str
     out = slim.join(told, ["fp", "fq"], "left")
     component = F.when(F.col("vec_id").isNotNull(), F.coalesce("component_id", "vec_id"))
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
+
+
+#: DuckDB SQL for ``near_duplicates`` over ``embeddings``: every pair, and all that links lead to.
+ORACLE_SQL = """
+WITH RECURSIVE v AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e,
+    coalesce(vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0, false) AS ok
+  FROM embeddings
+), l AS MATERIALIZED (
+  SELECT a.rid AS a, b.rid AS b, b.vec_id AS id FROM v a JOIN v b ON a.ok AND b.ok AND a.rid <> b.rid AND len(a.e) = len(b.e) WHERE a.e = b.e OR list_cosine_similarity(a.e, b.e) >= 0.95
+), reached AS (SELECT a AS x, b AS y FROM l UNION SELECT x, l.b FROM reached JOIN l ON y = l.a)
+SELECT v.vec_id, coalesce(n, 0) AS n_links, least(v.vec_id, coalesce(least_id, v.vec_id)) AS component_id, coalesce(v.vec_id = least(v.vec_id, coalesce(least_id, v.vec_id)), true) AS kept
+FROM v LEFT JOIN (SELECT a, count(*) AS n FROM l GROUP BY a) AS c ON c.a = v.rid LEFT JOIN (SELECT x, min(w.vec_id) AS least_id FROM reached JOIN v w ON w.rid = y GROUP BY x) AS m ON m.x = v.rid
+"""

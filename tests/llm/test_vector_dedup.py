@@ -96,6 +96,22 @@ def test_recall_at_the_threshold():
     assert (near(a) & near(b)).any(1).mean() >= 0.999
 
 
+def test_sql(spark, tables, duck, same):
+    """The table, and one with links, chains, copies and odd rows."""
+    import duckdb
+
+    from skytally.llm.registry import op12_vector_dedup
+
+    same(op12_vector_dedup(spark, tables), duck, vd.ORACLE_SQL)
+    v = clouds(7, 6, 8, dim=16)[:60]
+    rows = [*enumerate(v), (900, v[3]), (901, v[3]), (902, None), (903, [0.0] * 16), (904, [float("nan")] * 16), (905, v[0][:5])]
+    con = duckdb.connect()
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    con.execute("CREATE TABLE embeddings (vec_id BIGINT, embedding DOUBLE[])")
+    con.executemany("INSERT INTO embeddings VALUES (?, ?)", rows)
+    same(vd.near_duplicates(df), con, vd.ORACLE_SQL)
+
+
 def test_table(spark, tables):
     from skytally.llm.registry import op12_vector_dedup
 
