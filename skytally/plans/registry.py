@@ -23,13 +23,20 @@ def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decisions.decided(decisions.matrix(_panel(spark, sf_dir)))
 
 
-#: Where the store of a folder of tables was written, by Spark application.
-_WRITTEN: dict[tuple[str, str], str] = {}
+#: Where the store of a folder of tables was written, by Spark application and the state of its events.
+_WRITTEN: dict[tuple[str, str, int, int], str] = {}
+
+
+def _state(spark: SparkSession, path: str) -> tuple[int, int]:
+    """When a file or folder was last changed, and its bytes."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return files.getFileStatus(at).getModificationTime(), files.getContentSummary(at).getLength()
 
 
 def _store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The store as a table: the first query of an application writes the detections of a folder, all others read them."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    """The store as a table: the first query of an application writes the detections of a folder, all others read them until its events change."""
+    key = (spark.sparkContext.applicationId, sf_dir, *_state(spark, f"{sf_dir}/events.parquet"))
     if key not in _WRITTEN:
         path = work_path(spark, "store")
         stored(spark, sf_dir).write.parquet(path)
@@ -199,8 +206,8 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "previous_record": (_on_view(lambda x: graph.run(graph.AS_OF, x)), graph.oracle(graph.AS_OF, ORACLE_VIEW)),
     "function_transitions": (_on_view(lambda x: graph.run(graph.TRANSITIONS, x)), graph.oracle(graph.TRANSITIONS, ORACLE_VIEW)),
     "function_pagerank": (_on_view(lambda x: graph.pagerank(graph.run(graph.TRANSITIONS, x))), graph.pagerank_sql(graph.oracle(graph.TRANSITIONS, ORACLE_VIEW))),
-    "sampling_profile": (_on_view(lambda x: sampling.run(sampling.PROFILE, x)), graph.oracle(sampling.PROFILE, ORACLE_VIEW)),
-    "sampling_summary": (_on_view(lambda x: sampling.run(sampling.SUMMARY, x)), graph.oracle(sampling.SUMMARY, ORACLE_VIEW)),
+    "sampling_profile": (_on_view(lambda x: sampling.run(sampling.profile, x)), graph.oracle(sampling.PROFILE, ORACLE_VIEW)),
+    "sampling_summary": (_on_view(lambda x: sampling.run(sampling.summary, x)), graph.oracle(sampling.SUMMARY, ORACLE_VIEW)),
     "silent_failures": (_on_view(lambda x: silent.run(silent.PROBABILITY, x)), fill(silent.PROBABILITY, DUCKDB).format(rows=f"({ORACLE_VIEW})")),
     "dialogue_traces": (lambda s, d: silent.run(silent.TRACES, s.read.parquet(f"{d}/conversations.parquet")), fill(silent.TRACES, DUCKDB).format(rows="conversations")),
     "temporal_properties": (_on_view(lambda x: silent.run(silent.PROPERTIES, x)), graph.oracle(silent.PROPERTIES, ORACLE_VIEW)),
