@@ -58,8 +58,8 @@ def _mean_of(*names: str) -> str:
 DRIFTS = ("performance_regression", "memory_leak", "behavioral_drift", "trend_change")
 
 
-def fused_text(weights: Mapping[str, float], types: Sequence[str] = _TYPES) -> str:
-    """Text that fuses the votes of the detectors named by ``weights``; ``types`` are the anomaly types that they may name."""
+def fused_text(weights: Mapping[str, float], types: Sequence[str] = _TYPES, keep: Sequence[str] = ()) -> str:
+    """Text that fuses the votes of the detectors named by ``weights``; ``types`` are the anomaly types that they may name, ``keep`` more columns over the votes."""
     total, types = round(sum(weights.values()), 6), sorted(types)
     votes = lambda value: "(" + " + ".join(f"CASE WHEN {n}_detected THEN {w} * {value.format(n=n)} ELSE 0.0 END" for n, w in weights.items()) + f") / {total}"
     for_type = {t: "(" + " + ".join(f"CASE WHEN {n}_detected AND {n}_type = '{t}' THEN {w} ELSE 0.0 END" for n, w in weights.items()) + ")" for t in types}
@@ -70,7 +70,7 @@ def fused_text(weights: Mapping[str, float], types: Sequence[str] = _TYPES) -> s
     return f"""
 SELECT event_id, t_us, function_id, phase, anomaly_type, duration, memory, cpu, network, truth, vote_score, vote_confidence, detectors_hit, consensus, primary_type,
   vote_score > 0.5 AND vote_confidence > 0.6 AND detectors_hit >= {need} AS anomaly, adversarial, economic, silent, drift_markers,
-  round(least(1.0, 0.3 * severity / 10.0 + 0.25 * adversarial + 0.2 * economic + 0.15 * silent + 0.1 * (1.0 - vote_confidence)) + 1e-10, 4) AS risk
+  round(least(1.0, 0.3 * severity / 10.0 + 0.25 * adversarial + 0.2 * economic + 0.15 * silent + 0.1 * (1.0 - vote_confidence)) + 1e-10, 4) AS risk{"".join(f", {k}" for k in keep)}
 FROM (
   SELECT *, {primary} AS primary_type FROM (
     SELECT *, round({votes("1.0")} + 1e-10, 4) AS vote_score, round({votes("{n}_confidence")} + 1e-10, 4) AS vote_confidence, {count} AS detectors_hit, round({count} / {len(weights)}.0 + 1e-10, 4) AS consensus,

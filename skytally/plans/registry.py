@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from skytally.functions import registered
 from skytally.functions.dialect import DUCKDB, fill
-from skytally.operators import analyst, attack, cases, casework, consent, curves, decisions, detectors, economics, evaluation, formal, governance, graph, intake, likeness, mapping, outliers, panel, privacy, records, sampling, silent, studies, timelines, transforms, versions
+from skytally.operators import analyst, attack, cases, casework, confidence, consent, curves, decisions, detectors, economics, evaluation, formal, governance, graph, intake, likeness, mapping, outliers, panel, privacy, records, sampling, silent, studies, timelines, transforms, versions
 from skytally.sources.shared import work_path
 from skytally.sources.telemetry import ORACLE_VIEW, load
 from skytally.streaming import stateful, windows
@@ -310,6 +310,8 @@ QUERIES["consent_decisions"] = (lambda s, d: consent.decided(s.read.parquet(f"{d
 QUERIES["anomaly_clusters"] = (_on_view(graph.clusters), None)
 QUERIES["temporal_formulas"] = (_on_view(formal.properties), formal.properties_sql(_VIEW))
 QUERIES["fusion_uncertainty"] = (lambda s, d: studies.run(decisions.UNCERTAINTY, detectors.votes(load(s, d))), fill(decisions.UNCERTAINTY, DUCKDB).format(rows=f"({detectors.ORACLE_SQL})"))
+QUERIES["fusion_confidence"] = (lambda s, d: confidence.confidence(detectors.votes(load(s, d))), confidence.confidence_sql(detectors.ORACLE_SQL))
+QUERIES["panel_statistics"] = (lambda s, d: confidence.statistics(detectors.votes(load(s, d))), confidence.statistics_sql(detectors.ORACLE_SQL))
 QUERIES["detector_trust"] = (lambda s, d: decisions.detector_trust(detectors.votes(load(s, d))), decisions.detector_trust_sql(detectors.ORACLE_SQL))
 QUERIES["document_privacy"] = (lambda s, d: privacy.report(s.read.parquet(f"{d}/documents.parquet")), None)
 QUERIES["digest_library"] = (_on_view(privacy.digests), None)
