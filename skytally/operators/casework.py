@@ -41,6 +41,9 @@ FROM ({state}) AS s LEFT JOIN (
 #: The open case that a detection is attached to.
 CASE_OF = _with("SELECT h.event_id, h.case_id, s.status FROM ({held}) AS h JOIN ({state}) AS s ON h.case_id = s.case_id WHERE h.last_step = 1 AND s.status IN " + _OPEN)
 
+#: The case that each attached detection is in, whatever its state.
+ATTACHED = _with("SELECT h.event_id, h.case_id, s.status FROM ({held}) AS h JOIN ({state}) AS s ON h.case_id = s.case_id WHERE h.last_step = 1")
+
 #: Detections that aren't merely observed and are attached to no case.
 UNATTACHED = _with("SELECT d.event_id, d.function_id, d.decision FROM {rows} AS d LEFT ANTI JOIN (SELECT event_id FROM ({held}) AS h WHERE last_step = 1) AS a ON d.event_id = a.event_id WHERE d.decision <> 'observe'")
 UNATTACHED_SQL = UNATTACHED.replace("LEFT ANTI JOIN", "ANTI JOIN")

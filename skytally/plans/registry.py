@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from skytally.functions import registered
 from skytally.functions.dialect import DUCKDB, fill
-from skytally.operators import analyst, attack, cases, casework, confidence, consent, curves, decisions, detectors, economics, evaluation, formal, governance, graph, intake, likeness, mapping, outliers, panel, privacy, records, sampling, silent, studies, timelines, transforms, versions
+from skytally.operators import analyst, attack, cases, casework, confidence, consent, curves, decisions, detectors, economics, evaluation, formal, governance, graph, intake, likeness, mapping, outliers, panel, privacy, records, sampling, silent, studies, timelines, transforms, versions, views
 from skytally.sources.shared import work_path
 from skytally.sources.telemetry import ORACLE_VIEW, load
 from skytally.streaming import stateful, windows
@@ -307,6 +307,78 @@ QUERIES["normalised_events"] = (lambda s, d: mapping.normalised(mapping.raw_even
 QUERIES["mapped_fields"] = (_on_view(mapping.example), mapping.example_sql(_VIEW))
 QUERIES["payload_changes"] = (lambda s, d: likeness.changes(likeness.payloads(s.read.parquet(f"{d}/events.parquet")), "payload", by="user_id", order="event_id", id_col="event_id"), likeness.ORACLE_SQL)
 QUERIES["consent_decisions"] = (lambda s, d: consent.decided(s.read.parquet(f"{d}/events.parquet")), consent.ORACLE_SQL)
+
+
+def _attached(store: DataFrame) -> DataFrame:
+    """The case of each attached detection, as its own commands left it."""
+    return casework.run(casework.ATTACHED, store)
+
+
+#: Pages are opened at the end of January 2024, in whose days the events lie.
+_NOW = 1_706_659_200_000_000
+_SINCE, _UNTIL = views.window_of("30d", now_us=_NOW)
+_ATTACHED = f"({fill(casework.ATTACHED, DUCKDB).format(rows=_STORED.removesuffix(' AS layer'))})"
+_LISTED = f"SELECT function_id, technique, count(*) AS n, row_number() OVER (PARTITION BY function_id ORDER BY count(*) DESC, technique) AS place FROM (SELECT function_id, unnest(string_split(techniques, ',')) AS technique FROM {{rows}}) GROUP BY function_id, technique"
+
+
+def _function_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = _store(spark, sf_dir)
+    return views.function_page(store, _attached(store), now_us=_NOW, decision="review", technique="T10", sort="open_case_count_desc", limit=12, offset=2)
+
+
+def _function_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = _store(spark, sf_dir)
+    found = views.function_detail(store, _attached(store), since_us=_SINCE, until_us=_UNTIL)
+    return found.select("function_id", "observe", "review", "escalate", *(F.to_json(c).alias(c) for c in ("techniques", "line", "recent", "cases")))
+
+
+QUERIES["function_page"] = (
+    _function_page,
+    f"""WITH store AS MATERIALIZED (SELECT * FROM {_STORED}), held AS MATERIALIZED (SELECT * FROM {_ATTACHED} WHERE status <> 'closed'), picked AS (SELECT * FROM store WHERE decision = 'review' AND len(list_filter(string_split(techniques, ','), lambda t: starts_with(t, 'T10'))) > 0),
+counted AS (SELECT function_id, max(t_us) AS last_us, count(*) FILTER (WHERE t_us >= {_NOW - views.DAY}) AS n_day, count(*) FILTER (WHERE t_us >= {_NOW - 7 * views.DAY}) AS n_week, 'review' AS worst FROM picked GROUP BY function_id),
+cases AS (SELECT function_id, count(DISTINCT case_id) AS k FROM store JOIN held USING (event_id) GROUP BY function_id), top AS (SELECT function_id, string_agg(technique, ',' ORDER BY place) AS tops FROM ({_LISTED.format(rows="picked")}) WHERE place <= 3 GROUP BY function_id)
+SELECT c.function_id, last_us, n_day, n_week, worst, coalesce(k, 0) AS n_open_cases, coalesce(tops, '') AS top_techniques, (SELECT count(*) FROM counted) AS total FROM counted c LEFT JOIN cases USING (function_id) LEFT JOIN top USING (function_id) ORDER BY n_open_cases DESC, last_us DESC, function_id LIMIT 12 OFFSET 2""",
+)
+QUERIES["function_views"] = (
+    _function_views,
+    f"""WITH store AS MATERIALIZED (SELECT * FROM {_STORED}), held AS MATERIALIZED (SELECT * FROM {_ATTACHED} WHERE status <> 'closed'), rows_ AS MATERIALIZED (SELECT * FROM store WHERE t_us >= {_SINCE} AND t_us < {_UNTIL}),
+mix AS (SELECT function_id, count(*) FILTER (WHERE decision = 'observe') AS observe, count(*) FILTER (WHERE decision = 'review') AS review, count(*) FILTER (WHERE decision = 'escalate') AS escalate FROM rows_ GROUP BY function_id),
+top AS (SELECT function_id, list(struct_pack(technique := technique, n := n) ORDER BY place) AS techniques FROM ({_LISTED.format(rows="rows_")}) WHERE place <= 5 GROUP BY function_id),
+line AS (SELECT function_id, list(struct_pack(bin := bin, n := n, worst := worst) ORDER BY bin) AS line FROM (SELECT function_id, t_us // 86400000000 * 86400000000 AS bin, count(*) AS n, {_RANKED} AS worst FROM rows_ GROUP BY 1, 2) GROUP BY function_id),
+recent AS (SELECT function_id, list(struct_pack(event_id := event_id, t_us := t_us, decision := decision, anomaly_type := anomaly_type) ORDER BY k) AS recent FROM (SELECT *, row_number() OVER (PARTITION BY function_id ORDER BY t_us DESC, event_id DESC) AS k FROM rows_) WHERE k <= 20 GROUP BY function_id),
+cases AS (SELECT function_id, list(struct_pack(case_id := case_id, status := status) ORDER BY case_id) AS cases FROM (SELECT DISTINCT function_id, case_id, status FROM store JOIN held USING (event_id)) GROUP BY function_id)
+SELECT function_id, observe, review, escalate, {", ".join(f"coalesce(CAST(to_json({c}) AS VARCHAR), '[]') AS {c}" for c in ("techniques", "line", "recent", "cases"))}
+FROM mix LEFT JOIN top USING (function_id) LEFT JOIN line USING (function_id) LEFT JOIN recent USING (function_id) LEFT JOIN cases USING (function_id)""",
+)
+#: All reviews are put into one case at once; what was in another case stays there.
+QUERIES["bulk_attach"] = (
+    _on_store(lambda x: views.bulk_action(x.where("decision = 'review'"), _attached(x), "attach", case_id="sweep")),
+    f"SELECT s.event_id, CASE WHEN a.case_id IS NULL THEN 'sweep' END AS case_id, a.case_id IS NULL AS ok, CASE WHEN a.case_id IS NOT NULL THEN 'already_attached' END AS error FROM {_STORED.removesuffix(' AS layer')} AS s LEFT JOIN {_ATTACHED} AS a USING (event_id) WHERE decision = 'review'",
+)
+QUERIES["bulk_dismiss"] = (
+    _on_store(lambda x: views.bulk_action(x.where("decision <> 'observe'"), _attached(x), "dismiss")),
+    f"SELECT s.event_id, a.case_id, true AS ok, CAST(NULL AS VARCHAR) AS error FROM {_STORED.removesuffix(' AS layer')} AS s LEFT JOIN {_ATTACHED} AS a USING (event_id) WHERE decision <> 'observe'",
+)
+QUERIES["exported_detections"] = (
+    _on_store(views.exported),
+    f"SELECT CAST(event_id AS VARCHAR) AS event_id, CAST(t_us AS VARCHAR) AS t_us, function_id, anomaly_type, decision, printf('%.4f', round(fused_score + 1e-10, 4)) AS fused_score, band, replace(techniques, ',', ';') AS techniques FROM {_STORED}",
+)
+
+
+def _trail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event as an action of its function on the audit trail."""
+    return load(spark, sf_dir).select(F.col("function_id").alias("actor"), F.col("t_us").alias("ts"), F.col("event_id").alias("id"), F.col("phase").alias("action"))
+
+
+_TRAIL = f"(SELECT function_id AS actor, t_us AS ts, event_id AS id, phase AS action FROM {_VIEW}) AS trail"
+QUERIES["audit_page"] = (
+    lambda s, d: views.audit_page(_trail(s, d), actor="fn-3", action="invoke", until=_NOW, limit=20, offset=5),
+    f"SELECT *, count(*) OVER () AS total FROM {_TRAIL} WHERE actor = 'fn-3' AND action = 'invoke' AND ts <= {_NOW} ORDER BY ts DESC, id DESC LIMIT 20 OFFSET 5",
+)
+QUERIES["audit_summary"] = (
+    lambda s, d: views.audit_summary(_trail(s, d)),
+    f"SELECT actor, action, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts, count(DISTINCT ts // 86400000000) AS n_days FROM {_TRAIL} GROUP BY ROLLUP (actor, action)",
+)
 QUERIES["anomaly_clusters"] = (_on_view(graph.clusters), None)
 QUERIES["temporal_formulas"] = (_on_view(formal.properties), formal.properties_sql(_VIEW))
 QUERIES["fusion_uncertainty"] = (lambda s, d: studies.run(decisions.UNCERTAINTY, detectors.votes(load(s, d))), fill(decisions.UNCERTAINTY, DUCKDB).format(rows=f"({detectors.ORACLE_SQL})"))
