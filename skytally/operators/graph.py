@@ -205,6 +205,51 @@ def centralities_sql(links: str, steps: int = 8) -> str:
     return f"WITH {', '.join(parts)}{_CENTRAL.format(links='links', pairs=f'k{steps}').replace('WITH ', ', ', 1)}"
 
 
+def eigenvector(links: DataFrame, rounds: int = 100, tolerance: float = 1e-6, every: int = 10) -> DataFrame:
+    """node and score of each node of ``links`` (source, target): the leading eigenvector of who links to whom, of length one, by power iteration.
+
+    A round adds to a node's score those of the nodes that link to it: one join and one sum, as every node also links to itself. After
+    ``every`` so many rounds the scores, one row a node, are scaled to length one and written; it ends once they together move by
+    less than ``tolerance`` a node from one writing to the next. Loops count, repeated links once, null ends not at all; not settled in
+    ``rounds`` is an error, no links give no rows.
+    """
+    spark, path = links.sparkSession, work_path(links.sparkSession, "eigenvector")
+    links.select("source", "target").dropna().distinct().write.parquet(f"{path}/links")
+    linked = spark.read.parquet(f"{path}/links")
+    nodes = linked.select(F.explode(F.array("source", "target")).alias("node")).distinct()
+    linked.unionByName(nodes.selectExpr("node AS source", "node AS target")).write.parquet(f"{path}/steps")
+    steps = spark.read.parquet(f"{path}/steps")
+    nodes.select("node", F.lit(1.0).alias("score")).write.parquet(f"{path}/rounds=0")
+    now = spark.read.parquet(f"{path}/rounds=0")
+    n, moved = now.count(), None
+    for done in range(every, rounds + 1, every):
+        before = now.select(F.col("node").alias("_node"), F.col("score").alias("before"))
+        for _ in range(every):
+            now = steps.join(now, F.col("source") == F.col("node")).groupBy(F.col("target").alias("node")).agg(F.sum("score").alias("score"))
+        now.write.parquet(f"{path}/grown={done}")
+        grown = spark.read.parquet(f"{path}/grown={done}")
+        length = grown.agg(F.sqrt(F.sum(F.col("score") * F.col("score"))).alias("length"))
+        grown.join(F.broadcast(length)).select("node", (F.col("score") / F.col("length")).alias("score")).write.parquet(f"{path}/rounds={done}")
+        now = spark.read.parquet(f"{path}/rounds={done}")
+        moved = now.join(before, F.col("node") == F.col("_node")).agg(F.sum(F.abs(F.col("score") - F.col("before"))).alias("moved")).first()["moved"]
+        if moved is None or moved < n * tolerance:
+            return now.select("node", F.round("score", 6).alias("score"))
+    raise ValueError(f"scores still move by {moved} in {rounds} rounds")
+
+
+def eigenvector_sql(links: str, rounds: int = 100, tolerance: float = 1e-6) -> str:
+    """The same with every round as a row of all scores, in the order of their names."""
+    return f"""WITH RECURSIVE links AS MATERIALIZED (SELECT DISTINCT source, target FROM ({links}) AS l WHERE source IS NOT NULL AND target IS NOT NULL),
+nodes AS MATERIALIZED (SELECT node, row_number() OVER (ORDER BY node) AS k FROM (SELECT source AS node FROM links UNION SELECT target FROM links) AS u),
+weights AS MATERIALIZED (SELECT list(CASE WHEN a.k = b.k THEN 1e0 ELSE 0e0 END + CASE WHEN l.source IS NULL THEN 0e0 ELSE 1e0 END ORDER BY a.k, b.k) AS w, (SELECT count(*) FROM nodes) AS n FROM nodes a CROSS JOIN nodes b LEFT JOIN links l ON l.target = a.node AND l.source = b.node),
+steps AS (
+  SELECT 0 AS r, list_transform(range(n), lambda i: 1e0) AS x, list_transform(range(n), lambda i: 1e0) AS b, false AS settled FROM weights
+  UNION ALL SELECT r + 1, y, CASE WHEN (r + 1) % 10 = 0 THEN y ELSE b END, (r + 1) % 10 = 0 AND list_sum(list_transform(list_zip(y, b), lambda z: abs(z[1] - z[2]))) < n * {tolerance!r}
+  FROM (SELECT *, list_transform(g, lambda v: v / sqrt(list_dot_product(g, g))) AS y FROM (SELECT r, b, n, list_transform(range(n), lambda i: list_dot_product(w[i * n + 1:i * n + n], x)) AS g FROM steps, weights WHERE NOT settled AND r < {rounds}) AS grown) AS scaled
+)
+SELECT node, round(x[k], 6) AS score FROM nodes, steps WHERE settled"""
+
+
 _BRACES = "replace(<sub:<sub:coalesce(payload, ''), '\"[^\"]*\"', ''>, '[^{{}}]', ''>, '{{}}', '')"
 _UNIT = ", ".join(f"round(CASE WHEN norm > 0 THEN {x} / norm ELSE 0.0 END + 1e-10, 6) AS {x}" for x in ("n_parts", "is_handler", "is_api", "depth", "n_keys", "nested", "failed", "failure_kind"))
 #: Features of a record's texts as a vector of length one: parts of the function's name, its flags, depth and names of the payload (JSON; objects in lists count too), whether there is a message and its kind (fixed values). Null texts give zeros; escaped quotes within a payload's strings aren't parsed.

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from skytally.functions import registered
 from skytally.functions.dialect import DUCKDB, fill
-from skytally.operators import analyst, attack, cases, casework, confidence, consent, curves, decisions, detectors, economics, evaluation, formal, governance, graph, intake, likeness, mapping, outliers, panel, privacy, records, sampling, silent, studies, timelines, transforms, versions, views
+from skytally.operators import analyst, attack, cases, casework, confidence, consent, curves, decisions, detectors, economics, evaluation, formal, governance, graph, intake, likeness, mapping, outliers, panel, privacy, records, rules, sampling, silent, studies, timelines, transforms, versions, views
 from skytally.sources.shared import work_path
 from skytally.sources.telemetry import ORACLE_VIEW, load
 from skytally.streaming import stateful, windows
@@ -283,6 +283,7 @@ for _name, _text in _MEASURED.items():
 QUERIES["suspicious_paths"] = (_on_view(graph.suspicious_paths), graph.PATHS_SQL.format(successors=fill(graph.SUCCESSORS, DUCKDB).format(rows=_VIEW.removesuffix(" AS telemetry"))))
 _OFTEN = "source <> target AND lift > 1"
 QUERIES["function_centralities"] = (_on_view(lambda x: graph.centralities(graph.run(graph.TRANSITIONS, x).where(_OFTEN))), graph.centralities_sql(f"SELECT * FROM ({graph.oracle(graph.TRANSITIONS, ORACLE_VIEW)}) AS t WHERE {_OFTEN}"))
+QUERIES["function_eigenvector"] = (_on_view(lambda x: graph.eigenvector(graph.run(graph.TRANSITIONS, x).where(_OFTEN))), graph.eigenvector_sql(f"SELECT * FROM ({graph.oracle(graph.TRANSITIONS, ORACLE_VIEW)}) AS t WHERE {_OFTEN}"))
 QUERIES["text_features"] = (lambda s, d: graph.run(graph.TEXTS, graph.run(graph.TEXTS_OF, s.read.parquet(f"{d}/events.parquet"))), _layers(graph.TEXTS, inner=f"({fill(graph.TEXTS_OF, DUCKDB).format(rows='events')}) AS texts").removeprefix("(").removesuffix(") AS layer"))
 QUERIES["migrated_records"] = (
     _on_view(lambda x: versions.migrated(graph.run(versions.VERSIONED, x), "2.0")),
@@ -379,6 +380,10 @@ QUERIES["audit_summary"] = (
     lambda s, d: views.audit_summary(_trail(s, d)),
     f"SELECT actor, action, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts, count(DISTINCT ts // 86400000000) AS n_days FROM {_TRAIL} GROUP BY ROLLUP (actor, action)",
 )
+QUERIES["page_rules"] = (
+    lambda s, d: rules.checked(s.sql(rules.PAGES + "parquet.`" + d + "/pages.parquet`"), rules.PAGE_RULES, id_col="page_id"),
+    rules.checked_sql(f"({rules.PAGES} pages)", rules.PAGE_COLUMNS, rules.PAGE_RULES, id_col="page_id"),
+)
 QUERIES["anomaly_clusters"] = (_on_view(graph.clusters), None)
 QUERIES["temporal_formulas"] = (_on_view(formal.properties), formal.properties_sql(_VIEW))
 QUERIES["fusion_uncertainty"] = (lambda s, d: studies.run(decisions.UNCERTAINTY, detectors.votes(load(s, d))), fill(decisions.UNCERTAINTY, DUCKDB).format(rows=f"({detectors.ORACLE_SQL})"))

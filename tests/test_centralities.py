@@ -3,6 +3,8 @@
 import random
 from collections import deque
 
+import pytest
+
 from skytally.operators import graph
 
 
@@ -50,6 +52,29 @@ def test_no_links(spark):
     agree(spark, [])
 
 
+def test_eigenvector_is_the_leading_one(spark):
+    """Against numpy on a strongly linked graph; loops count, repeats and null ends don't."""
+    import numpy as np
+
+    links = [("a", "b"), ("b", "c"), ("c", "a"), ("a", "c"), ("c", "d"), ("d", "a"), ("b", "b"), ("a", "b"), (None, "a"), ("d", None)]
+    got = {r.node: r.score for r in graph.eigenvector(spark.createDataFrame(links, "source string, target string")).collect()}
+    m = np.zeros((4, 4))
+    for a, b in links:
+        if a and b:
+            m["abcd".index(b), "abcd".index(a)] = 1
+    values, vectors = np.linalg.eig(m)
+    lead = np.abs(vectors[:, np.argmax(values.real)].real)
+    assert [got[x] for x in "abcd"] == pytest.approx(list(lead / np.linalg.norm(lead)), abs=1e-5)
+
+
+def test_eigenvector_without_links_or_rounds(spark):
+    none = spark.createDataFrame([], "source string, target string")
+    assert graph.eigenvector(none).count() == 0
+    chain = spark.createDataFrame([("a", "b"), ("b", "c")], "source string, target string")
+    with pytest.raises(ValueError):
+        graph.eigenvector(chain, rounds=10)
+
+
 def test_groups_of_separated_heaps(spark):
     """Two heaps far apart are the two groups, whole, with their means; benign and incomplete records are in none."""
     rows = [(k, "cpu_burst", 1.0 + 100 * (k % 3 > 0), 10.0 + k % 3, 5.0, float(k % 3 > 0)) for k in range(60)]
