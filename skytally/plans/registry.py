@@ -315,9 +315,9 @@ def _attached(store: DataFrame) -> DataFrame:
     return casework.run(casework.ATTACHED, store)
 
 
-#: Pages are opened at the end of January 2024, in whose days the events lie.
-_NOW = 1_706_659_200_000_000
-_SINCE, _UNTIL = views.window_of("30d", now_us=_NOW)
+#: Pages are opened at the end of January 2024 in the view's time (see ``sources.telemetry``), in whose half day the events lie, and show the last six hours.
+_NOW = 1_706_659_200_000_000 // 60
+_SINCE, _UNTIL = views.window_of("custom", now_us=_NOW, since_us=_NOW - 6 * views.HOUR, until_us=_NOW)
 _ATTACHED = f"({fill(casework.ATTACHED, DUCKDB).format(rows=_STORED.removesuffix(' AS layer'))})"
 _LISTED = f"SELECT function_id, technique, count(*) AS n, row_number() OVER (PARTITION BY function_id ORDER BY count(*) DESC, technique) AS place FROM (SELECT function_id, unnest(string_split(techniques, ',')) AS technique FROM {{rows}}) GROUP BY function_id, technique"
 
@@ -345,7 +345,7 @@ QUERIES["function_views"] = (
     f"""WITH store AS MATERIALIZED (SELECT * FROM {_STORED}), held AS MATERIALIZED (SELECT * FROM {_ATTACHED} WHERE status <> 'closed'), rows_ AS MATERIALIZED (SELECT * FROM store WHERE t_us >= {_SINCE} AND t_us < {_UNTIL}),
 mix AS (SELECT function_id, count(*) FILTER (WHERE decision = 'observe') AS observe, count(*) FILTER (WHERE decision = 'review') AS review, count(*) FILTER (WHERE decision = 'escalate') AS escalate FROM rows_ GROUP BY function_id),
 top AS (SELECT function_id, list(struct_pack(technique := technique, n := n) ORDER BY place) AS techniques FROM ({_LISTED.format(rows="rows_")}) WHERE place <= 5 GROUP BY function_id),
-line AS (SELECT function_id, list(struct_pack(bin := bin, n := n, worst := worst) ORDER BY bin) AS line FROM (SELECT function_id, t_us // 86400000000 * 86400000000 AS bin, count(*) AS n, {_RANKED} AS worst FROM rows_ GROUP BY 1, 2) GROUP BY function_id),
+line AS (SELECT function_id, list(struct_pack(bin := bin, n := n, worst := worst) ORDER BY bin) AS line FROM (SELECT function_id, t_us // 3600000000 * 3600000000 AS bin, count(*) AS n, {_RANKED} AS worst FROM rows_ GROUP BY 1, 2) GROUP BY function_id),
 recent AS (SELECT function_id, list(struct_pack(event_id := event_id, t_us := t_us, decision := decision, anomaly_type := anomaly_type) ORDER BY k) AS recent FROM (SELECT *, row_number() OVER (PARTITION BY function_id ORDER BY t_us DESC, event_id DESC) AS k FROM rows_) WHERE k <= 20 GROUP BY function_id),
 cases AS (SELECT function_id, list(struct_pack(case_id := case_id, status := status) ORDER BY case_id) AS cases FROM (SELECT DISTINCT function_id, case_id, status FROM store JOIN held USING (event_id)) GROUP BY function_id)
 SELECT function_id, observe, review, escalate, {", ".join(f"coalesce(CAST(to_json({c}) AS VARCHAR), '[]') AS {c}" for c in ("techniques", "line", "recent", "cases"))}
@@ -373,8 +373,8 @@ def _trail(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _TRAIL = f"(SELECT function_id AS actor, t_us AS ts, event_id AS id, phase AS action FROM {_VIEW}) AS trail"
 QUERIES["audit_page"] = (
-    lambda s, d: views.audit_page(_trail(s, d), actor="fn-3", action="invoke", until=_NOW, limit=20, offset=5),
-    f"SELECT *, count(*) OVER () AS total FROM {_TRAIL} WHERE actor = 'fn-3' AND action = 'invoke' AND ts <= {_NOW} ORDER BY ts DESC, id DESC LIMIT 20 OFFSET 5",
+    lambda s, d: views.audit_page(_trail(s, d), actor="fn-3", action="invoke", until=_NOW - 2 * views.HOUR, limit=20, offset=5),
+    f"SELECT *, count(*) OVER () AS total FROM {_TRAIL} WHERE actor = 'fn-3' AND action = 'invoke' AND ts <= {_NOW - 2 * views.HOUR} ORDER BY ts DESC, id DESC LIMIT 20 OFFSET 5",
 )
 QUERIES["audit_summary"] = (
     lambda s, d: views.audit_summary(_trail(s, d)),

@@ -94,3 +94,11 @@ def test_audit_trail(spark):
     assert views.audit_page(trail, actor="zz").count() == 0
     found = {(r.actor, r.action): (r.n, r.first_ts, r.last_ts, r.n_days) for r in views.audit_summary(trail).collect()}
     assert found[None, None] == (4, 1, views.DAY, 2) and found["(none)", None] == (1, 5, 5, 1) and found["a", "open"] == (2, 1, 1, 1) and len(found) == 7
+
+
+@pytest.mark.parametrize("name", ["function_page", "function_views", "audit_page", "bulk_attach"])
+def test_queries_have_rows(spark, tables, name):
+    """The times and filters of the registered pages meet the tables."""
+    from skytally.plans import registry
+
+    assert registry.queries()[name](spark, tables).count() > 0
