@@ -22,3 +22,10 @@ def test_frames_in_time_only_grow(spark, tables):
 def test_store_runs_what_the_matrix_reads(spark, tables):
     plan = plan_of(registry.stored(spark, tables))
     assert "MapInArrow" not in plan and "duration_p99" not in plan
+
+
+def test_store_is_dealt_once(spark, tables):
+    """Prefixes of the history and chains are frames along the same rows: no join, and one deal by function whatever the steps."""
+    plan = plan_of(registry.stored(spark, tables))
+    assert "Join" not in plan
+    assert plan.count("Exchange hashpartitioning") == 1
