@@ -40,3 +40,19 @@ def test_causal_pairs_of_a_hot_function(spark):
     want = pairs(df.collect())
     assert len(want) > 5 * sum(r[5] for r in rows) // 2
     close(found(silent.run(silent.PAIRS, df)), want)
+
+
+def test_strongest_effects_are_found_without_pairs(spark):
+    """Ties in time and strength, repeated ids, unknown types and times; the rows are those of all pairs, and no plan joins."""
+    import random
+
+    from skytally.operators import graph
+
+    draw = random.Random(7)
+    kinds = ["benign", "benign", "cpu_burst", "execution_failure", None]
+    rows = [(k % 290, draw.choice("fgh") if k % 23 else None, draw.randrange(40) * 9_000_000 + draw.randrange(2) if k % 19 else None, draw.choice(["invoke", "error"]), draw.choice(kinds), 0.0) for k in range(300)]
+    df = spark.createDataFrame(rows, "event_id long, function_id string, t_us long, phase string, anomaly_type string, memory double")
+    got = graph.successors(df)
+    want = sorted(map(tuple, graph.run(graph.SUCCESSORS, df).collect()))
+    assert len(want) > 100 and sorted(map(tuple, got.collect())) == want
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
