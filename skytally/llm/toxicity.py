@@ -170,6 +170,7 @@ def train(rows: list[tuple[str, int]], rounds: int = 12, seed: int = 3, rate: fl
     names = list(distinct)
     telling = np.array([odds.get(w.strip(_MARKS) or w, 0.0) * np.log1p(counted[1][w.strip(_MARKS) or w]) for w in names])
     doc, first, size = windows_of(np.array([len(w) for w in texts]))
+    del texts, counted
     ids, mask = laid_out(flat, first, size)
     best = np.where(mask > 0, telling[ids], -9).max(1)
     clean = np.flatnonzero(labels[doc] == 0)
@@ -269,7 +270,10 @@ class Scorer:
 def fitted(docs: DataFrame, labels: DataFrame, *, folds: int = 5, held: int = 0) -> Network | None:
     """A network trained on the driver from a bounded sample (``TRAIN_ROWS``, ``TRAIN_CHARS``) of labelled documents outside the held-out fold."""
     rows = labelled_sample(docs, labels, "toxic", folds=folds, held=held, rows=TRAIN_ROWS, max_chars=TRAIN_CHARS).collect()
-    return train(sorted((r["text"], r["label"]) for r in rows))
+    net = train(sorted((r["text"], r["label"]) for r in rows))
+    del rows
+    give_back()  # the driver, too, lives on
+    return net
 
 
 def score(docs: DataFrame, net: Network | None, *, text_col: str = "text", into: str = "score") -> DataFrame:
