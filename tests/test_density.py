@@ -81,3 +81,18 @@ def test_edges(spark):
     assert found(df.limit(0), ["a"]) == {} and found(df.where("event_id = 5"), ["a"], least=1) == {5: (5, True)}
     flat = standardised(df.selectExpr("event_id", "a", "CASE WHEN a IS NOT NULL THEN 3.0 END AS b"), ["a", "b"]).collect()
     assert len(flat) == 6 and {r.b for r in flat} == {0.0} and abs(sum(r.a for r in flat)) < 1e-9
+
+
+def test_dense_heap_is_not_compared_with_itself(spark):
+    """A heap of 20,000 points in a few cells, a chain away from it, an island, a border point and noise; all pairs of the heap would take many minutes."""
+    from time import monotonic
+
+    rng = np.random.default_rng(5)
+    heap = rng.uniform(0, 0.6, (20_000, 2))
+    rest = [(0.6 + 0.45 * k, 0.3) for k in range(1, 9)] + [(9.0, 9.0), (9.0, 9.2), (9.2, 9.0), (9.0, 9.49), (-7.0, 4.0)]
+    rows = [(int(k), float(a), float(b)) for k, (a, b) in enumerate([*heap, *rest], 1)]
+    began = monotonic()
+    got = found(spark.createDataFrame(rows, "event_id long, a double, b double"), ["a", "b"], eps=0.5, least=4)
+    assert monotonic() - began < 100
+    assert all(got[k] == (1, True) for k in range(1, 20_001)) and [got[k][0] for k in range(20_001, 20_006)] == [1, 1, None, None, None]
+    assert [got[k] for k in range(20_009, 20_014)] == [(20_009, True), (20_009, True), (20_009, False), (20_009, False), (None, False)]
