@@ -56,3 +56,32 @@ def test_strongest_effects_are_found_without_pairs(spark):
     want = sorted(map(tuple, graph.run(graph.SUCCESSORS, df).collect()))
     assert len(want) > 100 and sorted(map(tuple, got.collect())) == want
     assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def odd_records(spark, n=400):
+    """Records of three functions with ties in time and order, and null texts, times and measures."""
+    import random
+
+    draw = random.Random(11)
+    some = lambda x: x if draw.random() > 0.05 else None
+    rows = [
+        (k, some(draw.choice("fgh")), some(draw.randrange(900) * 2_500_000 + draw.randrange(3)), some(draw.choice(["invoke", "error", "init"])), some(draw.choice(["benign", "benign", "cpu_burst", "execution_failure"])),
+         some(draw.randrange(300) / 10), some(2048.0 * draw.randrange(60)), some(float(draw.randrange(101))), some(1024.0 * draw.randrange(900)), some(draw.random() < 0.4))
+        for k in range(n)
+    ]
+    return spark.createDataFrame(rows, "event_id long, function_id string, t_us long, phase string, anomaly_type string, duration double, memory double, cpu double, network double, truth boolean").repartition(3)
+
+
+def same_rows(got, want):
+    rows = lambda df: sorted(repr(tuple(r)) for r in df.select(*sorted(df.columns)).collect())
+    assert len(want := rows(want)) > 300 and rows(got) == want
+
+
+def test_correlations_make_no_decimals_or_texts_for_a_pair(spark):
+    from skytally.operators import graph, studies
+
+    df = odd_records(spark)
+    got = graph.correlations(df)
+    same_rows(got, studies.run(graph.CORRELATIONS, df))
+    plan = registry.queries()["correlation_edges"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "round(" not in plan and "concat_ws" not in plan
