@@ -85,3 +85,11 @@ def test_correlations_make_no_decimals_or_texts_for_a_pair(spark):
     same_rows(got, studies.run(graph.CORRELATIONS, df))
     plan = registry.queries()["correlation_edges"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "round(" not in plan and "concat_ws" not in plan
+
+
+def test_causal_pairs_make_no_decimals_for_a_pair(spark):
+    df = odd_records(spark)
+    got = silent.run(silent.PAIRS_JOINED, df)
+    same_rows(got, silent.run(silent.PAIRS, df))
+    plan = registry.queries()["causal_pairs"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "round(" not in plan
