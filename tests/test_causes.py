@@ -93,3 +93,31 @@ def test_causal_pairs_make_no_decimals_for_a_pair(spark):
     same_rows(got, silent.run(silent.PAIRS, df))
     plan = registry.queries()["causal_pairs"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "round(" not in plan
+
+
+def dealt(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_strengths_are_made_without_a_join(spark):
+    """A row goes to one slot, and to a second one near its end; all pairs come from there."""
+    from skytally.operators import graph, studies
+
+    df = odd_records(spark)
+    same_rows(graph.strengths(df), studies.run(graph.STRENGTHS, df))
+    plan = dealt(graph.strengths(df))
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
+
+
+def test_blocks_and_batches_lose_no_pair(spark):
+    """Blocks smaller than a record's followers, and batches smaller than a span."""
+    from skytally.operators import graph, neighbours, studies
+
+    df = odd_records(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        rows = df.selectExpr("event_id", "function_id", "t_us", "phase", "coalesce(anomaly_type <> 'benign', false) AS odd")
+        got = neighbours.pairs(rows, graph._REACH, graph._weighed, "source long, target long, function_id string, t_us long, strength double, kind string", by=["function_id"], block=7)
+        same_rows(got, studies.run(graph.STRENGTHS, df))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
