@@ -109,6 +109,15 @@ def test_strengths_are_made_without_a_join(spark):
     assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
 
 
+def test_edges_are_made_without_a_join(spark):
+    from skytally.operators import graph
+
+    df = odd_records(spark, 900)
+    same_rows(graph.edges(df), graph.run(graph.EDGES, df))
+    plan = dealt(graph.edges(df))
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 2
+
+
 def test_blocks_and_batches_lose_no_pair(spark):
     """Blocks smaller than a record's followers, and batches smaller than a span."""
     from skytally.operators import graph, neighbours, studies
