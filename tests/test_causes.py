@@ -118,6 +118,16 @@ def test_edges_are_made_without_a_join(spark):
     assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 2
 
 
+def test_centrality_is_summed_where_edges_are_found(spark):
+    from skytally.operators import graph
+
+    df = odd_records(spark, 900)
+    close = lambda rows: {r.event_id: (r.out_degree, round(r.out_strength, 4), round(r.anomaly_centrality, 3)) for r in rows.collect()}
+    got, want = close(graph.centrality(df)), close(graph.run(graph.CENTRALITY, df))
+    assert len(want) > 300 and got.keys() == want.keys() and all(got[k][:2] == want[k][:2] and abs(got[k][2] - want[k][2]) < 0.0011 for k in want)
+    assert "Join" not in dealt(graph.centrality(df))
+
+
 def test_blocks_and_batches_lose_no_pair(spark):
     """Blocks smaller than a record's followers, and batches smaller than a span."""
     from skytally.operators import graph, neighbours, studies
